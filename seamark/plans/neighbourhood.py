@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -68,11 +68,12 @@ def expand(frontier: DataFrame, hop: Hop, seed: str, seed_time: str) -> DataFram
     and gets at most ``k`` neighbours, so the limit holds before the next hop.
     """
     asks = frontier.select(
-        F.struct(F.col(seed).alias("seed"), F.col("_node").alias("node")).alias("_ask"), F.col(seed_time), F.col(hop.key)
+        F.struct(F.col(seed).alias("seed"), F.col("_node").alias("node")).alias("_ask"), seed_time, hop.key
     )
-    columns = [c for c in dict.fromkeys([*hop.features, *hop.carry]) if c not in (hop.row_id, hop.time)]
-    found = latest_neighbours(
-        asks.withColumn("_ask", F.to_json("_ask")),
+    taken = (hop.row_id, hop.time, hop.key)
+    columns = [c for c in dict.fromkeys([*hop.features, *hop.carry]) if c not in taken]
+    return latest_neighbours(
+        asks,
         hop.table,
         hop.k,
         seed="_ask",
@@ -80,9 +81,8 @@ def expand(frontier: DataFrame, hop: Hop, seed: str, seed_time: str) -> DataFram
         seed_time=seed_time,
         time=hop.time,
         row_id=hop.row_id,
-        columns=[c for c in columns if c != hop.key],
+        columns=columns,
     )
-    return found
 
 
 def neighbourhood_features(
@@ -93,13 +93,11 @@ def neighbourhood_features(
     The first hop starts from the seed's own key columns, each later one from the
     rows the hop before it reached. Means are over all rows a hop reached.
     """
-    kind = seeds.schema[seed].dataType
     frontier = seeds.withColumn("_node", F.lit(None).cast("string"))
     out = seeds.select(seed, seed_time)
     for hop in hops:
         found = expand(frontier, hop, seed, seed_time)
-        origin = F.get_json_object("_ask", "$.seed").cast(kind)
-        reached = found.withColumn(seed, origin).withColumn("_node", F.col(hop.row_id).cast("string")).drop("_ask")
+        reached = found.withColumns({seed: F.col("_ask.seed"), "_node": F.col(hop.row_id).cast("string")}).drop("_ask")
         out = out.join(neighbour_means(reached, seed, hop.features, hop.name), seed, "left")
         frontier = reached.select(seed, seed_time, "_node", *hop.carry)
     counts = {f"n_{h.name}": F.coalesce(F.col(f"n_{h.name}"), F.lit(0).cast("long")) for h in hops}
