@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamark.functions.times import hour_number
-from seamark.operators.ranking import Running, grid_slice, row_ranks, running
+from seamark.operators.ranking import Running, row_ranks, running, with_cells
 
 
-def dense_ids(df: DataFrame, key: str, name: str = "node_id", slice_: Column | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, name: str = "node_id") -> DataFrame:
     """(key, name): 0..n-1 over the distinct keys in order, without a window over the whole table.
 
-    Slices are equal-width cells for numeric keys and leading characters for text.
+    Slices are a million equal-width cells for numeric keys and leading
+    characters for text, both nested in coarser ones.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    if slice_ is None:
-        text = isinstance(df.schema[key].dataType, T.StringType)
-        slice_ = F.substring(key, 1, 3) if text else grid_slice(df, key)
-    ranked = row_ranks(keys, name, by=[], order=[key], slice_=slice_)
+    if isinstance(df.schema[key].dataType, T.StringType):
+        slices = [F.substring(key, 1, 16), F.substring(key, 1, 6)]
+    else:
+        keys = with_cells(keys, key, "_cell", 1 << 20)
+        slices = [F.col("_cell"), F.shiftright("_cell", 10)]
+    ranked = row_ranks(keys, name, by=[], order=[key], slice_=slices)
     return ranked.select(key, (F.col(name) - 1).alias(name))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.labels import class_by_argmax
-from seamark.operators.ranking import Running, Total, grid_slice, running
+from seamark.operators.ranking import Running, Total, running, with_cells
 
 # Smallest step of a double: probabilities are clipped this far from 0 and 1.
 EPSILON = 2.220446049250313e-16
@@ -36,7 +36,7 @@ def score_points(
         )
     )
     return running(
-        points,
+        with_cells(points, "score", "_cell"),
         {
             "pos_below": Running("sum", "pos", before=True),
             "neg_below": Running("sum", "neg", before=True),
@@ -45,8 +45,8 @@ def score_points(
         },
         by=by,
         order=["score"],
-        slice_=grid_slice(df.select(F.col(score).alias("score")), "score"),
-    )
+        slice_=F.col("_cell"),
+    ).drop("_cell")
 
 
 def _as_double(name: str) -> Column:

@@ -13,28 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.operators.ranking import SLICE, first_row, grid, spread
+from seamark.operators.ranking import SLICE, first_row, grid, spread, with_row
 
 CELLS = 4096
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
-    """(by, column, slice, value, n) over the non-null values of numeric columns."""
-    edges = spread(df, columns)
+    """(by, column, slice, value, n) of numeric columns; nulls are counted too, under a null value."""
+    placed = with_row(df.select(*by, *columns), spread(df, columns), "_spread")
     entries = []
     for c in columns:
         value = F.col(c).cast("double")
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                grid(value, *edges[c], cells).alias(SLICE),
-                value.alias("value"),
-            )
-        )
+        cell = grid(value, F.col(f"_spread.lo_{c}"), F.col(f"_spread.hi_{c}"), cells)
+        entries.append(F.struct(F.lit(c).alias("column"), cell.alias(SLICE), value.alias("value")))
     return (
-        df.select(*by, F.explode(F.array(*entries)).alias("_entry"))
-        .select(*by, "_entry.*")
-        .where(F.col("value").isNotNull())
+        placed.select(*by, F.inline(F.array(*entries)))
         .groupBy(*by, "column", SLICE, "value")
         .agg(F.count("*").alias("n"))
     )
@@ -44,6 +37,7 @@ def quantiles_of(counts: DataFrame, probabilities: Sequence[float], by: Sequence
     """(by, column, q) with ``q`` an array: linear interpolation between neighbours."""
     keys = [*by, "column"]
     group = Window.partitionBy(*keys)
+    counts = counts.where(F.col("value").isNotNull())
     per_slice = counts.groupBy(*keys, SLICE).agg(F.sum("n").alias("_here"))
     placed = per_slice.select(
         *keys,
@@ -108,8 +102,7 @@ def exact_quantiles(
 def modes_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, column, value): the most frequent value, the smallest one of equals."""
     keys = [*by, "column"]
-    summed = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    best = first_row(summed, by=keys, order=[F.desc("n"), F.asc("value")])
+    best = first_row(counts.where(F.col("value").isNotNull()), by=keys, order=[F.desc("n"), F.asc("value")])
     return best.select(*keys, "value")
 
 
@@ -131,8 +124,8 @@ def medians_and_modes(df: DataFrame, columns: Sequence[str], key: str) -> DataFr
     )
     modes = modes_of(counts, [key]).select(key, F.concat(F.lit("mode_"), F.col("column")).alias("name"), "value")
     names = [f"{kind}_{c}" for kind in ("median", "mode") for c in columns]
-    present = df.select(key).distinct().select(
-        key, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value")
+    present = counts.groupBy(key).agg(
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value")
     )
     wide = medians.unionByName(modes).unionByName(present)
     return wide.groupBy(key).agg(*[F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in names])

@@ -8,6 +8,9 @@ Values are aggregated per (group, slice) with map-side combining, the small
 result is accumulated per group, and the full rows only meet a window over
 (group, slice), which the running value before the slice is joined to on the
 same keys. One shuffle of the rows, no task larger than a slice.
+
+Slices may be nested, finest first. Then the accumulation over fine slices goes
+by the same scheme over coarse ones, for orders with very many slices.
 """
 
 from __future__ import annotations
@@ -40,33 +43,29 @@ class Total:
     column: str
 
 
+Slices = Column | Sequence[Column]
+
+
 def running(
     df: DataFrame,
     values: Mapping[str, Running | Total],
     *,
     by: Sequence[str],
     order: Sequence[str | Column],
-    slice_: Column,
+    slice_: Slices,
 ) -> DataFrame:
     """Add running aggregates along ``order`` within the groups ``by``.
 
     Rows with a null group key or a null slice are left out, as in a join. For
     repeatable results ``order`` must be total within a group.
     """
-    rows = df.withColumn(SLICE, slice_)
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = rows.groupBy(*by, SLICE).agg(
+    nested = [slice_] if isinstance(slice_, Column) else list(slice_)
+    coarse = [f"{SLICE}_{i}" for i in range(1, len(nested))]
+    rows = df.withColumns(dict(zip([SLICE, *coarse], nested)))
+    per_slice = rows.groupBy(*by, SLICE, *coarse).agg(
         *[AGGREGATES[v.how](v.column).alias(f"_in_{name}") for name, v in values.items()]
     )
-    carried = per_slice.select(
-        *by,
-        SLICE,
-        *[
-            AGGREGATES[v.how](f"_in_{name}").over(group if isinstance(v, Total) else earlier).alias(f"_carry_{name}")
-            for name, v in values.items()
-        ],
-    )
+    carried = _carried(per_slice, values, by, coarse)
     inside = Window.partitionBy(*by, SLICE).orderBy(*order)
 
     def total(name: str, v: Running | Total) -> Column:
@@ -84,13 +83,40 @@ def running(
     return joined.select(*[c for c in df.columns if c not in added], *added.values())
 
 
+def _carried(
+    per_slice: DataFrame, values: Mapping[str, Running | Total], by: Sequence[str], coarse: list[str]
+) -> DataFrame:
+    """(by, slice, _carry_x): what lies before each slice, or in the whole group."""
+    if coarse:
+        fine = per_slice.withColumnRenamed(SLICE, "_fine")
+        inner = {
+            f"_carry_{name}": Total(v.how, f"_in_{name}")
+            if isinstance(v, Total)
+            else Running(v.how, f"_in_{name}", before=True)
+            for name, v in values.items()
+        }
+        slices = [F.col(c) for c in coarse]
+        found = running(fine, inner, by=by, order=["_fine"], slice_=slices)
+        return found.select(*by, F.col("_fine").alias(SLICE), *inner)
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return per_slice.select(
+        *by,
+        SLICE,
+        *[
+            AGGREGATES[v.how](f"_in_{name}").over(group if isinstance(v, Total) else earlier).alias(f"_carry_{name}")
+            for name, v in values.items()
+        ],
+    )
+
+
 def row_ranks(
     df: DataFrame,
     name: str,
     *,
     by: Sequence[str],
     order: Sequence[str | Column],
-    slice_: Column,
+    slice_: Slices,
 ) -> DataFrame:
     """Rank of every row in its group, from 1."""
     return running(
@@ -148,30 +174,35 @@ def every_kth_row(
     *,
     by: Sequence[str],
     order: Sequence[str | Column],
-    slice_: Column,
+    slice_: Slices,
 ) -> DataFrame:
     """Rows ``step``, ``2*step``, ... of every group."""
     ranked = row_ranks(df, "_rank", by=by, order=order, slice_=slice_)
     return ranked.where(F.col("_rank") % step == 0).drop("_rank")
 
 
-def grid(value: Column, low: Column, high: Column, cells: int) -> Column:
-    """Equal-width cell of a number, from 0 to ``cells - 1``."""
-    width = high - low
-    cell = F.floor((value - low) / width * cells)
-    return F.when(width > 0, F.least(cell, F.lit(cells - 1))).otherwise(F.lit(0)).cast("long")
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row result as a struct column.
+
+    A scalar subquery that several expressions refer to is planned once this way.
+    """
+    return df.withColumn(name, row.select(F.struct(*row.columns).alias(name)).scalar())
+
 
+def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the smallest and largest value of each column: ``lo_x`` and ``hi_x``."""
+    edges = [(how, name, c) for c in columns for how, name in ((F.min, "lo"), (F.max, "hi"))]
+    return df.agg(*[how(c).cast("double").alias(f"{name}_{c}") for how, name, c in edges])
 
-def spread(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[Column, Column]]:
-    """Smallest and largest value of each column, from one shared scalar subquery."""
-    fields = []
-    for i, c in enumerate(columns):
-        fields += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
-    found = df.agg(F.struct(*fields).alias("spread")).scalar()
-    return {c: (found[f"lo{i}"], found[f"hi{i}"]) for i, c in enumerate(columns)}
+
+def grid(value: Column, low: Column, high: Column, cells: int) -> Column:
+    """Equal-width cell of a number, growing with it; a single cell when there is no width."""
+    return F.coalesce(F.width_bucket(value, low, high, F.lit(cells).cast("long")), F.lit(0).cast("long"))
 
 
-def grid_slice(df: DataFrame, column: str, cells: int = 4096) -> Column:
-    """Slice for an order by a number: its cell between the column's extremes."""
-    low, high = spread(df, [column])[column]
-    return grid(F.col(column).cast("double"), low, high, cells)
+def with_cells(df: DataFrame, column: str, name: str, cells: int = 4096) -> DataFrame:
+    """Add the equal-width cell of a numeric column between its extremes, a slice for an order by it."""
+    placed = with_row(df, spread(df, [column]), "_spread")
+    value = F.col(column).cast("double")
+    cell = grid(value, F.col(f"_spread.lo_{column}"), F.col(f"_spread.hi_{column}"), cells)
+    return placed.withColumn(name, cell).drop("_spread")

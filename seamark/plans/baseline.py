@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from seamark.functions.casts import fill_text, float_features
 from seamark.operators import metrics
+from seamark.operators.ranking import with_row
 
 WEIGHT = "rows"
 
@@ -29,24 +30,26 @@ def merge_equal(df: DataFrame, columns: Sequence[str], label: str, split: str =
 
 def fit_scaler(train: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """One row: ``mean_x`` and population ``std_x`` of each column, 1 in place of a deviation of 0."""
-    w = F.col(weight) if weight else F.lit(1)
-
-    def mean(value):
-        return F.sum(w * value) / F.sum(w)
-
-    means = train.agg(F.struct(*[mean(F.col(c).cast("double")).alias(c) for c in columns])).scalar()
+    if weight is None:
+        means = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns])
+        weights = F.lit(1)
+    else:
+        weights = F.col(weight)
+        means = train.agg(
+            *[(F.sum(weights * F.col(c).cast("double")) / F.sum(weights)).alias(f"mean_{c}") for c in columns]
+        )
     out = []
     for c in columns:
-        centred = F.col(c).cast("double") - means[c]
-        std = F.sqrt(mean(centred * centred))
-        out += [F.max(means[c]).alias(f"mean_{c}"), F.when(std > 0, std).otherwise(F.lit(1.0)).alias(f"std_{c}")]
-    return train.agg(*out)
+        centred = F.col(c).cast("double") - F.col(f"_row.mean_{c}")
+        std = F.sqrt(F.sum(weights * centred * centred) / F.sum(weights))
+        out += [F.max(f"_row.mean_{c}").alias(f"mean_{c}"), F.when(std > 0, std).otherwise(F.lit(1.0)).alias(f"std_{c}")]
+    return with_row(train, means, "_row").agg(*out)
 
 
 def scale(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / std with the one row of ``fit_scaler``, read as a scalar subquery."""
-    row = scaler.select(F.struct(*scaler.columns)).scalar()
-    return df.withColumns({c: (F.col(c).cast("double") - row[f"mean_{c}"]) / row[f"std_{c}"] for c in columns})
+    scaled = {c: (F.col(c).cast("double") - F.col(f"_row.mean_{c}")) / F.col(f"_row.std_{c}") for c in columns}
+    return with_row(df, scaler, "_row").withColumns(scaled).drop("_row")
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from seamark.operators.graph import dense_ids, rekey, up_to
 from seamark.operators.ranking import first_row
 from seamark.plans.build import Tables
 from seamark.schema import DATABASE_KEYS, Keys
+from seamark.session import write_out
 
 
 @dataclass(frozen=True)
@@ -60,12 +61,28 @@ class Database:
 
         return self.with_frames({name: cut(name, t) for name, t in self.tables.items()})
 
-    def rekeyed(self) -> Database:
-        """Primary and foreign keys as dense ids 0..n-1, in the order of the original keys."""
-        ids = {name: dense_ids(t.df, t.keys.primary) for name, t in self.tables.items()}
+    def stored(self) -> Database:
+        """The same database with every table written once to the shared folder.
+
+        Rekeying and graphs read each table several times, so they start from here.
+        """
+        return self.with_frames({name: write_out(t.df, name) for name, t in self.tables.items()})
+
+    def rekeyed(self, timed: bool = True) -> Database:
+        """Keys as dense ids 0..n-1, in the order of the original keys.
+
+        All foreign keys and the primary keys of static tables change; ``timed``
+        says whether the row ids of timed tables, which nothing refers to, do too.
+        """
+        parents = {p for t in self.tables.values() for p in t.keys.foreign.values()}
+        ids = {
+            name: dense_ids(t.df, t.keys.primary)
+            for name, t in self.tables.items()
+            if timed or name in parents or t.keys.time is None
+        }
         frames = {}
         for name, t in self.tables.items():
-            df = rekey(t.df, t.keys.primary, ids[name], t.keys.primary)
+            df = rekey(t.df, t.keys.primary, ids[name], t.keys.primary) if name in ids else t.df
             for column, parent in t.keys.foreign.items():
                 df = rekey(df, column, ids[parent], self.tables[parent].keys.primary)
             frames[name] = df

@@ -172,14 +172,14 @@ def hist_unit(t: Source) -> DataFrame:
 WITH s AS (SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1),
 b AS (SELECT o_orderstatus, least(floor((o_totalprice - lo) / (hi - lo) * 40), 39)::BIGINT AS bin, count(*) AS n
       FROM orders JOIN s USING (o_orderstatus) GROUP BY ALL)
-SELECT s.o_orderstatus, g.bin, round(lo + g.bin * (hi - lo) / 40, 4) AS bin_start, coalesce(n, 0) AS n
+SELECT s.o_orderstatus, g.bin, round(lo + g.bin * (hi - lo) / 40, 6) AS bin_start, coalesce(n, 0) AS n
 FROM s CROSS JOIN (SELECT unnest(range(40)) AS bin) g
 LEFT JOIN b ON b.o_orderstatus = s.o_orderstatus AND b.bin = g.bin
 """,
 )
 def hist_40(t: Source) -> DataFrame:
     hist = histograms.equal_width_histogram(t.orders, "o_totalprice", 40, ["o_orderstatus"])
-    return hist.select("o_orderstatus", "bin", F.round("bin_start", 4).alias("bin_start"), "n")
+    return hist.select("o_orderstatus", "bin", r6("bin_start").alias("bin_start"), "n")
 
 
 @query(
