@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from seamark.functions.casts import fill_text, float_features
 from seamark.operators import metrics
 from seamark.operators.ranking import with_row
+from seamark.session import write_out
 
 WEIGHT = "rows"
 
@@ -122,13 +123,14 @@ def scores_by_split(model: Baseline, rows: DataFrame, label: str, split: str = "
 
 def run_baseline(features: DataFrame, columns: Sequence[str], label: str, c: float = 1.0, max_iter: int = 500) -> DataFrame:
     """Fit on the train split of a frame with a ``split`` column and score every split."""
-    rows = merge_equal(features, columns, label).persist()
+    rows = write_out(merge_equal(features, columns, label), "merged-features")
     model = fit_baseline(rows.where(F.col("split") == "train"), columns, label, WEIGHT, c, max_iter)
     return scores_by_split(model, rows, label)
 
 
 def run_mode_pipeline(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 2000) -> DataFrame:
     """One row per entity; the hard 0/1 predictions themselves are scored, by split."""
+    rows = write_out(rows.select("split", label, *columns), "mode-features")
     model = fit_baseline(rows.where(F.col("split") == "train"), columns, label, max_iter=max_iter)
     guessed = model.predict(rows).withColumn("guess", (F.col("probability") > 0.5).cast("double"))
     return metrics.binary_metrics(guessed, label, "guess", 0.5, ["split"])
@@ -136,7 +138,7 @@ def run_mode_pipeline(rows: DataFrame, columns: Sequence[str], label: str, max_i
 
 def grid_search(features: DataFrame, columns: Sequence[str], label: str, strengths: Sequence[float], max_iter: int = 500) -> DataFrame:
     """(cell, c, log_loss, roc_auc) on the val split for each inverse strength; ``best_row`` picks."""
-    rows = merge_equal(features, columns, label).persist()
+    rows = write_out(merge_equal(features, columns, label), "merged-features")
     train, val = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
     out = None
     for cell, c in enumerate(strengths):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,16 +98,34 @@ def with_geometry(ships: DataFrame, stats: DataFrame) -> DataFrame:
     return update_from(add_missing(ships, {c: "int" for c in columns}), rounded, "mmsi", columns)
 
 
-@dataclass(frozen=True)
 class Tables:
-    vessel: DataFrame
-    vessel_details: DataFrame
-    voyage: DataFrame
-    position: DataFrame
-    port: DataFrame
+    """The five tables of a period. Each is a lazy plan, put together when first asked for."""
 
-    def items(self):
-        return vars(self).items()
+    NAMES = ("vessel", "vessel_details", "voyage", "position", "port")
+
+    def __init__(self, messages: DataFrame, distinct: DataFrame, ports: DataFrame, geometry: bool) -> None:
+        self._messages, self._distinct, self._geometry = messages, distinct, geometry
+        self.port = ports
+
+    @cached_property
+    def vessel(self) -> DataFrame:
+        ships = vessels(self._messages)
+        return with_geometry(ships, geometry_stats(self.vessel_details)) if self._geometry else ships
+
+    @cached_property
+    def vessel_details(self) -> DataFrame:
+        return vessel_details(self._distinct)
+
+    @cached_property
+    def voyage(self) -> DataFrame:
+        return voyages(self._distinct)
+
+    @cached_property
+    def position(self) -> DataFrame:
+        return positions(self._distinct)
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, getattr(self, name)) for name in self.NAMES]
 
 
 def build_tables(
@@ -132,11 +150,7 @@ def build_tables(
     distinct = distinct_messages(messages)
     if store:
         distinct = write_out(distinct, "distinct-messages")
-    details = vessel_details(distinct)
-    ships = vessels(messages)
-    if geometry:
-        ships = with_geometry(ships, geometry_stats(details))
-    return Tables(ships, details, voyages(distinct), positions(distinct), ports)
+    return Tables(messages, distinct, ports, geometry)
 
 
 def write_tables(tables: Tables, folder: str) -> None:

@@ -24,7 +24,9 @@ class Source:
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        df = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        setattr(self, name, df)
+        return df
 
     @property
     def measured(self) -> DataFrame:
