@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamark.functions.times import hour_number
-from seamark.operators.ranking import Running, row_ranks, running, with_cells
+from seamark.operators.ranking import SLICE, row_ranks, with_cells
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "node_id") -> DataFrame:
@@ -66,15 +66,36 @@ def latest_neighbours(
 ) -> DataFrame:
     """The last ``k`` neighbour rows of each seed's key with ``time <= seed_time``.
 
-    Seeds and neighbours are put on one time line per key, where a running count
-    of neighbours tells each neighbour its position and each seed the position of
-    its latest neighbour. A seed then asks for at most ``k`` positions by an equal
-    join on (key, position). No pair beyond the result is formed, and rows of a
-    busy key spread over their positions. Several seeds may share a key.
+    Counts per key and hour give every neighbour a position without ordering all
+    of them: they show which hours can hold one of the last ``k`` positions of
+    any seed. Only rows of those hours are read on, placed, and fetched by an equal
+    join on (key, position), where each seed asks for at most ``k`` positions. No
+    pair beyond the result is formed, rows of a busy key spread over its hours and
+    positions, and several seeds may share a key.
 
     Returns (seed, seed_time, key, hop_rank, row_id, time, columns), hop_rank 1 being the latest.
     """
     rows = neighbours.where(F.col(time).isNotNull() & F.col(key).isNotNull())
+    asks = seeds.where(F.col(seed_time).isNotNull() & F.col(key).isNotNull())
+    counted = rows.groupBy(F.col(key).alias("_key"), hour_number(F.col(time)).alias(SLICE)).agg(
+        F.count("*").alias("_n"), F.lit(0).alias("_ask")
+    )
+    asked = asks.groupBy(F.col(key).alias("_key"), hour_number(F.col(seed_time)).alias(SLICE)).agg(
+        F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask")
+    )
+    hours = counted.unionByName(asked).groupBy("_key", SLICE).agg(F.sum("_n").alias("_n"), F.max("_ask").alias("_ask"))
+    by_hour = Window.partitionBy("_key").orderBy(SLICE)
+    before = F.coalesce(F.sum("_n").over(by_hour.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The count before the first hour from here on that has a seed: later seeds reach back less far.
+    reached = F.min(F.when(F.col("_ask") == 1, F.col("_before"))).over(
+        by_hour.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    )
+    needed = (
+        hours.withColumn("_before", before)
+        .withColumn("_reached", reached)
+        .where(F.col("_before") + F.col("_n") > F.col("_reached") - k)
+        .select("_key", SLICE, "_before")
+    )
     marks = rows.select(
         F.col(key).alias("_key"),
         F.col(time).alias("_time"),
@@ -84,7 +105,7 @@ def latest_neighbours(
         F.lit(1).cast("long").alias("_one"),
         F.lit(None).cast(seeds.schema[seed].dataType).alias("_seed"),
     )
-    asks = seeds.select(
+    wishes = asks.select(
         F.col(key).alias("_key"),
         F.col(seed_time).alias("_time"),
         F.lit(1).alias("_kind"),
@@ -93,24 +114,19 @@ def latest_neighbours(
         F.lit(0).cast("long").alias("_one"),
         F.col(seed).alias("_seed"),
     )
-    order = ["_time", "_kind", "_id"]
-    line = running(
-        marks.unionByName(asks),
-        {"_at": Running("sum", "_one")},
-        by=["_key"],
-        order=order,
-        slice_=hour_number(F.col("_time")),
+    inside = Window.partitionBy("_key", SLICE).orderBy("_time", "_kind", "_id")
+    line = (
+        marks.unionByName(wishes)
+        .withColumn(SLICE, hour_number(F.col("_time")))
+        .join(needed, ["_key", SLICE])
+        .withColumn("_at", F.col("_before") + F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    wanted = (
-        line.where(F.col("_kind") == 1)
-        .where(F.col("_at") > 0)
-        .select(
-            "_seed",
-            F.col("_time").alias("_seed_time"),
-            "_key",
-            F.col("_at").alias("_latest"),
-            F.explode(F.sequence(F.greatest(F.col("_at") - (k - 1), F.lit(1).cast("long")), F.col("_at"))).alias("_at"),
-        )
+    wanted = line.where((F.col("_kind") == 1) & (F.col("_at") > 0)).select(
+        "_seed",
+        F.col("_time").alias("_seed_time"),
+        "_key",
+        F.col("_at").alias("_latest"),
+        F.explode(F.sequence(F.greatest(F.col("_at") - (k - 1), F.lit(1).cast("long")), F.col("_at"))).alias("_at"),
     )
     placed = line.where(F.col("_kind") == 0).select("_key", "_at", "_row")
     return wanted.join(placed, ["_key", "_at"]).select(

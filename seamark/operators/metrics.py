@@ -20,11 +20,17 @@ EPSILON = 2.220446049250313e-16
 
 
 def score_points(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """(by, score, pos, neg, pos_below, neg_below, pos_all, neg_all) for each distinct score.
 
-    ``weight`` says how many equal rows a row stands for.
+    ``weight`` says how many equal rows a row stands for; ``bounds``, such as 0
+    and 1 for probabilities, save the pass that looks up the extreme scores.
     """
     rows = F.col(weight) if weight else F.lit(1)
     points = (
@@ -36,7 +42,7 @@ def score_points(
         )
     )
     return running(
-        with_cells(points, "score", "_cell"),
+        with_cells(points, "score", "_cell", bounds=bounds),
         {
             "pos_below": Running("sum", "pos", before=True),
             "neg_below": Running("sum", "neg", before=True),
@@ -54,23 +60,33 @@ def _as_double(name: str) -> Column:
 
 
 def roc_auc(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half. Null with one class only."""
     wins = _as_double("pos") * (_as_double("neg_below") + _as_double("neg") / 2)
     pairs = F.max(_as_double("pos_all")) * F.max(_as_double("neg_all"))
-    return score_points(df, label, score, by, weight).groupBy(*by).agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
+    return score_points(df, label, score, by, weight, bounds).groupBy(*by).agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
 
 
 def average_precision(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Sum over thresholds of the recall gained times the precision there (no interpolation)."""
     hits = _as_double("pos_all") - _as_double("pos_below")
     alarms = _as_double("neg_all") - _as_double("neg_below")
     gained = F.try_divide(_as_double("pos"), _as_double("pos_all"))
     step = gained * F.try_divide(hits, hits + alarms)
-    return score_points(df, label, score, by, weight).groupBy(*by).agg(F.sum(step).alias("average_precision"))
+    return score_points(df, label, score, by, weight, bounds).groupBy(*by).agg(F.sum(step).alias("average_precision"))
 
 
 def log_loss_term(label: Column, probability: Column) -> Column:

@@ -18,13 +18,27 @@ from seamark.operators.ranking import SLICE, first_row, grid, spread, with_row
 CELLS = 4096
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
-    """(by, column, slice, value, n) of numeric columns; nulls are counted too, under a null value."""
-    placed = with_row(df.select(*by, *columns), spread(df, columns), "_spread")
+def value_counts(
+    df: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str] = (),
+    bounds: tuple[float, float] | None = None,
+    cells: int = CELLS,
+) -> DataFrame:
+    """(by, column, slice, value, n) of numeric columns; nulls are counted too, under a null value.
+
+    ``bounds``, where most values lie, save the pass that looks up the extremes.
+    """
+    if bounds:
+        placed = df
+        edges = {c: tuple(F.lit(float(b)) for b in bounds) for c in columns}
+    else:
+        placed = with_row(df.select(*by, *columns), spread(df, columns), "_spread")
+        edges = {c: (F.col(f"_spread.lo_{c}"), F.col(f"_spread.hi_{c}")) for c in columns}
     entries = []
     for c in columns:
         value = F.col(c).cast("double")
-        cell = grid(value, F.col(f"_spread.lo_{c}"), F.col(f"_spread.hi_{c}"), cells)
+        cell = grid(value, *edges[c], cells)
         entries.append(F.struct(F.lit(c).alias("column"), cell.alias(SLICE), value.alias("value")))
     return (
         placed.select(*by, F.inline(F.array(*entries)))
@@ -94,9 +108,10 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
+    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Exact quantiles of several numeric columns, per group or of the whole table."""
-    return quantiles_of(value_counts(df, columns, by), probabilities, by)
+    return quantiles_of(value_counts(df, columns, by, bounds), probabilities, by)
 
 
 def modes_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -113,12 +128,14 @@ def grouped_mode(df: DataFrame, column: str, by: Sequence[str], name: str) -> Da
     return best.select(*by, F.col(column).alias(name))
 
 
-def medians_and_modes(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+def medians_and_modes(
+    df: DataFrame, columns: Sequence[str], key: str, bounds: tuple[float, float] | None = None
+) -> DataFrame:
     """One row per key: ``median_x`` (double) and ``mode_x`` for each column, null where all values are.
 
     Both statistics read the same exchange of value counts.
     """
-    counts = value_counts(df, columns, [key])
+    counts = value_counts(df, columns, [key], bounds)
     medians = quantiles_of(counts, [0.5], [key]).select(
         key, F.concat(F.lit("median_"), F.col("column")).alias("name"), F.col("q")[0].alias("value")
     )

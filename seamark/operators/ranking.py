@@ -200,9 +200,22 @@ def grid(value: Column, low: Column, high: Column, cells: int) -> Column:
     return F.coalesce(F.width_bucket(value, low, high, F.lit(cells).cast("long")), F.lit(0).cast("long"))
 
 
-def with_cells(df: DataFrame, column: str, name: str, cells: int = 4096) -> DataFrame:
-    """Add the equal-width cell of a numeric column between its extremes, a slice for an order by it."""
-    placed = with_row(df, spread(df, [column]), "_spread")
+def with_cells(
+    df: DataFrame,
+    column: str,
+    name: str,
+    cells: int = 4096,
+    bounds: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Add the equal-width cell of a numeric column, a slice for an order by it.
+
+    Without ``bounds`` the extremes of the column are looked up first. Given
+    bounds save that pass and need not hold: what lies outside falls into the
+    first or last cell, which keeps the order.
+    """
     value = F.col(column).cast("double")
+    if bounds:
+        return df.withColumn(name, grid(value, F.lit(float(bounds[0])), F.lit(float(bounds[1])), cells))
+    placed = with_row(df, spread(df, [column]), "_spread")
     cell = grid(value, F.col(f"_spread.lo_{column}"), F.col(f"_spread.hi_{column}"), cells)
     return placed.withColumn(name, cell).drop("_spread")

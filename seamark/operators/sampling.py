@@ -24,9 +24,9 @@ def downsample(df: DataFrame, chosen: Column, fraction: float, keys: Sequence[st
     that share the digits of the cut are ranked.
     """
     picked = F.coalesce(chosen, F.lit(False))
-    major = df.where(picked).withColumn("_hash", seeded_hash(keys, seed))
-    major = major.withColumn("_band", F.substring("_hash", 1, HASH_DIGITS))
-    bands = major.groupBy("_band").agg(F.count("*").alias("_rows"))
+    rows = df.withColumn("_hash", F.when(picked, seeded_hash(keys, seed)))
+    rows = rows.withColumn("_band", F.substring("_hash", 1, HASH_DIGITS))
+    bands = rows.where(F.col("_band").isNotNull()).groupBy("_band").agg(F.count("*").alias("_rows"))
     in_order = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         bands.withColumn("_skip", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)))
@@ -35,12 +35,11 @@ def downsample(df: DataFrame, chosen: Column, fraction: float, keys: Sequence[st
         .select(F.struct("_band", (F.col("_quota") - F.col("_skip")).alias("need")).alias("cut"))
         .scalar()
     )
-    # Without a band to cut the whole class is kept (fraction 1).
-    whole = major.where(cut.isNull() | (F.col("_band") < cut["_band"]))
+    # Other classes have no band; without a band to cut the whole class is kept (fraction 1).
+    whole = rows.where(F.col("_band").isNull() | cut.isNull() | (F.col("_band") < cut["_band"]))
     rank = F.row_number().over(Window.partitionBy("_band").orderBy("_hash", *keys))
-    edge = major.where(F.col("_band") == cut["_band"]).withColumn("_rank", rank).where(F.col("_rank") <= cut["need"])
-    kept = whole.select(*df.columns).unionByName(edge.select(*df.columns))
-    return kept.unionByName(df.where(~picked))
+    edge = rows.where(F.col("_band") == cut["_band"]).withColumn("_rank", rank).where(F.col("_rank") <= cut["need"])
+    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def downsample_fast(df: DataFrame, label: str, value: int, fraction: float, seed: int = 42) -> DataFrame:

@@ -118,7 +118,7 @@ def scores_by_split(model: Baseline, rows: DataFrame, label: str, split: str = "
     """(split, log_loss, roc_auc) on merged rows."""
     scored = model.predict(rows)
     losses = metrics.log_loss(scored, label, "probability", [split], WEIGHT)
-    return losses.join(metrics.roc_auc(scored, label, "probability", [split], WEIGHT), split)
+    return losses.join(metrics.roc_auc(scored, label, "probability", [split], WEIGHT, (0.0, 1.0)), split)
 
 
 def run_baseline(features: DataFrame, columns: Sequence[str], label: str, c: float = 1.0, max_iter: int = 500) -> DataFrame:

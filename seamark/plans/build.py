@@ -19,6 +19,8 @@ from seamark.sources.tables import write_table
 
 SHIP_FIELDS = ["imo", "callsign", "shipname", "shiptype"]
 POSITION_FIELDS = ["status", "turn", "speed", "lon", "lat", "course", "heading"]
+# Metres from the antenna to a side of the ship; larger values are handled, only less evenly.
+OFFSET_RANGE = (0, 512)
 VOYAGE_FIELDS = ["draught", "destination", "eta"]
 
 
@@ -87,7 +89,7 @@ def voyages(distinct: DataFrame) -> DataFrame:
 
 def geometry_stats(details: DataFrame, key: str = "mmsi", columns: list[str] = OFFSETS) -> DataFrame:
     """Medians (double) and modes of the offsets per ship."""
-    stats = medians_and_modes(details, columns, key)
+    stats = medians_and_modes(details, columns, key, bounds=OFFSET_RANGE)
     return stats.withColumns({f"mode_{c}": F.col(f"mode_{c}").cast(details.schema[c].dataType) for c in columns})
 
 

@@ -95,8 +95,12 @@ class Database:
         return {name: profile.null_profile(t.df) for name, t in self.tables.items()}
 
 
-def ship_database(tables: Tables) -> Database:
-    """The five tables with keys; ship types grouped in two, times to the second, one row per key."""
+def ship_database(tables: Tables, unique: bool = False) -> Database:
+    """The five tables with keys; ship types grouped in two, times to the second, one row per key.
+
+    ``unique`` says that the tables already have one row per key, as freshly
+    built ones with times in whole seconds do, and saves a shuffle of each.
+    """
     ships = tables.vessel.select(
         "mmsi", "imo", "callsign", "shipname", grouped_ship_type(F.col("shiptype")).alias("shiptype")
     )
@@ -112,7 +116,7 @@ def ship_database(tables: Tables) -> Database:
         keys = DATABASE_KEYS[name]
         if keys.time:
             df = df.withColumn(keys.time, to_second(F.col(keys.time)))
-        if name != "ports":
+        if name != "ports" and not unique:
             rest = [c for c in df.columns if c != keys.primary]
             df = first_row(df, by=[keys.primary], order=rest)
         keyed[name] = KeyedTable(df, keys)
