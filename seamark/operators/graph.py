@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from seamark.functions.times import hour_number
 from seamark.operators.ranking import SLICE, row_ranks, with_cells
+from seamark.session import write_out
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "node_id") -> DataFrame:
@@ -63,6 +64,7 @@ def latest_neighbours(
     time: str,
     row_id: str,
     columns: Sequence[str] = (),
+    store: bool = False,
 ) -> DataFrame:
     """The last ``k`` neighbour rows of each seed's key with ``time <= seed_time``.
 
@@ -73,6 +75,10 @@ def latest_neighbours(
     pair beyond the result is formed, rows of a busy key spread over its hours and
     positions, and several seeds may share a key.
 
+    With ``store`` the needed hours are written to the shared folder first. Their
+    size is then known when the rows are read, so a small list is broadcast and
+    filters the scan, where it otherwise takes a shuffle of all neighbours.
+
     Returns (seed, seed_time, key, hop_rank, row_id, time, columns), hop_rank 1 being the latest.
     """
     rows = neighbours.where(F.col(time).isNotNull() & F.col(key).isNotNull())
@@ -96,6 +102,8 @@ def latest_neighbours(
         .where(F.col("_before") + F.col("_n") > F.col("_reached") - k)
         .select("_key", SLICE, "_before")
     )
+    if store:
+        needed = write_out(needed, "needed-hours")
     marks = rows.select(
         F.col(key).alias("_key"),
         F.col(time).alias("_time"),

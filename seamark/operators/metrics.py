@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.labels import class_by_argmax
-from seamark.operators.ranking import Running, Total, running, with_cells
+from seamark.operators.ranking import Running, Total, running, with_cells, with_row
 
 # Smallest step of a double: probabilities are clipped this far from 0 and 1.
 EPSILON = 2.220446049250313e-16
@@ -59,7 +59,7 @@ def _as_double(name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def roc_auc(
+def curve_scores(
     df: DataFrame,
     label: str,
     score: str,
@@ -67,10 +67,36 @@ def roc_auc(
     weight: str | None = None,
     bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties counting half. Null with one class only."""
+    """(by, roc_auc, average_precision) from one ordering of the scores.
+
+    ROC-AUC is the share of (positive, negative) pairs in the right order, ties
+    counting half, and null with one class only. Average precision sums over
+    thresholds the recall gained times the precision there, without interpolation.
+    """
     wins = _as_double("pos") * (_as_double("neg_below") + _as_double("neg") / 2)
     pairs = F.max(_as_double("pos_all")) * F.max(_as_double("neg_all"))
-    return score_points(df, label, score, by, weight, bounds).groupBy(*by).agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
+    hits = _as_double("pos_all") - _as_double("pos_below")
+    alarms = _as_double("neg_all") - _as_double("neg_below")
+    gained = F.try_divide(_as_double("pos"), _as_double("pos_all"))
+    return (
+        score_points(df, label, score, by, weight, bounds)
+        .groupBy(*by)
+        .agg(
+            F.try_divide(F.sum(wins), pairs).alias("roc_auc"),
+            F.sum(gained * F.try_divide(hits, hits + alarms)).alias("average_precision"),
+        )
+    )
+
+
+def roc_auc(
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    bounds: tuple[float, float] | None = None,
+) -> DataFrame:
+    return curve_scores(df, label, score, by, weight, bounds).drop("average_precision")
 
 
 def average_precision(
@@ -81,12 +107,7 @@ def average_precision(
     weight: str | None = None,
     bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Sum over thresholds of the recall gained times the precision there (no interpolation)."""
-    hits = _as_double("pos_all") - _as_double("pos_below")
-    alarms = _as_double("neg_all") - _as_double("neg_below")
-    gained = F.try_divide(_as_double("pos"), _as_double("pos_all"))
-    step = gained * F.try_divide(hits, hits + alarms)
-    return score_points(df, label, score, by, weight, bounds).groupBy(*by).agg(F.sum(step).alias("average_precision"))
+    return curve_scores(df, label, score, by, weight, bounds).drop("roc_auc")
 
 
 def log_loss_term(label: Column, probability: Column) -> Column:
@@ -142,16 +163,12 @@ def binary_metrics(
     df: DataFrame, label: str, score: str, threshold: float = 0.0, by: Sequence[str] = ()
 ) -> DataFrame:
     """(by, average_precision, accuracy, f1, roc_auc), the four scores of the task."""
-    parts = [
-        average_precision(df, label, score, by),
-        class_scores(df, label, score, threshold, by).select(*by, "accuracy", "f1"),
-        roc_auc(df, label, score, by),
-    ]
+    curves = curve_scores(df, label, score, by)
+    classes = class_scores(df, label, score, threshold, by)
     if by:
-        return parts[0].join(parts[1], list(by)).join(parts[2], list(by))
-    row = parts[1]
-    return row.select(
-        parts[0].scalar().alias("average_precision"), "accuracy", "f1", parts[2].scalar().alias("roc_auc")
+        return curves.join(classes, list(by)).select(*by, "average_precision", "accuracy", "f1", "roc_auc")
+    return with_row(classes, curves, "_curves").select(
+        "_curves.average_precision", "accuracy", "f1", "_curves.roc_auc"
     )
 
 

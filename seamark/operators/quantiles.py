@@ -25,8 +25,10 @@ def value_counts(
     bounds: tuple[float, float] | None = None,
     cells: int = CELLS,
 ) -> DataFrame:
-    """(by, column, slice, value, n) of numeric columns; nulls are counted too, under a null value.
+    """(by, column, slice, value, n) of numeric columns, with one row of ``n`` 0 for the nulls of a group.
 
+    Groups with a null key are left out. Readers tell the null rows by ``n``, an
+    aggregate, so no reader's filter moves below the shuffle and all share it.
     ``bounds``, where most values lie, save the pass that looks up the extremes.
     """
     if bounds:
@@ -35,6 +37,8 @@ def value_counts(
     else:
         placed = with_row(df.select(*by, *columns), spread(df, columns), "_spread")
         edges = {c: (F.col(f"_spread.lo_{c}"), F.col(f"_spread.hi_{c}")) for c in columns}
+    for key in by:
+        placed = placed.where(F.col(key).isNotNull())
     entries = []
     for c in columns:
         value = F.col(c).cast("double")
@@ -43,7 +47,7 @@ def value_counts(
     return (
         placed.select(*by, F.inline(F.array(*entries)))
         .groupBy(*by, "column", SLICE, "value")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("value").alias("n"))
     )
 
 
@@ -51,7 +55,7 @@ def quantiles_of(counts: DataFrame, probabilities: Sequence[float], by: Sequence
     """(by, column, q) with ``q`` an array: linear interpolation between neighbours."""
     keys = [*by, "column"]
     group = Window.partitionBy(*keys)
-    counts = counts.where(F.col("value").isNotNull())
+    counts = counts.where(F.col("n") > 0)
     per_slice = counts.groupBy(*keys, SLICE).agg(F.sum("n").alias("_here"))
     placed = per_slice.select(
         *keys,
@@ -115,9 +119,9 @@ def exact_quantiles(
 
 
 def modes_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, column, value): the most frequent value, the smallest one of equals."""
+    """(by, column, value): the most frequent value, the smallest one of equals, null where all values are."""
     keys = [*by, "column"]
-    best = first_row(counts.where(F.col("value").isNotNull()), by=keys, order=[F.desc("n"), F.asc("value")])
+    best = first_row(counts, by=keys, order=[F.desc("n"), F.asc("value")])
     return best.select(*keys, "value")
 
 
@@ -141,8 +145,5 @@ def medians_and_modes(
     )
     modes = modes_of(counts, [key]).select(key, F.concat(F.lit("mode_"), F.col("column")).alias("name"), "value")
     names = [f"{kind}_{c}" for kind in ("median", "mode") for c in columns]
-    present = counts.groupBy(key).agg(
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value")
-    )
-    wide = medians.unionByName(modes).unionByName(present)
+    wide = medians.unionByName(modes)
     return wide.groupBy(key).agg(*[F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in names])

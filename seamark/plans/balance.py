@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.labels import percentage, split_label
@@ -17,11 +17,16 @@ def with_split(df: DataFrame, time: str, val_start: object, test_start: object)
 
 
 def class_balance(df: DataFrame, label: str, by: Sequence[str] = ("split",)) -> DataFrame:
-    """(by, total, class_1, class_0, percent_1, percent_0)"""
+    """(by, total, class_1, class_0, percent_1, percent_0), of merged rows by their ``rows``."""
+    rows = F.col("rows") if "rows" in df.columns else F.lit(1).cast("long")
+
+    def count(condition: Column) -> Column:
+        return F.sum(F.when(condition, rows).otherwise(0))
+
     counts = df.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        F.count(F.when(F.col(label) == 1, 1)).alias("class_1"),
-        F.count(F.when(F.col(label) == 0, 1)).alias("class_0"),
+        F.sum(rows).alias("total"),
+        count(F.col(label) == 1).alias("class_1"),
+        count(F.col(label) == 0).alias("class_0"),
     )
     return counts.withColumns(
         {f"percent_{k}": percentage(F.col(f"class_{k}"), F.col("total")) for k in (1, 0)}

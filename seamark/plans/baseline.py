@@ -25,8 +25,9 @@ WEIGHT = "rows"
 
 
 def merge_equal(df: DataFrame, columns: Sequence[str], label: str, split: str = "split") -> DataFrame:
-    """(split, label, float features, rows)"""
-    return float_features(df, columns).groupBy(split, label, *columns).agg(F.count("*").alias(WEIGHT))
+    """(split, label, float features, rows); a frame that has ``rows`` already is summed up further."""
+    rows = F.sum(WEIGHT) if WEIGHT in df.columns else F.count("*")
+    return float_features(df, columns).groupBy(split, label, *columns).agg(rows.alias(WEIGHT))
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -68,11 +68,13 @@ class Database:
         """
         return self.with_frames({name: write_out(t.df, name) for name, t in self.tables.items()})
 
-    def rekeyed(self, timed: bool = True) -> Database:
+    def rekeyed(self, timed: bool = True, store: bool = False) -> Database:
         """Keys as dense ids 0..n-1, in the order of the original keys.
 
         All foreign keys and the primary keys of static tables change; ``timed``
         says whether the row ids of timed tables, which nothing refers to, do too.
+        With ``store`` the ids of static tables are written to the shared folder first:
+        their size is then known, and small ones are broadcast to the fact tables.
         """
         parents = {p for t in self.tables.values() for p in t.keys.foreign.values()}
         ids = {
@@ -80,6 +82,9 @@ class Database:
             for name, t in self.tables.items()
             if timed or name in parents or t.keys.time is None
         }
+        if store:
+            small = [name for name in ids if self.tables[name].keys.time is None]
+            ids.update({name: write_out(ids[name], f"ids-{name}") for name in small})
         frames = {}
         for name, t in self.tables.items():
             df = rekey(t.df, t.keys.primary, ids[name], t.keys.primary) if name in ids else t.df

@@ -34,16 +34,25 @@ def nth_geometry_features(
     target: str = "shiptype",
     columns: Sequence[str] = OFFSETS,
     label: Column | None = None,
+    merged: bool = False,
 ) -> DataFrame:
     """(key, target label, offsets, nth_timestamp), one row for every detail message of a ship that reaches n.
 
+    ``merged`` gives equal rows once, with their number in ``rows``. The details are
+    then counted per ship and offsets before the join: a ship has few different
+    offsets, so the join moves a sliver of the messages and no ship is a hot key.
+
     Rows with any null are dropped before the label is made. The default label is
     1 for cargo ships and tankers; pass ``cargo_only()`` for cargo against the rest.
     """
     nth = nth_times(positions, n, start, end, key, time)
-    rows = fan_out(nth.join(ships.select(key, target), key), details, key, columns)
     label = member_label(F.col(target)) if label is None else label
-    rows = rows.select(key, target, *columns, "nth_timestamp").na.drop("any")
+    extra = []
+    if merged:
+        details = details.select(key, *columns).na.drop("any", subset=list(columns)).groupBy(key, *columns).agg(F.count("*").alias("rows"))
+        extra = ["rows"]
+    rows = fan_out(nth.join(ships.select(key, target), key), details, key, [*columns, *extra])
+    rows = rows.select(key, target, *columns, "nth_timestamp", *extra).na.drop("any")
     return rows.withColumn(target, label)
 
 

@@ -15,6 +15,7 @@ from seamark.operators.graph import (
     reverse_edges,
 )
 from seamark.plans.dataset import Database
+from seamark.session import write_out
 
 
 def graph_nodes(db: Database) -> DataFrame:
@@ -61,7 +62,7 @@ class Hop:
     carry: tuple[str, ...] = ()
 
 
-def expand(frontier: DataFrame, hop: Hop, seed: str, seed_time: str) -> DataFrame:
+def expand(frontier: DataFrame, hop: Hop, seed: str, seed_time: str, store: bool = False) -> DataFrame:
     """The latest ``k`` rows of ``hop.table`` for each row of the frontier, as of the seed's time.
 
     The frontier is (node, seed, seed time, key); each of its rows asks by itself
@@ -82,22 +83,29 @@ def expand(frontier: DataFrame, hop: Hop, seed: str, seed_time: str) -> DataFram
         time=hop.time,
         row_id=hop.row_id,
         columns=columns,
+        store=store,
     )
 
 
 def neighbourhood_features(
-    seeds: DataFrame, hops: Sequence[Hop], seed: str, seed_time: str
+    seeds: DataFrame, hops: Sequence[Hop], seed: str, seed_time: str, store: bool = False
 ) -> DataFrame:
     """(seed, seed time, n and mean features of each hop).
 
     The first hop starts from the seed's own key columns, each later one from the
-    rows the hop before it reached. Means are over all rows a hop reached.
+    rows the hop before it reached. Means are over all rows a hop reached. With
+    ``store`` the seeds and what each hop reached are written once to the shared
+    folder, at most k rows per row of the frontier, and read from there.
     """
+    if store:
+        seeds = write_out(seeds, "seeds")
     frontier = seeds.withColumn("_node", F.lit(None).cast("string"))
     out = seeds.select(seed, seed_time)
     for hop in hops:
-        found = expand(frontier, hop, seed, seed_time)
+        found = expand(frontier, hop, seed, seed_time, store)
         reached = found.withColumns({seed: F.col("_ask.seed"), "_node": F.col(hop.row_id).cast("string")}).drop("_ask")
+        if store:
+            reached = write_out(reached, f"reached-{hop.name}")
         out = out.join(neighbour_means(reached, seed, hop.features, hop.name), seed, "left")
         frontier = reached.select(seed, seed_time, "_node", *hop.carry)
     counts = {f"n_{h.name}": F.coalesce(F.col(f"n_{h.name}"), F.lit(0).cast("long")) for h in hops}

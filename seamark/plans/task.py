@@ -55,24 +55,29 @@ class NthInteractionTask:
     task_type: str = "binary_classification"
 
 
-def nth_distinct_time(interactions: DataFrame, task: NthInteractionTask) -> DataFrame:
+def nth_distinct_time(interactions: DataFrame, task: NthInteractionTask, unique: bool = False) -> DataFrame:
     """(entity, nth time) for entities with at least n distinct times.
 
     Equal (entity, time) rows are merged in their own shuffle, where a busy
     entity spreads over its times, before anything is brought together by entity.
+    ``unique`` says that there are none, as in a freshly built position table, and
+    saves that shuffle.
     """
     times = interactions.select(task.entity, task.time).where(
         F.col(task.entity).isNotNull() & F.col(task.time).isNotNull()
     )
-    nth = nth_row(times.distinct(), task.n, by=[task.entity], order=[task.time], slice_=hour_number(F.col(task.time)))
+    times = times if unique else times.distinct()
+    nth = nth_row(times, task.n, by=[task.entity], order=[task.time], slice_=hour_number(F.col(task.time)))
     return nth.withColumnRenamed(task.time, task.time_name)
 
 
-def task_rows(interactions: DataFrame, entities: DataFrame, task: NthInteractionTask) -> DataFrame:
+def task_rows(
+    interactions: DataFrame, entities: DataFrame, task: NthInteractionTask, unique: bool = False
+) -> DataFrame:
     """(entity, nth time, label, split): all splits at once, one column instead of three scans."""
     labels = task.labels or GROUPED_LABELS
     known = entities.select(task.entity, task.target).where(F.col(task.target).isNotNull())
-    rows = nth_distinct_time(interactions, task).join(known, task.entity)
+    rows = nth_distinct_time(interactions, task, unique).join(known, task.entity)
     return rows.select(
         task.entity,
         task.time_name,

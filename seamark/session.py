@@ -15,17 +15,31 @@ SETTINGS = {
 }
 
 
-def build_session(name: str = "seamark", master: str | None = None, **conf: str) -> SparkSession:
+def shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20) -> int:
+    """Partitions a shuffle starts with; adaptive execution merges small ones afterwards.
+
+    The upper end keeps the number of map-reduce block pairs manageable; beyond
+    it partitions grow and sorts spill.
+    """
+    return max(200, min(100_000, -(-input_bytes // target_bytes)))
+
+
+def build_session(
+    name: str = "seamark", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the library expects.
 
-    ``master`` and anything that depends on the cluster (memory, cores,
-    ``spark.sql.shuffle.partitions``, ``spark.checkpoint.dir``) is left to the
-    submitter unless given.
+    ``input_bytes``, the size of the data, sets where shuffles start. ``master`` and
+    anything that depends on the cluster (memory, cores, ``spark.checkpoint.dir``)
+    is left to the submitter unless given.
     """
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    sized = {}
+    if input_bytes is not None:
+        sized["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions(input_bytes))
+    for key, value in {**SETTINGS, **sized, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -247,7 +247,9 @@ def test_latest_neighbours_with_shared_keys(spark, frame, skewed, k):
     rng = random.Random(5)
     seeds = [(i, rng.choice([0, 0, 0, 1, 2, 99]), START + timedelta(minutes=rng.randrange(-100, 7000))) for i in range(60)]
     asks = spark.createDataFrame(seeds, "seed int, key int, at timestamp_ntz")
-    out = graph.latest_neighbours(asks, frame, k, seed="seed", key="key", seed_time="at", time="ts", row_id="id", columns=["value"])
+    out = graph.latest_neighbours(
+        asks, frame, k, seed="seed", key="key", seed_time="at", time="ts", row_id="id", columns=["value"], store=k == 4
+    )
     found = defaultdict(list)
     for r in out.collect():
         found[r.seed].append((r.hop_rank, r.id, r.value))

@@ -65,7 +65,7 @@ UNION ALL SELECT 'rev_' || edge_type, count(*), CAST(sum(node_id) AS BIGINT) FRO
 """,
 )
 def graph_edge_counts(t: Source) -> DataFrame:
-    edges = neighbourhood.graph_edges(activity(t).rekeyed())
+    edges = neighbourhood.graph_edges(activity(t).rekeyed(store=True))
     parent = F.when(F.col("edge_type").startswith("rev_"), F.col("src")).otherwise(F.col("dst"))
     return edges.groupBy("edge_type").agg(F.count("*").alias("edges"), F.sum(parent).alias("parent_sum"))
 
@@ -79,7 +79,7 @@ UNION ALL SELECT 'orders', row_number() OVER (ORDER BY o_orderkey) - 1, o_orderd
 """,
 )
 def graph_nodes(t: Source) -> DataFrame:
-    return neighbourhood.graph_nodes(activity(t).rekeyed())
+    return neighbourhood.graph_nodes(activity(t).rekeyed(store=True))
 
 
 def seeds(t: Source) -> DataFrame:
@@ -149,7 +149,7 @@ def neighbour_mean_features(t: Source) -> DataFrame:
         neighbourhood.Hop("own", t.events, "user_id", "event_id", 3, "ts", ("value",), ("event_type",)),
         neighbourhood.Hop("same_type", t.events, "event_type", "event_id", 4, "ts", ("value",)),
     ]
-    found = neighbourhood.neighbourhood_features(seeds(t), hops, "user_id", "nth_time")
+    found = neighbourhood.neighbourhood_features(seeds(t), hops, "user_id", "nth_time", store=True)
     return found.select(
         "user_id", "nth_time", "n_own", r6("own_value").alias("own_value"), "n_same_type", r6("same_type_value").alias("same_type_value")
     )

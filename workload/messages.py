@@ -216,7 +216,7 @@ FROM w LEFT JOIN v ON v.mmsi = w.mmsi LEFT JOIN p ON n_name = destination
 """,
 )
 def rekeyed_voyages(t: Source) -> DataFrame:
-    return dataset.ship_database(built(t)).stored().rekeyed()["voyages"]
+    return dataset.ship_database(built(t)).stored().rekeyed(store=True)["voyages"]
 
 
 @query(
@@ -231,7 +231,7 @@ SELECT * FROM e UNION ALL SELECT 'rev_' || edge_type, child, edges FROM e
 """,
 )
 def ship_graph_edges(t: Source) -> DataFrame:
-    edges = neighbourhood.graph_edges(dataset.ship_database(built(t)).stored().rekeyed(timed=False))
+    edges = neighbourhood.graph_edges(dataset.ship_database(built(t)).stored().rekeyed(timed=False, store=True))
     return edges.groupBy("edge_type", "child").agg(F.count("*").alias("edges"))
 
 

@@ -17,7 +17,7 @@ from workload.splits import split_features
 
 @query("lr_baseline")
 def lr_baseline(t: Source) -> DataFrame:
-    return baseline.run_baseline(split_features(t), OFFSETS, "segment")
+    return baseline.run_baseline(split_features(t, merged=True), OFFSETS, "segment")
 
 
 @query("lr_mode_pipeline")
@@ -28,7 +28,7 @@ def lr_mode_pipeline(t: Source) -> DataFrame:
 
 @query("lr_grid")
 def lr_grid(t: Source) -> DataFrame:
-    trials = baseline.grid_search(split_features(t), OFFSETS, "segment", [0.01, 1.0, 100.0], 100)
+    trials = baseline.grid_search(split_features(t, merged=True), OFFSETS, "segment", [0.01, 1.0, 100.0], 100)
     return best_row(trials, "roc_auc", "cell")
 
 

@@ -37,7 +37,7 @@ fan AS (
     AND to_port IS NOT NULL AND to_starboard IS NOT NULL)"""
 
 
-def fanned(t: Source) -> DataFrame:
+def fanned(t: Source, merged: bool = False) -> DataFrame:
     return features.nth_geometry_features(
         t.events,
         t.segments,
@@ -47,11 +47,12 @@ def fanned(t: Source) -> DataFrame:
         time="ts",
         target="segment",
         label=labels.member_label(F.col("segment"), MEMBERS),
+        merged=merged,
     )
 
 
-def split_features(t: Source) -> DataFrame:
-    return features.with_size(balance.with_split(fanned(t), "nth_timestamp", VAL, TEST))
+def split_features(t: Source, merged: bool = False) -> DataFrame:
+    return features.with_size(balance.with_split(fanned(t, merged), "nth_timestamp", VAL, TEST))
 
 
 SPLIT_SQL = f"""
@@ -64,6 +65,14 @@ def nth_feature_fanout(t: Source) -> DataFrame:
     return fanned(t)
 
 
+@query(
+    "nth_feature_merged",
+    f"WITH {FAN_SQL} SELECT *, count(*) AS rows FROM fan GROUP BY ALL",
+)
+def nth_feature_merged(t: Source) -> DataFrame:
+    return fanned(t, merged=True)
+
+
 @query(
     "nth_feature_per_entity",
     f"""
@@ -108,7 +117,7 @@ FROM f GROUP BY split
 """,
 )
 def split_class_balance(t: Source) -> DataFrame:
-    return balance.class_balance(split_features(t), "segment")
+    return balance.class_balance(split_features(t, merged=True), "segment")
 
 
 @query("split_entities", f"WITH {SPLIT_SQL} SELECT split, count(DISTINCT user_id) AS n_distinct FROM f GROUP BY split")
