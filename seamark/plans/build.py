@@ -17,6 +17,7 @@ from seamark.session import write_out
 from seamark.sources.messages import typed
 from seamark.sources.tables import write_table
 
+FACT_ORDER = ["mmsi", "timestamp"]
 SHIP_FIELDS = ["imo", "callsign", "shipname", "shiptype"]
 POSITION_FIELDS = ["status", "turn", "speed", "lon", "lat", "course", "heading"]
 # Metres from the antenna to a side of the ship; larger values are handled, only less evenly.
@@ -105,9 +106,12 @@ class Tables:
 
     NAMES = ("vessel", "vessel_details", "voyage", "position", "port")
 
-    def __init__(self, messages: DataFrame, distinct: DataFrame, ports: DataFrame, geometry: bool) -> None:
+    def __init__(
+        self, messages: DataFrame, distinct: DataFrame, ports: DataFrame, geometry: bool, ranged: bool = False
+    ) -> None:
         self._messages, self._distinct, self._geometry = messages, distinct, geometry
         self.port = ports
+        self.ranged = ranged
 
     @cached_property
     def vessel(self) -> DataFrame:
@@ -143,20 +147,20 @@ def build_tables(
     """The five tables of a period, or of the first ``days`` days.
 
     With ``store`` the deduplicated messages are written to the cluster's shared
-    folder once and all fact tables read them from there; without it every table
-    stays a lazy plan over ``raw``.
+    folder once, in ranges of ship and time, and all fact tables are plain
+    projections of those files; without it every table stays a lazy plan over ``raw``.
     """
     messages = in_period(typed(raw, strict), start, end)
     if days is not None:
         messages = first_days(messages, days)
     distinct = distinct_messages(messages)
     if store:
-        distinct = write_out(distinct, "distinct-messages")
-    return Tables(messages, distinct, ports, geometry)
+        distinct = write_out(distinct, "distinct-messages", FACT_ORDER)
+    return Tables(messages, distinct, ports, geometry, ranged=store)
 
 
 def write_tables(tables: Tables, folder: str) -> None:
     """Overwrite all five tables; fact tables are sorted by ship and time across and inside files."""
     for name, df in tables.items():
-        sort = ["mmsi", "timestamp"] if "timestamp" in df.columns else []
-        write_table(df, folder, name, sort=sort)
+        sort = FACT_ORDER if "timestamp" in df.columns else []
+        write_table(df, folder, name, sort=sort, ranged=tables.ranged)

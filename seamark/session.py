@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,12 +58,22 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="seamark-")
 
 
-def write_out(df: DataFrame, name: str) -> DataFrame:
+def in_ranges(df: DataFrame, sort: Sequence[str]) -> DataFrame:
+    """Spread ``df`` over ranges of the sort columns and sort inside.
+
+    Files written from it let readers of a key skip files and row groups, and a
+    key with very many rows spreads over several files when a second column
+    follows it.
+    """
+    return df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+
+
+def write_out(df: DataFrame, name: str, sort: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     Used where several results are taken from one expensive table: the work is
     done once, lineage ends at the files, and readers still prune columns.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (in_ranges(df, sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamark.session import in_ranges
+
 
 def read_table(spark: SparkSession, folder: str, name: str, schema=None, columns: Sequence[str] | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -14,15 +16,22 @@ def read_table(spark: SparkSession, folder: str, name: str, schema=None, columns
     return df.select(*columns) if columns else df
 
 
-def write_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite", sort: Sequence[str] = ()) -> None:
+def write_table(
+    df: DataFrame,
+    folder: str,
+    name: str,
+    mode: str = "overwrite",
+    sort: Sequence[str] = (),
+    ranged: bool = False,
+) -> None:
     """Write one table. ``ignore`` keeps a table that is there, ``overwrite`` replaces it, so reruns never double rows.
 
     With ``sort`` the files cover ranges of the sort columns and are sorted
-    inside: readers of a key skip files and row groups, and a key with very many
-    rows spreads over several files when a second column follows it.
+    inside. ``ranged`` says that the input's partitions already are such ranges,
+    which leaves a local sort and no shuffle.
     """
     if sort:
-        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        df = df.sortWithinPartitions(*sort) if ranged else in_ranges(df, sort)
     df.write.mode(mode).parquet(f"{folder.rstrip('/')}/{name}")
 
 
