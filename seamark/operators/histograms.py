@@ -25,7 +25,8 @@ def unit_histogram(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
 def equal_width_histogram(df: DataFrame, column: str, bins: int = 40, by: Sequence[str] = ()) -> DataFrame:
     """(by, bin, bin_start, bin_end, n): ``bins`` cells over each group's own range, the last edge inclusive.
 
-    A group of one value gets a range one wide around it.
+    A group of one value gets a range one wide around it. Groups with a null key
+    are left out.
     """
     value = F.col(column).cast("double")
     values = df.where(value.isNotNull()).select(*by, value.alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_n"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 SLICE = "_slice"
+SALT, SALTS, SALT_FROM = "_salt", 256, 16
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -139,12 +140,20 @@ def nth_row(
     """The n-th row of every group, if it has one.
 
     Up to the optimiser's group limit every map task forwards at most ``n`` rows
-    of a group, so a plain ``row_number`` is the cheapest plan. A larger ``n``
-    finds the slice that holds the row from counts and ranks that slice alone.
+    of a group, so ``row_number`` is the cheapest plan. A group present in very
+    many tasks would still bring ``n`` rows from each together, so the rows are
+    first limited per group and salt, which leaves ``SALTS * n`` of them. A larger
+    ``n`` finds the slice that holds the row from counts and ranks that slice alone.
     """
     if slice_ is None or n <= int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+        rows = df
+        if n >= SALT_FROM:
+            # Any salt gives the same result, so it may differ when a task is run again.
+            rows = df.withColumn(SALT, F.spark_partition_id() % SALTS)
+            rank = F.row_number().over(Window.partitionBy(*by, SALT).orderBy(*order))
+            rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop(SALT)
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return df.withColumn("_rank", rank).where(F.col("_rank") == n).drop("_rank")
+        return rows.withColumn("_rank", rank).where(F.col("_rank") == n).drop("_rank")
     rows = df.withColumn(SLICE, slice_)
     earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     holding = (

@@ -64,7 +64,7 @@ def test_running_values(frame, skewed):
                 assert found[r[2]] == expected
 
 
-@pytest.mark.parametrize("n", [1, 3, 200, 10_000])
+@pytest.mark.parametrize("n", [1, 3, 20, 200, 10_000])
 @pytest.mark.parametrize("limit", ["1000", "2"])
 def test_nth_row_on_both_sides_of_the_limit(spark, frame, skewed, n, limit):
     spark.conf.set(ranking.GROUP_LIMIT, limit)
@@ -145,6 +145,12 @@ def test_fast_downsample_keeps_the_other_class(spark):
     assert sampling.downsample_fast(df, "label", 1, 0.1).count() == 1000
 
 
+def test_shuffle_changes_order_only(spark):
+    df = spark.range(200)
+    mixed = [r.id for r in sampling.shuffled(df, 1).collect()]
+    assert sorted(mixed) == list(range(200)) and mixed != list(range(200))
+
+
 def test_histograms(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.2), ("b", 5.0), ("b", None)], "g string, x double")
     units = {(r.g, r.bin): r.n for r in histograms.unit_histogram(df, "x", ["g"]).collect()}

@@ -12,6 +12,7 @@ from seamark.operators.metrics import best_row
 from seamark.operators.quantiles import medians_and_modes
 from seamark.plans import balance, baseline, build, dataset, features, neighbourhood, ports, runs, task, weekly
 from seamark.schema import OFFSETS, PORT, RAW_MESSAGE
+from seamark.session import shuffle_partitions
 
 
 def message(**given):
@@ -245,6 +246,14 @@ def test_nth_row_limits_rows_before_the_shuffle(spark):
     df = spark.range(9999).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
     text = plan_of(ranking.nth_row(df, 500, by=["k"], order=["t"])).split("== Physical Plan ==")[1]
     assert text.index("500, Final") < text.index("Exchange hashpartitioning(k") < text.index("500, Partial")
+    limits = [line for line in text.splitlines() if "WindowGroupLimit" in line]
+    assert len(limits) == 4 and all("_salt" in line for line in limits[2:]) and "_salt" not in limits[0]
+
+
+def test_shuffles_grow_with_the_data():
+    assert shuffle_partitions(1 << 30) == 200
+    assert shuffle_partitions(1 << 40) == 4096
+    assert shuffle_partitions(100 << 40) == 100_000
 
 
 def test_ranks_never_partition_rows_by_the_key_alone(spark):
