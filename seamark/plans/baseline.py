@@ -129,7 +129,7 @@ def run_baseline(features: DataFrame, columns: Sequence[str], label: str, c: flo
     return scores_by_split(model, rows, label)
 
 
-def run_mode_pipeline(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 2000) -> DataFrame:
+def run_mode_baseline(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 2000) -> DataFrame:
     """One row per entity; the hard 0/1 predictions themselves are scored, by split."""
     rows = write_out(rows.select("split", label, *columns), "mode-features")
     model = fit_baseline(rows.where(F.col("split") == "train"), columns, label, max_iter=max_iter)

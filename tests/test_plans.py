@@ -224,11 +224,11 @@ def test_constant_column_scales_to_zero(spark):
     assert [tuple(r) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_grid_and_mode_pipeline(labelled):
+def test_grid_and_mode_baseline(labelled):
     df = labelled[3]
     trials = baseline.grid_search(df, OFFSETS, "label", [0.001, 1.0])
     assert trials.count() == 2 and best_row(trials, "log_loss", "cell", higher_is_better=False).first().cell == 1
-    scores = baseline.run_mode_pipeline(df, OFFSETS, "label")
+    scores = baseline.run_mode_baseline(df, OFFSETS, "label")
     assert {r.split for r in scores.collect()} == {"train", "val", "test"}
 
 

@@ -20,10 +20,10 @@ def lr_baseline(t: Source) -> DataFrame:
     return baseline.run_baseline(split_features(t, merged=True), OFFSETS, "segment")
 
 
-@query("lr_mode_pipeline")
-def lr_mode_pipeline(t: Source) -> DataFrame:
+@query("lr_mode_features")
+def lr_mode_features(t: Source) -> DataFrame:
     rows = mode_features(t).na.drop("any")
-    return baseline.run_mode_pipeline(rows, MODE_COLUMNS, "shiptype")
+    return baseline.run_mode_baseline(rows, MODE_COLUMNS, "shiptype")
 
 
 @query("lr_grid")

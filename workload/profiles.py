@@ -42,9 +42,9 @@ def table_shape(t: Source) -> DataFrame:
     return profile.shape(t.lineitem)
 
 
-@query("preview", "SELECT r_regionkey, r_name FROM region LIMIT 5")
+@query("preview", "SELECT event_id, ts, value FROM events ORDER BY ts, event_id LIMIT 5")
 def preview(t: Source) -> DataFrame:
-    return profile.preview(t.region)
+    return profile.preview(t.events.select("event_id", "ts", "value").orderBy("ts", "event_id"))
 
 
 @query("time_span", "SELECT min(ts) AS first_time, max(ts) AS last_time FROM events")
