@@ -46,6 +46,31 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+#: Buckets of a sieve: a bound on what it broadcasts, whatever the corpus.
+SIEVE = 1 << 20
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SIEVE))
+
+
+def within(docs: DataFrame, key: str, ids: DataFrame, id: str) -> DataFrame:
+    """Rows of ``docs`` whose key is in ``ids``, and some others: those that share a bucket with one.
+
+    Put before a join it keeps most texts that the join would drop out of its shuffle.
+    At most ``SIEVE`` numbers are broadcast; with far more ids than that nearly all rows pass.
+    """
+    buckets = ids.select(_bucket(F.col(id)).alias("sieve")).distinct()
+    return docs.join(F.broadcast(buckets), _bucket(F.col(key)) == F.col("sieve"), "left_semi")
+
+
+def without(docs: DataFrame, key: str, ids: DataFrame, id: str) -> DataFrame:
+    """Rows of ``docs`` whose key, null included, is not in ``ids``; only rows that share a bucket with an id are compared and shuffled."""
+    buckets = ids.select(_bucket(F.col(id)).alias("sieve")).distinct()
+    clear = docs.join(F.broadcast(buckets), _bucket(F.col(key)) == F.col("sieve"), "left_anti")
+    return clear.unionByName(within(docs, key, ids, id).join(ids, F.col(key).eqNullSafe(F.col(id)), "left_anti"))
+
+
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal keys, from batches of rows sorted by them."""
     kept: list[pa.RecordBatch] = []

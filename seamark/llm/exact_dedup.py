@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import fresh
+from seamark.llm.common import fresh, without
 from seamark.session import write_out
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -79,7 +79,7 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     repeated = result.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if not repeated:
         gone = write_out(result.where(~F.col("kept")).select(F.col(key).alias("gone_id")), "gone")
-        return docs.join(gone, F.col(key).eqNullSafe(F.col("gone_id")), "left_anti")
+        return without(docs, key, gone, "gone_id")
     named = fresh(docs, "full_hash")
     hashed = docs.withColumn(named, F.sha2(normal_text(F.col(text)).cast("binary"), 256))
     stays = exact_dedup(docs, key, text, hash_all=True).where("kept").select(F.col(key).alias("id"), F.col("full_hash").alias("hash"))

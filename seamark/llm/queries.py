@@ -7,8 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.llm import exact_dedup, jaccard_join, sharding
-from seamark.llm.common import ready, table
+from seamark.llm import (
+    exact_dedup,
+    jaccard_join,
+    knn_join,
+    language_id,
+    nbest,
+    packing,
+    pii,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from seamark.llm.common import held_out, ready, table
+
+#: The key of the pseudonyms in the registered query and the pipeline; a deployment passes its own.
+PSEUDONYM_KEY = "registered query"
+
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +93,30 @@ def op2_ngram_jaccard(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), width=3, percent=90)
 
 
+@query(
+    r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+)
+def op3_exact_topk(spark, folder):
+    """The five rows of the highest inner product with each row whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", knn_join.scaled(F.col("embedding")).alias("vector"))
+    return knn_join.knn_join(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query()
+def op4_token_counts(spark, folder):
+    """Tokens of each line of every document, from one encoding of the whole document."""
+    return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"), rule="most")
+
+
 @query(
     r"""
 WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -82,3 +128,41 @@ def op5_exact_dedup(spark, folder):
     """The document that stays for each document, with the hash of the normalised text."""
     found = exact_dedup.exact_dedup(table(spark, folder, "documents"), hash_all=True)
     return found.withColumnRenamed("full_hash", "text_sha256")
+
+
+@query()
+def op6_language_id(spark, folder):
+    """The language of every document, by profiles learnt from those that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    taught = docs.where(~F.col("held_out")).select("text", "lang", language_id.picked(F.col("doc_id")).alias("pick"))
+    found = language_id.identify(docs.select("doc_id", "held_out", "text"), language_id.learn(taught))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op7_pii(spark, folder):
+    """Every document's text with personal data replaced by pseudonyms, and the kinds replaced."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, kinds="kinds")
+
+
+@query()
+def op8_packing(spark, folder):
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096)
+
+
+@query()
+def op9_nbest(spark, folder):
+    """The three best segmentations of every document, their ids as checksums."""
+    return nbest.nbest(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), best=3, digest=True)
+
+
+@query()
+def op10_toxicity(spark, folder):
+    """The toxicity of every document, by a machine learnt from labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    labels = labels.select("doc_id", F.col("toxic").alias("label"), language_id.picked(F.col("doc_id")).alias("pick"))
+    machine = toxicity.learn(docs, labels)
+    return toxicity.score(docs, machine).select("doc_id", "held_out", "score", "predicted")

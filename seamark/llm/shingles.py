@@ -33,15 +33,18 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 STEPS = mix(np.arange(11, 43, dtype=np.uint64)) | np.uint64(1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the number of words of every document.
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE, head: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, or of its first ``head`` bytes, and the number of words of every document.
 
-    ``starts`` and ``ends`` are the documents' places in ``data``, one after another.
+    ``starts`` and ``ends`` are the documents' places in ``data``, one after another;
+    ``space`` says which bytes stand between words.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
-    word = ~SPACE[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = starts[(starts < n) & (starts < ends)]
@@ -53,7 +56,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     place -= np.maximum.accumulate(np.where(first, place, 0))
     longest = int(place.max()) + 1
     power = np.cumprod(np.full(longest, BASE, np.uint64))
-    hashes = mix(np.add.reduceat(BYTE[data] * power[place], at))
+    counted = word if head is None else word & (place < head)
+    hashes = mix(np.add.reduceat(np.where(counted, BYTE[data] * power[place], np.uint64(0)), at))
     return hashes, np.searchsorted(at, ends) - np.searchsorted(at, starts)
 
 
