@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ready, runs, spread
+from seamark.llm.common import ready, runs, spread, within
 from seamark.llm.components import components
 from seamark.llm.shingles import shingle_sets
 from seamark.session import write_out
@@ -257,7 +257,7 @@ def block_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, width: int,
         "members",
     )
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    texts = docs.join(placed, docs["doc_id"] == placed["node"]).select("node", "same", "component", "part", others, "text")
+    texts = within(docs, "doc_id", placed, "node").join(placed, F.col("doc_id") == F.col("node")).select("node", "same", "component", "part", others, "text")
     rows = texts.select(
         "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "same", "text"
     )
