@@ -15,8 +15,8 @@ from seamark.llm.common import fresh, ready, without
 from seamark.llm.queries import PSEUDONYM_KEY, vocabulary
 from seamark.session import write_out
 
-#: Below this cosine with every language a text is in none: half of what short texts of a known one reach.
-LEAST_SCORE = 0.1
+#: Below this cosine with every language a text is no more like one than chance makes it (two standard deviations).
+LEAST_SCORE = 2 / language_id.DIMENSIONS**0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,14 +31,22 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def score(self, rows: np.ndarray, places: np.ndarray, count: int) -> np.ndarray:
-        """Probability of each of ``count`` texts; text ``rows[i]`` has the term at ``places[i]``."""
+    def raw(self, rows: np.ndarray, places: np.ndarray, count: int) -> np.ndarray:
+        """The sum for each of ``count`` texts; text ``rows[i]`` has the term at ``places[i]``."""
         total = np.full(count, self.bias)
         total += np.bincount(rows, self.linear[places], minlength=count)
         for v in self.factors.T:
             sums = np.bincount(rows, v[places], minlength=count)
             total += 0.5 * (sums**2 - np.bincount(rows, v[places] ** 2, minlength=count))
-        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+        return total
+
+    def score(self, rows: np.ndarray, places: np.ndarray, count: int) -> np.ndarray:
+        """The probability of each text."""
+        return sigmoid(self.raw(rows, places, count))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def term_rows(texts: pa.Array):
@@ -53,12 +61,13 @@ def term_rows(texts: pa.Array):
 
 
 def fit(
-    labelled: list[tuple[int, np.ndarray]], terms: int = 4096, rank: int = 8, rounds: int = 12, least: int = 5, seed: int = 5
+    labelled: list[tuple[int, np.ndarray]], terms: int = 4096, rank: int = 8, rounds: int = 20, least: int = 5, hide: float = 0.3, seed: int = 5
 ) -> Machine:
     """A machine learnt from (label, distinct buckets) of a bounded sample.
 
     It has the ``terms`` buckets that tell the labels apart best (chi-squared, in at
-    least ``least`` texts), and is fitted by AdaGrad on the log loss with small weight decay.
+    least ``least`` texts), and is fitted by AdaGrad on the log loss with small weight decay. A share ``hide`` of a text's
+    terms is hidden at random each time, so that terms which come together as a rule also count alone.
     """
     labels = np.array([y for y, _ in labelled], np.float64)
     sets = [np.asarray(b, np.int64) for _, b in labelled]
@@ -89,12 +98,14 @@ def fit(
             some = order[lo : lo + batch]
             rows = np.repeat(np.arange(len(some)), [len(own[i]) for i in some])
             places = np.concatenate([own[i] for i in some])
+            seen = draw.random(len(rows)) >= hide
+            rows, places = rows[seen], places[seen]
             sums = np.zeros((len(some), rank))
             np.add.at(sums, rows, factors[places])
             square = np.zeros(len(some))
             np.add.at(square, rows, (factors[places] ** 2).sum(1))
             raw = bias + np.bincount(rows, linear[places], minlength=len(some)) + 0.5 * ((sums**2).sum(1) - square)
-            error = 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels[some]
+            error = sigmoid(raw) - labels[some]
             seen_b += (error.sum()) ** 2
             bias -= 0.1 * error.sum() / np.sqrt(seen_b)
             touched, which = np.unique(places, return_inverse=True)
@@ -106,7 +117,16 @@ def fit(
             push += 1e-3 * factors[touched]
             seen_f[touched] += push**2
             factors[touched] -= 0.05 * push / np.sqrt(seen_f[touched])
-    return Machine(place, bias, linear, factors)
+    machine = Machine(place, bias, linear, factors)
+    rows, places = np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)
+    # With all terms in sight scores are larger than with some hidden, so the bias is set anew for whole texts.
+    raw = machine.raw(rows, places, n)
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        shift = (low + high) / 2
+        low, high = (shift, high) if sigmoid(raw + shift).sum() < positive else (low, shift)
+    machine.bias += shift
+    return machine
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **settings) -> Machine:
