@@ -60,15 +60,18 @@ def within(docs: DataFrame, key: str, ids: DataFrame, id: str) -> DataFrame:
     Put before a join it keeps most texts that the join would drop out of its shuffle.
     At most ``SIEVE`` numbers are broadcast; with far more ids than that nearly all rows pass.
     """
-    buckets = ids.select(_bucket(F.col(id)).alias("sieve")).distinct()
-    return docs.join(F.broadcast(buckets), _bucket(F.col(key)) == F.col("sieve"), "left_semi")
+    sieve = fresh(docs, "sieve")
+    buckets = ids.select(_bucket(F.col(id)).alias(sieve)).distinct()
+    return docs.join(F.broadcast(buckets), _bucket(F.col(key)) == F.col(sieve), "left_semi")
 
 
 def without(docs: DataFrame, key: str, ids: DataFrame, id: str) -> DataFrame:
     """Rows of ``docs`` whose key, null included, is not in ``ids``; only rows that share a bucket with an id are compared and shuffled."""
-    buckets = ids.select(_bucket(F.col(id)).alias("sieve")).distinct()
-    clear = docs.join(F.broadcast(buckets), _bucket(F.col(key)) == F.col("sieve"), "left_anti")
-    return clear.unionByName(within(docs, key, ids, id).join(ids, F.col(key).eqNullSafe(F.col(id)), "left_anti"))
+    sieve, sought = fresh(docs, "sieve"), fresh(docs, "sought")
+    ids = ids.select(F.col(id).alias(sought))
+    buckets = ids.select(_bucket(F.col(sought)).alias(sieve)).distinct()
+    clear = docs.join(F.broadcast(buckets), _bucket(F.col(key)) == F.col(sieve), "left_anti")
+    return clear.unionByName(within(docs, key, ids, sought).join(ids, F.col(key).eqNullSafe(F.col(sought)), "left_anti"))
 
 
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:

@@ -82,6 +82,8 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         return without(docs, key, gone, "gone_id")
     named = fresh(docs, "full_hash")
     hashed = docs.withColumn(named, F.sha2(normal_text(F.col(text)).cast("binary"), 256))
-    stays = exact_dedup(docs, key, text, hash_all=True).where("kept").select(F.col(key).alias("id"), F.col("full_hash").alias("hash"))
-    one = hashed.join(stays, F.col(key).eqNullSafe(F.col("id")) & (F.col(named) == F.col("hash")), "left_semi")
+    id, hash = fresh(hashed, "id"), fresh(hashed, "hash")
+    found = exact_dedup(docs, key, text, hash_all=True)
+    stays = found.where("kept").select(F.col(key).alias(id), F.col("full_hash").alias(hash))
+    one = hashed.join(stays, F.col(key).eqNullSafe(F.col(id)) & (F.col(named) == F.col(hash)), "left_semi")
     return one.dropDuplicates([key, named]).select(*docs.columns)
