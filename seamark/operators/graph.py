@@ -9,26 +9,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamark.functions.times import hour_number
-from seamark.operators.ranking import SLICE, row_ranks, with_cells
+from seamark.operators.ranking import SLICE, row_ranks, with_cells, with_row
 from seamark.session import write_out
 
 
+#: Ranges that text keys are dealt into, and the steps that find one among twice as many.
+TEXT_CELLS, BISECTIONS = 2048, 13
+
+
 def dense_ids(df: DataFrame, key: str, name: str = "node_id") -> DataFrame:
     """(key, name): 0..n-1 over the distinct keys in order, without a window over the whole table.
 
-    Slices are a million equal-width cells for numeric keys and leading
-    characters for text, both nested in coarser ones.
+    Slices are cells that follow the values for numeric keys. For text they are ranges between
+    drawn keys, so keys that all begin alike spread as well.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     if isinstance(df.schema[key].dataType, T.StringType):
-        slices = [F.substring(key, 1, 16), F.substring(key, 1, 6)]
+        keys = with_text_cells(keys, key, "_cell")
+        slices: Column | list[Column] = F.col("_cell")
     else:
-        keys = with_cells(keys, key, "_cell", 1 << 20)
-        slices = [F.col("_cell"), F.shiftright("_cell", 10)]
+        keys = with_cells(keys, key, "_cell", 1024)
+        slices = [F.col("_cell"), F.floor(F.col("_cell") / 1027)]
     ranked = row_ranks(keys, name, by=[], order=[key], slice_=slices)
     return ranked.select(key, (F.col(name) - 1).alias(name))
 
 
+def with_text_cells(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Add the range of a text key, growing with it: ranges between keys drawn evenly by a hash.
+
+    About ``TEXT_CELLS`` keys are drawn, so each range holds about as many of the
+    keys as any other, however they begin. A key's range is found by bisection.
+    """
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    total = keys.agg(F.count(F.lit(1)).alias("n"))
+    drawn = with_row(keys, total, "_total").where(share < F.lit(float(TEXT_CELLS << 30)) / F.col("_total.n")).select(key)
+    # About TEXT_CELLS drawn keys, whatever the table's size.
+    edges = drawn.agg(F.sort_array(F.collect_list(key)).alias("lows"))
+    placed = with_row(keys, edges, "_edges")
+    return placed.withColumn(name, _upper_bound(F.col("_edges.lows"), F.col(key))).drop("_edges")
+
+
+def _upper_bound(edges: Column, value: Column) -> Column:
+    """How many of the sorted ``edges`` are not above the value, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        done = state["lo"] >= state["hi"]
+        above = F.get(edges, middle) > value
+        return F.struct(
+            F.when(done | above, state["lo"]).otherwise(middle + 1).alias("lo"),
+            F.when(~done & above, middle).otherwise(state["hi"]).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(BISECTIONS))
+    return F.aggregate(steps, start, halve)["lo"].cast("long")
+
+
 def rekey(df: DataFrame, column: str, ids: DataFrame, key: str, name: str = "node_id") -> DataFrame:
     """Replace a primary or foreign key by its dense id; a key without one becomes null."""
     found = ids.select(F.col(key).alias(column), F.col(name).alias("_id"))
@@ -53,6 +90,24 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def resolved_edges(child: DataFrame, child_id: str, foreign: Mapping[str, str], id_type: str) -> DataFrame:
+    """(edge_type, parent, src, dst) both ways for all foreign keys of one table, in one pass over it.
+
+    ``foreign`` maps key columns to their parents; a key is either null or the id
+    of a row of its parent, as ``rekey`` leaves it, so no parent is looked up.
+    """
+    entries = []
+    for column, parent in foreign.items():
+        ends = F.col(child_id).cast(id_type), F.col(column).cast(id_type)
+        for name, (src, dst) in ((f"f2p_{column}", ends), (f"rev_f2p_{column}", ends[::-1])):
+            entry = F.struct(
+                F.lit(name).alias("edge_type"), F.lit(parent).alias("parent"), src.alias("src"), dst.alias("dst")
+            )
+            entries.append(F.when(F.col(column).isNotNull(), entry))
+    kept = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return child.select(F.inline(kept))
+
+
 def latest_neighbours(
     seeds: DataFrame,
     neighbours: DataFrame,
@@ -70,8 +125,8 @@ def latest_neighbours(
 
     Counts per key and hour give every neighbour a position without ordering all
     of them: they show which hours can hold one of the last ``k`` positions of
-    any seed. Only rows of those hours are read on, placed, and fetched by an equal
-    join on (key, position), where each seed asks for at most ``k`` positions. No
+    any seed. Only rows of those hours are read on and placed, and meet the seeds in
+    groups of (key, position), where each seed asks for at most ``k`` positions. No
     pair beyond the result is formed, rows of a busy key spread over its hours and
     positions, and several seeds may share a key.
 
@@ -129,15 +184,21 @@ def latest_neighbours(
         .join(needed, ["_key", SLICE])
         .withColumn("_at", F.col("_before") + F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    wanted = line.where((F.col("_kind") == 1) & (F.col("_at") > 0)).select(
+    # A row stands at its own position, a seed asks for k positions; both meet in order of position, the row first.
+    is_row = F.col("_kind") == 0
+    own = F.when(is_row, F.col("_at")).otherwise(F.greatest(F.col("_at") - (k - 1), F.lit(1).cast("long")))
+    placed = line.where(F.col("_at") > 0).select(
+        "_key",
+        "_kind",
+        "_row",
         "_seed",
         F.col("_time").alias("_seed_time"),
-        "_key",
         F.col("_at").alias("_latest"),
-        F.explode(F.sequence(F.greatest(F.col("_at") - (k - 1), F.lit(1).cast("long")), F.col("_at"))).alias("_at"),
+        F.explode(F.sequence(own, F.col("_at"))).alias("_at"),
     )
-    placed = line.where(F.col("_kind") == 0).select("_key", "_at", "_row")
-    return wanted.join(placed, ["_key", "_at"]).select(
+    here = Window.partitionBy("_key", "_at").orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.withColumn("_row", F.first("_row", ignorenulls=True).over(here)).where(~is_row & F.col("_row").isNotNull())
+    return met.select(
         F.col("_seed").alias(seed),
         F.col("_seed_time").alias(seed_time),
         F.col("_key").alias(key),

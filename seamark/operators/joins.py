@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamark.operators.ranking import PART
+
 
 def attach(df: DataFrame, other: DataFrame, key: str, columns: Sequence[str], how: str = "left") -> DataFrame:
     """Add columns of a keyed table, by key and never by row position."""
@@ -41,9 +43,11 @@ def fan_out(df: DataFrame, details: DataFrame, key: str, columns: Sequence[str])
 
 
 def align(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Series side by side on shared keys; each frame's columns get its name as prefix."""
+    """Series side by side on shared keys, null ones included; each frame's columns get its name as prefix."""
     out = None
     for name, df in frames.items():
-        renamed = df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys])
-        out = renamed if out is None else out.join(renamed, list(keys), "full")
-    return out
+        renamed = df.select(
+            F.struct(*keys).alias(PART), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys]
+        )
+        out = renamed if out is None else out.join(renamed, PART, "full")
+    return out.select(*[F.col(f"{PART}.{k}").alias(k) for k in keys], *[c for c in out.columns if c != PART])

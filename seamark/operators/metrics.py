@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.labels import class_by_argmax
-from seamark.operators.ranking import Running, Total, running, with_cells, with_row
+from seamark.operators.ranking import PART, Running, Total, running, with_cells, with_part, with_row
 
 # Smallest step of a double: probabilities are clipped this far from 0 and 1.
 EPSILON = 2.220446049250313e-16
@@ -166,7 +166,7 @@ def binary_metrics(
     curves = curve_scores(df, label, score, by)
     classes = class_scores(df, label, score, threshold, by)
     if by:
-        return curves.join(classes, list(by)).select(*by, "average_precision", "accuracy", "f1", "roc_auc")
+        return with_part(curves, by).join(with_part(classes, by).drop(*by), PART).select(*by, "average_precision", "accuracy", "f1", "roc_auc")
     return with_row(classes, curves, "_curves").select(
         "_curves.average_precision", "accuracy", "f1", "_curves.roc_auc"
     )
@@ -241,6 +241,6 @@ def patience(
     ranked = ranked.withColumn("stalled", F.col("_rank") - F.col("_last")).withColumn(
         "_over", F.when(F.col("stalled") >= limit, F.col("_rank"))
     )
-    ends = ranked.groupBy(*by).agg(F.min("_over").alias("_end"))
-    kept = ranked.join(ends, list(by)).where(F.col("_end").isNull() | (F.col("_rank") <= F.col("_end")))
-    return kept.select(*df.columns, "best_so_far", "improved", "stalled")
+    # The first row that stalls too long is the last one kept, so a row stays if none before it does.
+    ranked = running(ranked, {"_ended": Running("min", "_over", before=True)}, by=by, order=[position], slice_=slice_)
+    return ranked.where(F.col("_ended").isNull()).select(*df.columns, "best_so_far", "improved", "stalled")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from seamark.functions.times import component_vector, second_number
 from seamark.operators.quantiles import exact_quantiles
+from seamark.operators.ranking import PART, with_part
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -94,7 +95,9 @@ def numeric_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         ]
     )
     moments = moments.select(*by, F.inline(F.array(*[f"_{c}" for c in columns])))
-    return moments.join(exact_quantiles(df, columns, QUARTILES, by), [*by, "column"], "left")
+    keys = [*by, "column"]
+    quartiles = with_part(exact_quantiles(df, columns, QUARTILES, by), keys).select(PART, "q")
+    return with_part(moments, keys).join(quartiles, PART, "left").drop(PART)
 
 
 def categorical_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:

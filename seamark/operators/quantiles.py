@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.operators.ranking import SLICE, first_row, grid, spread, with_row
+from seamark.operators.ranking import PART, SLICE, finite, first_row, grid, spread, with_part, with_row
 
 CELLS = 4096
 
@@ -27,7 +27,7 @@ def value_counts(
 ) -> DataFrame:
     """(by, column, slice, value, n) of numeric columns, with one row of ``n`` 0 for the nulls of a group.
 
-    Groups with a null key are left out. Readers tell the null rows by ``n``, an
+    A null key is a group like any other. Readers tell the null rows by ``n``, an
     aggregate, so no reader's filter moves below the shuffle and all share it.
     ``bounds``, where most values lie, save the pass that looks up the extremes.
     """
@@ -37,8 +37,6 @@ def value_counts(
     else:
         placed = with_row(df.select(*by, *columns), spread(df, columns), "_spread")
         edges = {c: (F.col(f"_spread.lo_{c}"), F.col(f"_spread.hi_{c}")) for c in columns}
-    for key in by:
-        placed = placed.where(F.col(key).isNotNull())
     entries = []
     for c in columns:
         value = F.col(c).cast("double")
@@ -52,20 +50,15 @@ def value_counts(
 
 
 def quantiles_of(counts: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, column, q) with ``q`` an array: linear interpolation between neighbours."""
+    """(by, column, q) with ``q`` an array: linear interpolation between neighbours.
+
+    The cells that hold the wanted ranks are cut into cells of their own range
+    before anything is put in order, so values far from all others, which leave the
+    rest in one cell, leave it in thousands of finer ones.
+    """
     keys = [*by, "column"]
-    group = Window.partitionBy(*keys)
     counts = counts.where(F.col("n") > 0)
-    per_slice = counts.groupBy(*keys, SLICE).agg(F.sum("n").alias("_here"))
-    placed = per_slice.select(
-        *keys,
-        SLICE,
-        "_here",
-        F.coalesce(
-            F.sum("_here").over(group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_skip"),
-        F.sum("_here").over(group).alias("_total"),
-    )
+    total = F.sum("_here").over(Window.partitionBy(*keys))
     wanted = []
     for i, p in enumerate(probabilities):
         place = F.lit(float(p)) * (F.col("_total") - 1)
@@ -77,17 +70,27 @@ def quantiles_of(counts: DataFrame, probabilities: Sequence[float], by: Sequence
                     (place - F.floor(place)).alias("weight"),
                 )
             )
-    placed = placed.withColumn("_wanted", F.array(*wanted)).withColumn(
-        "_wanted",
-        F.filter(
-            "_wanted",
-            lambda w: (w["rank"] >= F.col("_skip")) & (w["rank"] < F.col("_skip") + F.col("_here")),
-        ),
+    value = finite(F.col("value"))
+    per_slice = counts.groupBy(*keys, SLICE).agg(
+        F.sum("n").alias("_here"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    )
+    asked = per_slice.withColumn("_total", total).withColumn("_wanted", F.array(*wanted))
+    holding = _holding(asked.withColumn("_from", F.lit(0).cast("long")), keys, SLICE)
+    cells = (
+        with_part(counts, [*keys, SLICE])
+        .join(with_part(holding, [*keys, SLICE]).select(PART, "_lo", "_hi", "_wanted", F.col("_skip").alias("_from")), PART)
+        .drop(PART)
+        .withColumn("_cell", grid(F.col("value"), F.col("_lo"), F.col("_hi"), CELLS))
+    )
+    fine = [*keys, SLICE]
+    per_cell = cells.groupBy(*fine, "_cell").agg(
+        F.sum("n").alias("_here"), F.any_value("_from").alias("_from"), F.any_value("_wanted").alias("_wanted")
     )
-    holding = placed.where(F.size("_wanted") > 0).select(*keys, SLICE, "_skip", "_wanted")
-    inside = Window.partitionBy(*keys, SLICE).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    narrow = with_part(_holding(per_cell, fine, "_cell"), [*fine, "_cell"]).select(PART, "_skip", "_wanted")
+    inside = Window.partitionBy(PART).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        counts.join(holding, [*keys, SLICE])
+        with_part(cells.drop("_wanted"), [*fine, "_cell"])
+        .join(narrow, PART)
         .withColumn("_upto", F.col("_skip") + F.sum("n").over(inside))
         .select(*keys, "value", "_upto", "n", F.explode("_wanted").alias("_w"))
         .where((F.col("_w.rank") < F.col("_upto")) & (F.col("_w.rank") >= F.col("_upto") - F.col("n")))
@@ -100,13 +103,25 @@ def quantiles_of(counts: DataFrame, probabilities: Sequence[float], by: Sequence
             ],
         )
     )
-    q = [
-        F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) * F.col(f"_f{i}")
-        for i in range(len(probabilities))
-    ]
+
+    def between(low: Column, high: Column, weight: Column) -> Column:
+        # Of equal neighbours, infinite ones included, no difference is taken.
+        return F.when((low == high) | (weight == 0), low).otherwise(low + (high - low) * weight)
+
+    q = [between(F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}"), F.col(f"_f{i}")) for i in range(len(probabilities))]
     return found.select(*keys, F.array(*q).alias("q"))
 
 
+def _holding(counted: DataFrame, keys: Sequence[str], slice_: str) -> DataFrame:
+    """The slices of ``counted(keys, slice, _here, _from, _wanted)`` that hold a wanted rank, ``_skip`` being what lies before them."""
+    earlier = Window.partitionBy(*keys).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_skip", F.col("_from") + F.coalesce(F.sum("_here").over(earlier), F.lit(0)))
+    here = F.filter(
+        "_wanted", lambda w: (w["rank"] >= F.col("_skip")) & (w["rank"] < F.col("_skip") + F.col("_here"))
+    )
+    return placed.withColumn("_wanted", here).where(F.size("_wanted") > 0)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],

@@ -25,6 +25,7 @@ AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 SLICE = "_slice"
 SALT, SALTS, SALT_FROM = "_salt", 256, 16
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,9 @@ def running(
 ) -> DataFrame:
     """Add running aggregates along ``order`` within the groups ``by``.
 
-    Rows with a null group key or a null slice are left out, as in a join. For
-    repeatable results ``order`` must be total within a group.
+    A null group key is a group like any other, and rows with a null slice come first
+    in their group, so ``order`` must put nulls first, as Spark does for ascending
+    columns. For repeatable results it must be total within a group.
     """
     nested = [slice_] if isinstance(slice_, Column) else list(slice_)
     coarse = [f"{SLICE}_{i}" for i in range(1, len(nested))]
@@ -67,7 +69,7 @@ def running(
         *[AGGREGATES[v.how](v.column).alias(f"_in_{name}") for name, v in values.items()]
     )
     carried = _carried(per_slice, values, by, coarse)
-    inside = Window.partitionBy(*by, SLICE).orderBy(*order)
+    inside = Window.partitionBy(PART).orderBy(*order)
 
     def total(name: str, v: Running | Total) -> Column:
         carry = F.col(f"_carry_{name}")
@@ -79,11 +81,16 @@ def running(
             return F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0))
         return F.least(carry, here) if v.how == "min" else F.greatest(carry, here)
 
-    joined = rows.join(carried, [*by, SLICE])
+    joined = with_part(rows, [*by, SLICE]).join(with_part(carried, [*by, SLICE]).drop(*by, SLICE), PART)
     added = {name: total(name, v).alias(name) for name, v in values.items()}
     return joined.select(*[c for c in df.columns if c not in added], *added.values())
 
 
+def with_part(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct. Structs with equal nulls are equal, so a join on it keeps rows with null keys."""
+    return df.withColumn(PART, F.struct(*keys))
+
+
 def _carried(
     per_slice: DataFrame, values: Mapping[str, Running | Total], by: Sequence[str], coarse: list[str]
 ) -> DataFrame:
@@ -136,16 +143,20 @@ def nth_row(
     by: Sequence[str],
     order: Sequence[str | Column],
     slice_: Column | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The n-th row of every group, if it has one.
+    """The n-th row of every group, if it has one; null keys are a group, and null slices come first.
 
     Up to the optimiser's group limit every map task forwards at most ``n`` rows
     of a group, so ``row_number`` is the cheapest plan. A group present in very
     many tasks would still bring ``n`` rows from each together, so the rows are
     first limited per group and salt, which leaves ``SALTS * n`` of them. A larger
     ``n`` finds the slice that holds the row from counts and ranks that slice alone.
+    ``limit`` stands for the optimiser's; both ways give the same rows.
     """
-    if slice_ is None or n <= int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+    if limit is None:
+        limit = int(df.sparkSession.conf.get(GROUP_LIMIT, "1000"))
+    if slice_ is None or n <= limit:
         rows = df
         if n >= SALT_FROM:
             # Any salt gives the same result, so it may differ when a task is run again.
@@ -161,11 +172,12 @@ def nth_row(
         .agg(F.count("*").alias("_rows"))
         .withColumn("_skip", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .where((F.col("_skip") < n) & (F.col("_skip") + F.col("_rows") >= n))
-        .select(*by, SLICE, "_skip")
+        .select(F.struct(*by, SLICE).alias(PART), "_skip")
     )
-    rank = F.row_number().over(Window.partitionBy(*by, SLICE).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(PART).orderBy(*order))
     return (
-        rows.join(holding, [*by, SLICE])
+        with_part(rows, [*by, SLICE])
+        .join(holding, PART)
         .withColumn("_rank", rank + F.col("_skip"))
         .where(F.col("_rank") == n)
         .select(*df.columns)
@@ -199,32 +211,54 @@ def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the smallest and largest value of each column: ``lo_x`` and ``hi_x``."""
+    """One row with the smallest and largest finite value of each column: ``lo_x`` and ``hi_x``."""
     edges = [(how, name, c) for c in columns for how, name in ((F.min, "lo"), (F.max, "hi"))]
-    return df.agg(*[how(c).cast("double").alias(f"{name}_{c}") for how, name, c in edges])
+    return df.agg(*[how(finite(F.col(c).cast("double"))).alias(f"{name}_{c}") for how, name, c in edges])
+
+
+def finite(value: Column) -> Column:
+    """The number, null for NaN and infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def grid(value: Column, low: Column, high: Column, cells: int) -> Column:
-    """Equal-width cell of a number, growing with it; a single cell when there is no width."""
-    return F.coalesce(F.width_bucket(value, low, high, F.lit(cells).cast("long")), F.lit(0).cast("long"))
+    """Equal-width cell of a number, growing with it; a single cell when there is no width.
+
+    What lies below or above falls into cells of its own at the ends, and NaN, the largest value, into the last of all.
+    """
+    cell = F.width_bucket(finite(value), low, high, F.lit(cells).cast("long"))
+    flat = F.when(value.isNull() | (value < low), 0).when(value > high, cells + 1).otherwise(1).cast("long")
+    end = F.when(F.isnan(value), cells + 2).when(value == float("inf"), cells + 1).when(value == float("-inf"), 0)
+    return F.coalesce(end.cast("long"), cell, flat)
 
 
 def with_cells(
     df: DataFrame,
     column: str,
     name: str,
-    cells: int = 4096,
+    cells: int = 1024,
     bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Add the equal-width cell of a numeric column, a slice for an order by it.
+    """Add a cell of a numeric column, a slice for an order by it; coarse cells are ``name // (cells + 3)``.
 
-    Without ``bounds`` the extremes of the column are looked up first. Given
-    bounds save that pass and need not hold: what lies outside falls into the
-    first or last cell, which keeps the order.
+    The range is cut into ``cells`` of equal width, and each of these into as many by
+    the range of its own values, so that values far from all others, or all values
+    close together, still spread over many cells. Without ``bounds`` the extremes of
+    the column are looked up first. Given bounds save that pass and need not
+    hold: what lies outside falls into the first or last coarse cell, which keeps the order.
     """
     value = F.col(column).cast("double")
     if bounds:
-        return df.withColumn(name, grid(value, F.lit(float(bounds[0])), F.lit(float(bounds[1])), cells))
-    placed = with_row(df, spread(df, [column]), "_spread")
-    cell = grid(value, F.col(f"_spread.lo_{column}"), F.col(f"_spread.hi_{column}"), cells)
-    return placed.withColumn(name, cell).drop("_spread")
+        low, high = (F.lit(float(b)) for b in bounds)
+        placed = df.withColumn("_coarse", grid(value, low, high, cells))
+    else:
+        placed = with_row(df, spread(df, [column]), "_spread")
+        low, high = F.col(f"_spread.lo_{column}"), F.col(f"_spread.hi_{column}")
+        placed = placed.withColumn("_coarse", grid(value, low, high, cells)).drop("_spread")
+    ranges = placed.groupBy(F.col("_coarse").alias("_of")).agg(
+        F.min(finite(value)).alias("_low"), F.max(finite(value)).alias("_high")
+    )
+    # One row per coarse cell: ``cells + 3`` rows at most, whatever the table's size.
+    fine = placed.join(F.broadcast(ranges), F.col("_coarse") == F.col("_of"))
+    cell = F.col("_coarse") * (cells + 3) + grid(value, F.col("_low"), F.col("_high"), cells)
+    return fine.withColumn(name, cell).drop("_coarse", "_of", "_low", "_high")

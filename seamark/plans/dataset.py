@@ -27,7 +27,10 @@ class KeyedTable:
 
 @dataclass(frozen=True)
 class Database:
+    """Keyed tables; ``resolved`` says that foreign keys without a parent are null."""
+
     tables: dict[str, KeyedTable]
+    resolved: bool = False
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name].df
@@ -66,7 +69,8 @@ class Database:
 
         Rekeying and graphs read each table several times, so they start from here.
         """
-        return self.with_frames({name: write_out(t.df, name) for name, t in self.tables.items()})
+        kept = self.with_frames({name: write_out(t.df, name) for name, t in self.tables.items()})
+        return replace(kept, resolved=self.resolved)
 
     def rekeyed(self, timed: bool = True, store: bool = False) -> Database:
         """Keys as dense ids 0..n-1, in the order of the original keys.
@@ -91,7 +95,7 @@ class Database:
             for column, parent in t.keys.foreign.items():
                 df = rekey(df, column, ids[parent], self.tables[parent].keys.primary)
             frames[name] = df
-        return self.with_frames(frames)
+        return replace(self.with_frames(frames), resolved=True)
 
     def text_filled(self, text_columns: dict[str, list[str]]) -> Database:
         return self.with_frames({n: fill_text(t.df, text_columns.get(n, [])) for n, t in self.tables.items()})

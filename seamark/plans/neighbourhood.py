@@ -8,41 +8,51 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.operators.graph import (
-    foreign_key_edges,
-    latest_neighbours,
-    neighbour_means,
-    reverse_edges,
-)
+from seamark.operators.graph import latest_neighbours, neighbour_means, resolved_edges
 from seamark.plans.dataset import Database
 from seamark.session import write_out
 
 
+def id_type(db: Database) -> str:
+    """The type of all node ids: that of the keys, or text where tables have keys of several types."""
+    kinds = set()
+    for t in db.tables.values():
+        kinds |= {dict(t.df.dtypes)[c] for c in (t.keys.primary, *t.keys.foreign)}
+    return kinds.pop() if len(kinds) == 1 else "string"
+
+
 def graph_nodes(db: Database) -> DataFrame:
-    """(type, id, time) of a rekeyed database; static nodes have no time."""
-    out = None
+    """(type, id, time) of a database's rows; static nodes have no time. Ids are those of the edges."""
+    kind, out = id_type(db), None
     for name, t in db.tables.items():
         time = F.col(t.keys.time) if t.keys.time else F.lit(None)
         nodes = t.df.select(
-            F.lit(name).alias("type"), F.col(t.keys.primary).alias("id"), time.cast("timestamp_ntz").alias("time")
+            F.lit(name).alias("type"),
+            F.col(t.keys.primary).cast(kind).alias("id"),
+            time.cast("timestamp_ntz").alias("time"),
         )
         out = nodes if out is None else out.unionByName(nodes)
     return out
 
 
 def graph_edges(db: Database) -> DataFrame:
-    """(edge_type, child, parent, src, dst): one type per foreign key, and its reverse."""
-    out = None
+    """(edge_type, child, parent, src, dst): one type per foreign key, and its reverse.
+
+    A rekeyed database is read once per table: its keys are known to have a parent
+    or to be null. Of any other, keys without a parent are set to null first.
+    """
+    kind, out = id_type(db), None
     for name, t in db.tables.items():
-        for column, parent in t.keys.foreign.items():
-            edges = foreign_key_edges(
-                t.df, t.keys.primary, column, db[parent], db.tables[parent].keys.primary, f"f2p_{column}"
-            )
-            both = edges.withColumns({"child": F.lit(name), "parent": F.lit(parent)}).unionByName(
-                reverse_edges(edges).withColumns({"child": F.lit(name), "parent": F.lit(parent)})
-            )
-            out = both if out is None else out.unionByName(both)
-    return out
+        if not t.keys.foreign:
+            continue
+        df = t.df.select(t.keys.primary, *t.keys.foreign)
+        if not db.resolved:
+            for column, parent in t.keys.foreign.items():
+                known = db[parent].select(F.col(db.tables[parent].keys.primary).alias("_known")).distinct()
+                df = df.join(known, F.col(column) == F.col("_known"), "left").drop(column).withColumnRenamed("_known", column)
+        edges = resolved_edges(df, t.keys.primary, t.keys.foreign, kind).withColumn("child", F.lit(name))
+        out = edges if out is None else out.unionByName(edges)
+    return out.select("edge_type", "child", "parent", "src", "dst")
 
 
 @dataclass(frozen=True)

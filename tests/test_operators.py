@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from statistics import median, pstdev
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seamark.functions.times import hour_number
@@ -278,3 +279,50 @@ def test_seen_only(spark):
     static = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     one, two = spark.createDataFrame([(1,), (None,)], "a int"), spark.createDataFrame([(3,), (1,)], "b int")
     assert sorted(r.k for r in profile.seen_only(static, "k", [(one, "a"), (two, "b")]).collect()) == [1, 3]
+
+
+def largest_slice(df, name):
+    return df.groupBy(name).count().agg(F.max("count")).first()[0]
+
+
+def test_cells_of_odd_values_stay_small(spark):
+    rows = spark.range(100_000)
+    far = rows.select(F.when(F.col("id") == 5, F.lit(1 << 62)).otherwise(F.col("id")).alias("k"))
+    narrow = rows.select((0.5 + F.col("id") * 1e-9).alias("k"))
+    odd = rows.select(F.when(F.col("id") < 9, float("nan")).when(F.col("id") < 20, float("inf")).otherwise(F.col("id")).alias("k"))
+    for df, bounds in ((far, None), (narrow, (0.0, 1.0)), (odd, None)):
+        cells = ranking.with_cells(df, "k", "cell", bounds=bounds)
+        assert largest_slice(cells, "cell") < 500
+        inside = Window.orderBy("k")
+        falls = cells.withColumn("before", F.lag("cell").over(inside)).where("before > cell")
+        assert falls.count() == 0
+
+
+def test_text_cells_of_equal_beginnings_stay_small(spark):
+    urls = spark.range(50_000).select(F.concat(F.lit("https://www.example.org/a/long/path/"), F.col("id")).alias("url"))
+    cells = graph.with_text_cells(urls, "url", "cell")
+    assert largest_slice(cells, "cell") < 500
+    assert cells.withColumn("before", F.lag("cell").over(Window.orderBy("url"))).where("before > cell").count() == 0
+
+
+def test_bounds_do_not_change_quantiles(spark):
+    rows = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("nan"))], "x double")
+    for bounds in (None, (0.0, 10.0), (2.0, 2.5)):
+        q = quantiles.exact_quantiles(rows, ["x"], [0.0, 0.5, 1.0], bounds=bounds).first().q
+        assert q[:2] == [1.0, 2.5] and q[2] != q[2]
+    rows = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("inf"))], "x double")
+    assert quantiles.exact_quantiles(rows, ["x"], [1.0]).first().q == [float("inf")]
+
+
+@pytest.mark.parametrize("n", [15, 16, 40])
+def test_both_ways_to_the_nth_row_agree(spark, n):
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 4 != 0, F.col("id") % 3).alias("k"),
+        F.when(F.col("id") % 5 != 0, F.col("id")).alias("t"),
+        "id",
+    )
+    order = [F.asc_nulls_first("t"), "id"]
+    ways = [
+        ranking.nth_row(rows, n, by=["k"], order=order, slice_=F.floor(F.col("t") / 10), limit=limit).collect() for limit in (1000, 1)
+    ]
+    assert sorted(map(str, ways[0])) == sorted(map(str, ways[1])) and len(ways[0]) == 4

@@ -148,6 +148,59 @@ def nth_event_per_type(t: Source) -> DataFrame:
     )
 
 
+NULLED = """
+n AS (SELECT nullif(event_type, 'click') AS event_type,
+             CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts, event_id FROM events)"""
+
+
+def nulled(t: Source) -> DataFrame:
+    """Events with a null type and null times, each a good part of the rows."""
+    return t.events.select(
+        F.nullif("event_type", F.lit("click")).alias("event_type"),
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"),
+        "event_id",
+    )
+
+
+def nth_null_sql(n: int) -> str:
+    return f"""
+WITH {NULLED}
+SELECT event_type, ts, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id) AS rn FROM n) WHERE rn = {n}
+"""
+
+
+def nth_null(t: Source, n: int, limit: int) -> DataFrame:
+    order = [F.asc_nulls_first("ts"), "event_id"]
+    return ranking.nth_row(
+        nulled(t), n, by=["event_type"], order=order, slice_=times.hour_number(F.col("ts")), limit=limit
+    )
+
+
+@query("nth_row_null_times", nth_null_sql(20))
+def nth_row_null_times(t: Source) -> DataFrame:
+    return nth_null(t, 20, limit=1000)
+
+
+@query("nth_row_null_times_by_slices", nth_null_sql(20))
+def nth_row_null_times_by_slices(t: Source) -> DataFrame:
+    """The same rows the other way, which finds them from counts."""
+    return nth_null(t, 20, limit=1)
+
+
+@query(
+    "every_kth_null_times",
+    f"""
+WITH {NULLED}
+SELECT event_type, ts, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id) AS rn FROM n) WHERE rn % 3 = 0
+""",
+)
+def every_kth_null_times(t: Source) -> DataFrame:
+    order = [F.asc_nulls_first("ts"), "event_id"]
+    return ranking.every_kth_row(nulled(t), 3, by=["event_type"], order=order, slice_=times.hour_number(F.col("ts")))
+
+
 MEDIAN_MODE_SQL = f"""
 m AS (SELECT user_id, value, {K} AS k, event_type FROM events),
 med AS (SELECT user_id, median(value) AS median_value, median(k) AS median_k FROM m GROUP BY user_id),

@@ -32,11 +32,34 @@ def dense_text_ids(t: Source) -> DataFrame:
     "sparse_key_ids",
     """
 SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS node_id
-FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 40)
+FROM (SELECT DISTINCT l_partkey * l_partkey AS l_partkey FROM lineitem)
 """,
 )
 def sparse_key_ids(t: Source) -> DataFrame:
-    return graph.dense_ids(t.lineitem.where(F.col("l_quantity") > 40), "l_partkey")
+    """Keys with ever wider gaps."""
+    return graph.dense_ids(t.lineitem.select((F.col("l_partkey") * F.col("l_partkey")).alias("l_partkey")), "l_partkey")
+
+
+@query(
+    "dense_url_ids",
+    "SELECT url, row_number() OVER (ORDER BY url) - 1 AS node_id FROM (SELECT DISTINCT url FROM pages)",
+)
+def dense_url_ids(t: Source) -> DataFrame:
+    """Keys that all begin alike."""
+    return graph.dense_ids(t.pages, "url")
+
+
+@query(
+    "dense_ids_outlier",
+    """
+SELECT k, row_number() OVER (ORDER BY k) - 1 AS node_id
+FROM (SELECT DISTINCT CASE WHEN event_id = 7 THEN 4611686018427387904 ELSE event_id END AS k FROM events)
+""",
+)
+def dense_ids_outlier(t: Source) -> DataFrame:
+    """One key far from all others."""
+    keys = t.events.select(F.when(F.col("event_id") == 7, F.lit(1 << 62)).otherwise(F.col("event_id")).alias("k"))
+    return graph.dense_ids(keys, "k")
 
 
 @query(
@@ -70,6 +93,53 @@ def graph_edge_counts(t: Source) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count("*").alias("edges"), F.sum(parent).alias("parent_sum"))
 
 
+EDGE_ROWS = """
+e AS (SELECT 'f2p_user_id' AS edge_type, 'events' AS child, {event} AS src, {customer_of_event} AS dst
+      FROM events {join_event}
+  UNION ALL SELECT 'f2p_o_custkey', 'orders', {order}, {customer_of_order} FROM orders {join_order})
+SELECT edge_type, child, 'customers' AS parent, src, dst FROM e
+UNION ALL SELECT 'rev_' || edge_type, child, 'customers', dst, src FROM e
+"""
+
+
+@query(
+    "event_graph_edge_rows",
+    f"WITH {IDS}, ev AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS id FROM events), "
+    "od AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders), "
+    + EDGE_ROWS.format(
+        event="ev.id", customer_of_event="node_id", join_event="JOIN ev USING (event_id) JOIN ids ON c_custkey = user_id",
+        order="od.id", customer_of_order="node_id", join_order="JOIN od USING (o_orderkey) JOIN ids ON c_custkey = o_custkey",
+    ),
+)
+def event_graph_edge_rows(t: Source) -> DataFrame:
+    return neighbourhood.graph_edges(activity(t).rekeyed(store=True))
+
+
+@query(
+    "event_graph_edge_rows_untimed",
+    f"WITH {IDS}, "
+    + EDGE_ROWS.format(
+        event="event_id", customer_of_event="node_id", join_event="JOIN ids ON c_custkey = user_id",
+        order="o_orderkey", customer_of_order="node_id", join_order="JOIN ids ON c_custkey = o_custkey",
+    ),
+)
+def event_graph_edge_rows_untimed(t: Source) -> DataFrame:
+    """Rows of timed tables keep their own ids."""
+    return neighbourhood.graph_edges(activity(t).rekeyed(timed=False, store=True))
+
+
+@query(
+    "event_graph_edge_rows_own_keys",
+    "WITH " + EDGE_ROWS.format(
+        event="event_id", customer_of_event="c_custkey", join_event="JOIN customer ON c_custkey = user_id",
+        order="o_orderkey", customer_of_order="c_custkey", join_order="JOIN customer ON c_custkey = o_custkey",
+    ),
+)
+def event_graph_edge_rows_own_keys(t: Source) -> DataFrame:
+    """A database that was not rekeyed: keys without a parent give no edge."""
+    return neighbourhood.graph_edges(activity(t))
+
+
 @query(
     "graph_nodes",
     """

@@ -219,6 +219,26 @@ def rekeyed_voyages(t: Source) -> DataFrame:
     return dataset.ship_database(built(t)).stored().rekeyed(store=True)["voyages"]
 
 
+@query(
+    "ship_graph_edge_rows",
+    f"""
+WITH {DB},
+v AS (SELECT mmsi, row_number() OVER (ORDER BY mmsi) - 1 AS id FROM vessel),
+p AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS id FROM nation),
+e AS (SELECT 'f2p_mmsi' AS edge_type, 'vessels_details' AS child, 'vessels' AS parent, vessel_details_id AS src, id AS dst
+      FROM details JOIN v USING (mmsi)
+      UNION ALL SELECT 'f2p_mmsi', 'positions', 'vessels', position_id, id FROM pos JOIN v USING (mmsi)
+      UNION ALL SELECT 'f2p_mmsi', 'voyages', 'vessels', voyage_id, id FROM voy JOIN v USING (mmsi)
+      UNION ALL SELECT 'f2p_destination', 'voyages', 'ports', voyage_id, id FROM voy JOIN p ON n_name = destination)
+SELECT edge_type, child, parent, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e
+UNION ALL SELECT 'rev_' || edge_type, child, parent, CAST(dst AS VARCHAR), CAST(src AS VARCHAR) FROM e
+""",
+)
+def ship_graph_edge_rows(t: Source) -> DataFrame:
+    """Rows of timed tables keep their text ids, so all node ids are text."""
+    return neighbourhood.graph_edges(dataset.ship_database(built(t)).stored().rekeyed(timed=False, store=True))
+
+
 @query(
     "ship_graph_edges",
     f"""
@@ -231,7 +251,7 @@ SELECT * FROM e UNION ALL SELECT 'rev_' || edge_type, child, edges FROM e
 """,
 )
 def ship_graph_edges(t: Source) -> DataFrame:
-    edges = neighbourhood.graph_edges(dataset.ship_database(built(t)).stored().rekeyed(timed=False, store=True))
+    edges = neighbourhood.graph_edges(dataset.ship_database(built(t)).stored().rekeyed(store=True))
     return edges.groupBy("edge_type", "child").agg(F.count("*").alias("edges"))
 
 

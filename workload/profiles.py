@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark.functions.times import component_vector
 from seamark.operators import joins, profile
+from seamark.operators.quantiles import exact_quantiles
 from seamark.plans import ports
 from seamark.plans.dataset import Database, KeyedTable
 from seamark.schema import Keys
@@ -148,6 +149,60 @@ def column_stats_by_type(t: Source) -> DataFrame:
     return wide_stats(profile.numeric_stats(t.events, ["value"], ["event_type"]), "event_type")
 
 
+@query(
+    "stats_null_group",
+    """
+WITH e AS (SELECT nullif(event_type, 'click') AS kind, value FROM events)
+SELECT kind, 'value' AS column, count(value) AS n, round(avg(value), 6) AS mean,
+       round(stddev_pop(value), 6) AS std, round(min(value), 6) AS q0, round(quantile_cont(value, 0.25), 6) AS q25,
+       round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75,
+       round(max(value), 6) AS q100
+FROM e GROUP BY kind
+""",
+)
+def stats_null_group(t: Source) -> DataFrame:
+    rows = t.events.select(F.nullif("event_type", F.lit("click")).alias("kind"), "value")
+    return wide_stats(profile.numeric_stats(rows, ["value"], ["kind"]), "kind")
+
+
+@query(
+    "median_outlier",
+    """
+WITH v AS (SELECT CASE WHEN event_id = 7 THEN 1e300 ELSE value END AS x FROM events)
+SELECT round(quantile_cont(x, 0.25), 6) AS q25, round(median(x), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75 FROM v
+""",
+)
+def median_outlier(t: Source) -> DataFrame:
+    """One value far from all others, which leaves those in one cell of equal width."""
+    rows = t.events.select(F.when(F.col("event_id") == 7, 1e300).otherwise(F.col("value")).alias("x"))
+    q = exact_quantiles(rows, ["x"], [0.25, 0.5, 0.75])
+    return q.select(*[r6(F.col("q")[i]).alias(name) for i, name in enumerate(("q25", "q50", "q75"))])
+
+
+@query(
+    "quantiles_nan_inf",
+    """
+WITH v AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 50 = 1 THEN 'Infinity'::DOUBLE
+                       WHEN event_id % 50 = 2 THEN '-Infinity'::DOUBLE ELSE value END AS x FROM events),
+r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () - 1 AS last FROM v)
+SELECT max(x) FILTER (i = floor(last * 0.01)) AS low, round(max(x) FILTER (i = floor(last * 0.5)), 6) AS middle,
+       max(x) FILTER (i = floor(last * 0.97)) AS high, max(x) FILTER (i = last) AS top
+FROM r
+""",
+)
+def quantiles_nan_inf(t: Source) -> DataFrame:
+    """NaN is the largest value and infinities have a place, with bounds that hold for few values."""
+    kind = F.col("event_id") % 50
+    x = F.when(kind == 0, float("nan")).when(kind == 1, float("inf")).when(kind == 2, float("-inf")).otherwise(F.col("value"))
+    rows = t.events.select(x.alias("x"))
+    last = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"] - 1
+    at = [int(last * p) / last for p in (0.01, 0.5, 0.97, 1.0)]
+    q = exact_quantiles(rows, ["x"], at, bounds=(10.0, 20.0))
+    return q.select(
+        F.col("q")[0].alias("low"), r6(F.col("q")[1]).alias("middle"), F.col("q")[2].alias("high"), F.col("q")[3].alias("top")
+    )
+
+
 @query(
     "column_stats_categorical",
     """

@@ -102,6 +102,34 @@ def task_metrics(t: Source) -> DataFrame:
     return m.withColumns({c: r6(c) for c in ("average_precision", "accuracy", "f1", "roc_auc")})
 
 
+NULL_SPLIT = CURVE.replace(
+    f"SELECT {split_sql('ts')} AS split", f"SELECT nullif({split_sql('ts')}, 'val') AS split"
+)
+
+
+@query(
+    "metrics_null_group",
+    f"""
+WITH {NULL_SPLIT},
+m AS (SELECT split, {AUC} AS roc_auc, {AP} AS average_precision FROM c GROUP BY split),
+h AS (SELECT split, round(avg(CASE WHEN (score > 0) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round(2.0 * count(*) FILTER (score > 0 AND label = 1) / (count(*) FILTER (score > 0) + sum(label)), 6) AS f1 FROM s GROUP BY split)
+SELECT m.split, average_precision, accuracy, f1, roc_auc FROM m JOIN h ON m.split IS NOT DISTINCT FROM h.split
+""",
+)
+def metrics_null_group(t: Source) -> DataFrame:
+    rows = scored(t).withColumn("split", F.nullif("split", F.lit("val")))
+    m = metrics.binary_metrics(rows, "label", "score", by=["split"])
+    return m.withColumns({c: r6(c) for c in ("average_precision", "accuracy", "f1", "roc_auc")})
+
+
+@query("auc_narrow_scores", f"WITH {CURVE} SELECT split, {AUC} AS roc_auc FROM c GROUP BY split")
+def auc_narrow_scores(t: Source) -> DataFrame:
+    """Scores in a band far narrower than the bounds; the order, and with it the area, is that of the values."""
+    rows = scored(t).withColumn("score", 0.5 + F.col("score") * 1e-8)
+    return metrics.roc_auc(rows, "label", "score", ["split"], bounds=(0.0, 1.0)).withColumn("roc_auc", r6("roc_auc"))
+
+
 @query(
     "mae",
     f"WITH m AS (SELECT user_id, value, {K} AS k FROM events) "

@@ -191,6 +191,41 @@ def hist_40(t: Source) -> DataFrame:
     return hist.select("o_orderstatus", "bin", r6("bin_start").alias("bin_start"), "n")
 
 
+LINES = "l AS (SELECT nullif(l_returnflag, 'N') AS flag, l_quantity FROM lineitem)"
+
+
+@query(
+    "hist_unit_null_group",
+    f"""
+WITH {LINES}, e AS (SELECT CAST(floor(min(l_quantity)) AS BIGINT) AS lo, CAST(floor(max(l_quantity)) AS BIGINT) AS hi FROM l),
+g AS (SELECT flag, bin FROM (SELECT DISTINCT flag FROM l), (SELECT unnest(range(lo, hi + 1)) AS bin FROM e))
+SELECT g.flag, g.bin, count(l_quantity) AS n
+FROM g LEFT JOIN l ON l.flag IS NOT DISTINCT FROM g.flag AND floor(l.l_quantity) = g.bin GROUP BY ALL
+""",
+)
+def hist_unit_null_group(t: Source) -> DataFrame:
+    rows = t.lineitem.select(F.nullif("l_returnflag", F.lit("N")).alias("flag"), "l_quantity")
+    return histograms.unit_histogram(rows, "l_quantity", ["flag"])
+
+
+@query(
+    "hist_40_null_group",
+    """
+WITH o AS (SELECT nullif(o_orderstatus, 'O') AS status, o_totalprice AS x FROM orders),
+s AS (SELECT status, min(x) AS lo, max(x) AS hi FROM o GROUP BY 1),
+b AS (SELECT o.status, least(floor((x - lo) / (hi - lo) * 40), 39)::BIGINT AS bin, count(*) AS n
+      FROM o JOIN s ON o.status IS NOT DISTINCT FROM s.status GROUP BY ALL)
+SELECT s.status, g.bin, round(lo + g.bin * (hi - lo) / 40, 6) AS bin_start, coalesce(n, 0) AS n
+FROM s CROSS JOIN (SELECT unnest(range(40)) AS bin) g
+LEFT JOIN b ON b.status IS NOT DISTINCT FROM s.status AND b.bin = g.bin
+""",
+)
+def hist_40_null_group(t: Source) -> DataFrame:
+    rows = t.orders.select(F.nullif("o_orderstatus", F.lit("O")).alias("status"), "o_totalprice")
+    hist = histograms.equal_width_histogram(rows, "o_totalprice", 40, ["status"])
+    return hist.select("status", "bin", r6("bin_start").alias("bin_start"), "n")
+
+
 @query(
     "exact_downsample",
     """
