@@ -46,9 +46,13 @@ def not_null(column: Column, message: str) -> Column:
     return F.when(column.isNull(), F.raise_error(F.lit(message))).otherwise(column)
 
 
-def conform(df: DataFrame, target: T.StructType, values: Mapping[str, Column] | None = None) -> DataFrame:
+def conform(
+    df: DataFrame, target: T.StructType, values: Mapping[str, Column] | None = None, check: bool = True
+) -> DataFrame:
     """Columns of ``target`` in order and with its types, checking its NOT NULL columns.
 
+    Without ``check``, for rows checked when they were written, columns stay plain and filters on them reach the scan.
+
     A double that goes into an integer column is rounded half to even, as an
     INSERT into a declared table rounds it.
     """
@@ -60,9 +64,9 @@ def conform(df: DataFrame, target: T.StructType, values: Mapping[str, Column] |
         column = F.col(f.name)
         if isinstance(f.dataType, T.IntegerType) and isinstance(source.schema[f.name].dataType, fractional):
             column = int_from_number(column)
-        else:
+        elif source.schema[f.name].dataType != f.dataType:
             column = column.cast(f.dataType)
-        if not f.nullable:
+        if check and not f.nullable:
             column = not_null(column, f"{f.name} must not be null")
         columns.append(column.alias(f.name))
     return source.select(columns)

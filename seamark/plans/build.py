@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.functions.casts import add_missing, conform, timestamp
+from seamark.functions.casts import add_missing, conform, not_null, timestamp
 from seamark.functions.times import composite_id, time_parts
 from seamark.operators.joins import update_from
 from seamark.operators.quantiles import medians_and_modes
@@ -25,12 +25,21 @@ OFFSET_RANGE = (0, 512)
 VOYAGE_FIELDS = ["draught", "destination", "eta"]
 
 
-def in_period(df: DataFrame, start: object = None, end: object = None, time: str = "timestamp") -> DataFrame:
-    """Half-open period; either bound may be missing."""
+def in_period(
+    df: DataFrame, start: object = None, end: object = None, time: str = "timestamp", day: str = "date"
+) -> DataFrame:
+    """Half-open period; either bound may be missing.
+
+    A column ``day`` of dates is taken for the day of ``time``, as in the folders
+    of ``write_messages``, and filtered as well, so that other days' folders aren't read.
+    """
+    dated = dict(df.dtypes).get(day) == "date"
     if start is not None:
         df = df.where(F.col(time) >= timestamp(start))
+        df = df.where(F.col(day) >= timestamp(start).cast("date")) if dated else df
     if end is not None:
         df = df.where(F.col(time) < timestamp(end))
+        df = df.where(F.col(day) <= timestamp(end).cast("date")) if dated else df
     return df
 
 
@@ -73,19 +82,19 @@ def _row_id() -> Column:
     return composite_id(F.col("mmsi"), F.col("timestamp"))
 
 
-def positions(distinct: DataFrame) -> DataFrame:
+def positions(distinct: DataFrame, check: bool = True) -> DataFrame:
     rows = distinct.select("mmsi", "timestamp", "position.*")
-    return conform(rows, POSITION, {"position_id": _row_id()})
+    return conform(rows, POSITION, {"position_id": _row_id()}, check)
 
 
-def vessel_details(distinct: DataFrame) -> DataFrame:
+def vessel_details(distinct: DataFrame, check: bool = True) -> DataFrame:
     rows = distinct.where(F.col("details").isNotNull()).select("mmsi", "timestamp", "details.*")
-    return conform(rows, VESSEL_DETAILS, {"vessel_details_id": _row_id()})
+    return conform(rows, VESSEL_DETAILS, {"vessel_details_id": _row_id()}, check)
 
 
-def voyages(distinct: DataFrame) -> DataFrame:
+def voyages(distinct: DataFrame, check: bool = True) -> DataFrame:
     rows = distinct.where(F.col("voyage").isNotNull()).select("mmsi", "timestamp", "voyage.*")
-    return conform(rows, VOYAGE, {"voyage_id": _row_id(), **time_parts(F.col("eta"))})
+    return conform(rows, VOYAGE, {"voyage_id": _row_id(), **time_parts(F.col("eta"))}, check)
 
 
 def geometry_stats(details: DataFrame, key: str = "mmsi", columns: list[str] = OFFSETS) -> DataFrame:
@@ -120,15 +129,15 @@ class Tables:
 
     @cached_property
     def vessel_details(self) -> DataFrame:
-        return vessel_details(self._distinct)
+        return vessel_details(self._distinct, check=not self.ranged)
 
     @cached_property
     def voyage(self) -> DataFrame:
-        return voyages(self._distinct)
+        return voyages(self._distinct, check=not self.ranged)
 
     @cached_property
     def position(self) -> DataFrame:
-        return positions(self._distinct)
+        return positions(self._distinct, check=not self.ranged)
 
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in self.NAMES]
@@ -155,7 +164,9 @@ def build_tables(
         messages = first_days(messages, days)
     distinct = distinct_messages(messages)
     if store:
-        distinct = write_out(distinct, "distinct-messages", FACT_ORDER)
+        # Keys are checked here, once; readers of the files get plain columns.
+        checked = {c: not_null(F.col(c), f"{c} must not be null") for c in FACT_ORDER}
+        distinct = write_out(distinct.withColumns(checked), "distinct-messages", FACT_ORDER)
     return Tables(messages, distinct, ports, geometry, ranged=store)
 
 

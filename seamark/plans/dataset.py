@@ -123,7 +123,7 @@ def ship_database(tables: Tables, unique: bool = False) -> Database:
     keyed = {}
     for name, df in frames.items():
         keys = DATABASE_KEYS[name]
-        if keys.time:
+        if keys.time and not unique:
             df = df.withColumn(keys.time, to_second(F.col(keys.time)))
         if name != "ports" and not unique:
             rest = [c for c in df.columns if c != keys.primary]

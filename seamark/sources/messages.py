@@ -27,10 +27,12 @@ def typed(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Parse the two text dates and cast imo and the offsets to integers.
 
     Unreadable dates raise when ``strict``, as an unreadable date in the source
-    would; otherwise they become null.
+    would; otherwise they become null. Columns that have their type already, as in
+    files written by ``write_messages``, are left alone, so filters on them reach the scan.
     """
-    parsed = {c: parse_time(F.col(c), DATE_FORMAT, strict) for c in ("timestamp", "eta")}
-    numbers = {c: to_int(raw, c) for c in ["imo", *OFFSETS]}
+    kinds = dict(raw.dtypes)
+    parsed = {c: parse_time(F.col(c), DATE_FORMAT, strict) for c in ("timestamp", "eta") if kinds[c] == "string"}
+    numbers = {c: to_int(raw, c) for c in ["imo", *OFFSETS] if kinds[c] != "int"}
     return raw.withColumns({**parsed, **numbers})
 
 

@@ -277,3 +277,38 @@ def test_weekly_counts_are_reduced_before_the_join(spark):
     ships = spark.createDataFrame([(1, "Cargo")], "mmsi int, shiptype string")
     text = plan_of(weekly.weekly_counts(moves, ships)).split("== Physical Plan ==")[1]
     assert text.index("Join") < text.rindex("partial_count")
+
+
+def scan_of(df):
+    """What the scans of a plan are asked to leave out."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("PartitionFilters: ")[1] for line in text.splitlines() if "PartitionFilters: " in line]
+
+
+def test_periods_leave_out_folders_and_row_groups(spark):
+    from workload import messages as work
+    from workload.base import Source
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    source = Source(spark, "/root/testdata/sf0.001")
+    typed = work.day_folders(source)
+    tables = build.build_tables(typed, work.harbours(source), "2024-01-05 00:00:00", "2024-01-07 00:00:00", geometry=False)
+    for df in (tables.position, tables.vessel):
+        for scan in scan_of(df):
+            folders, pushed = scan.split("PushedFilters: ")
+            assert "date" in folders.split("]")[0] and "timestamp" in pushed and "mmsi" in pushed
+    days = {str(r.day) for r in tables.position.select(F.to_date("timestamp").alias("day")).distinct().collect()}
+    assert days == {"2024-01-05", "2024-01-06"}
+    kept = work.stored(source)
+    one = build.in_period(kept.position, "2024-01-05", "2024-01-06").where("mmsi = 3")
+    assert all("EqualTo(mmsi,3)" in scan and "GreaterThanOrEqual(timestamp" in scan for scan in scan_of(one))
+    db = dataset.ship_database(kept, unique=True).up_to("2024-01-06 00:00:00")
+    assert all("LessThan(timestamp" in scan for scan in scan_of(db["positions"]))
+
+
+def test_edges_are_read_once_per_table(spark, built):
+    dense = dataset.ship_database(built).stored().rekeyed(store=True).stored()
+    text = neighbourhood.graph_edges(dense)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 3 and "Join" not in text
+    untimed = neighbourhood.graph_edges(dataset.ship_database(built).stored().rekeyed(timed=False, store=True))
+    assert ("f2p_mmsi", "1_20250407000000") in {(r.edge_type, r.src) for r in untimed.collect()}

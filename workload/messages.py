@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.times import to_hour
 from seamark.plans import build, dataset, neighbourhood, task
 from seamark.schema import DATE_FORMAT, OFFSETS
-from seamark.sources.messages import clean, typed
+from seamark.session import shared_folder
+from seamark.sources.messages import clean, read_messages, typed, write_messages
 from workload.base import K, Source, query
 
 START, END = "2024-01-04 00:00:00", "2024-01-25 00:00:00"
@@ -184,6 +187,34 @@ def vessel_with_geometry(t: Source) -> DataFrame:
     return built(t).vessel
 
 
+def stored(t: Source) -> build.Tables:
+    return build.build_tables(raw_messages(t), harbours(t), START, END, geometry=False, store=True)
+
+
+@query("build_position_stored", f"WITH {RAW} {POSITION}")
+def build_position_stored(t: Source) -> DataFrame:
+    """The position table as a projection of the distinct messages, which are written once."""
+    return stored(t).position
+
+
+@query("build_voyage_stored", f"WITH {RAW} {VOYAGE}")
+def build_voyage_stored(t: Source) -> DataFrame:
+    return stored(t).voyage
+
+
+@query("period_from_day_folders", f"WITH {RAW} {POSITION}")
+def period_from_day_folders(t: Source) -> DataFrame:
+    """The same period from typed messages in a folder per day."""
+    return build.build_tables(day_folders(t), harbours(t), START, END, geometry=False).position
+
+
+def day_folders(t: Source) -> DataFrame:
+    spark = t.events.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/messages-{uuid.uuid4().hex}"
+    write_messages(typed(raw_messages(t)), path)
+    return read_messages(spark, path)
+
+
 DB = f"{RAW}, vessel AS ({VESSEL}), details AS ({DETAILS}), pos AS ({POSITION}), voy AS ({VOYAGE})"
 
 
