@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -18,13 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and see few texts at a time.
 
-    A cluster on which the package is installed, or shipped with the job, needs nothing of this.
+    A cluster on which the package is installed, or shipped with the job, doesn't need the first.
+    The second sets the session's rows per Arrow batch, unless it has been set, as whole texts are far
+    longer than the values its default is meant for.
     """
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     return spark
 
 

@@ -16,7 +16,7 @@ UNKNOWN = "und"
 #: Letters of an n-gram, dimensions of a vector, the seed of the letters' vectors.
 ORDER, DIMENSIONS, SEED = 3, 1024, 20240117
 #: Characters that are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Stands for whatever is between words.
 GAP = 0
 
@@ -84,7 +84,7 @@ def profiles(texts: list[str | None], letters: Letters) -> Iterator[tuple[int, n
             if len(kinds):
                 grams = np.stack([symbols[kinds // base**2], symbols[kinds // base % base], symbols[kinds % base]], axis=1)
                 vectors = letters.ngrams(grams)
-                step = max(1, (1 << 22) // len(kinds))
+                step = max(1, (1 << 21) // len(kinds))
                 edges = np.searchsorted(of, np.arange(0, last - row + step, step))
                 for k, lo in enumerate(range(0, last - row, step)):
                     hi = min(last - row, lo + step)

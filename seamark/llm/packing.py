@@ -18,7 +18,7 @@ from seamark.session import write_out
 
 END = 1
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Parts that each length is dealt into for numbering its pieces.
 SALTS = 64
 
