@@ -143,6 +143,9 @@ def semantic_types(
     are categorical; fractional numbers are numerical; an integer or text column
     is categorical when it has at most ``max_levels`` values that each occur at
     least ``min_repeats`` times, and numerical or text otherwise.
+
+    A sketch of all columns in one pass shows which can have so few values, with
+    far more room than it errs by; only the values of those are counted.
     """
     fixed, judged = {}, []
     for f in df.schema.fields:
@@ -161,7 +164,10 @@ def semantic_types(
     out = _pairs(df, fixed, "semantic_type") if fixed else None
     if judged:
         other = {c: "text" if isinstance(df.schema[c].dataType, T.StringType) else "numerical" for c in judged}
-        levels = categorical_stats(df, judged).groupBy("column").agg(F.count("*").alias("levels"), F.min("n").alias("least"))
+        sketched = df.agg(*[F.approx_count_distinct(c, 0.03).alias(f"_{i}") for i, c in enumerate(judged)]).first()
+        few = [c for i, c in enumerate(judged) if sketched[i] <= 2 * max_levels]
+        counted = categorical_stats(df, few) if few else categorical_stats(df.limit(0), judged)
+        levels = counted.groupBy("column").agg(F.count("*").alias("levels"), F.min("n").alias("least"))
         names = _pairs(df, other, "other")
         repeats = (F.col("levels") <= max_levels) & (F.col("least") >= min_repeats)
         found = names.join(levels, "column", "left").select(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Tokenizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +112,8 @@ def fit_baseline(
     if weight:
         estimator = estimator.setWeightCol(weight)
     model = estimator.fit(assembled.withColumn("_y", F.col(label).cast("double")))
+    if model.hasSummary and model.summary.totalIterations >= max_iter:
+        raise ValueError(f"no convergence in {max_iter} steps")
     return Baseline(scaler, model, tuple(columns))
 
 
@@ -149,8 +151,14 @@ def grid_search(features: DataFrame, columns: Sequence[str], label: str, strengt
     return out
 
 
-def text_vectors(df: DataFrame, column: str, size: int = 300, out: str = "vector") -> DataFrame:
-    """A fixed-size vector of hashed word counts for a text column; missing text reads ``Unknown``."""
-    words = Tokenizer(inputCol=column, outputCol="_words").transform(fill_text(df, [column]))
-    hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
-    return hashed.withColumn(out, vector_to_array("_tf")).drop("_words", "_tf")
+def text_vectors(df: DataFrame, key: str, column: str, size: int = 300) -> DataFrame:
+    """(key, dimension, n): hashed word counts of a text column, the entries that are not 0.
+
+    A word is what white space separates, in lower case; its dimension is the
+    start of its MD5 as a number, modulo ``size``. Missing text reads ``Unknown``.
+    Rows of equal keys are one text.
+    """
+    words = F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda w: w != "")
+    flat = fill_text(df.select(key, column), [column]).select(key, F.explode(words).alias("_word"))
+    place = F.conv(F.substring(F.md5(F.col("_word").cast("binary")), 1, 8), 16, 10).cast("long") % size
+    return flat.groupBy(key, place.alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
