@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seamark.functions.labels import percentage, split_label
 from seamark.operators.histograms import equal_width_histogram, size_pairs, unit_histogram
 from seamark.operators.profile import distinct_per_group
+from seamark.operators.sampling import downsample_repeated, shuffled
 
 
 def with_split(df: DataFrame, time: str, val_start: object, test_start: object) -> DataFrame:
@@ -33,6 +34,14 @@ def class_balance(df: DataFrame, label: str, by: Sequence[str] = ("split",)) ->
     )
 
 
+def rebalanced(df: DataFrame, label: str, value: int, fraction: float, seed: int = 42) -> DataFrame:
+    """A feature frame with an exact ``fraction`` of the rows of one class and all of the others, in random order.
+
+    The rows need no key; on a fan-out frame most of them are copies.
+    """
+    return shuffled(downsample_repeated(df, F.col(label) == value, fraction, seed), seed)
+
+
 def distinct_entities(df: DataFrame, key: str, by: Sequence[str] = ("split",)) -> DataFrame:
     return distinct_per_group(df, key, by)
 

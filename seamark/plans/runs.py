@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from seamark.operators.joins import align
 from seamark.operators.metrics import best_row
+from seamark.schema import METRICS
+from seamark.sources.results import SPLITS, read_losses, read_metrics
 
 # The searched parameter lists.
 TRAINING_GRID = {
@@ -37,6 +39,21 @@ def best_epochs(
     return best_row(aligned, tuned, position, by, higher_is_better)
 
 
+def run_report(spark: SparkSession, folder: str, tuned: str = "val_roc_auc", higher_is_better: bool = True) -> DataFrame:
+    """One row per run below ``folder``: its best epoch with all losses and metrics there, those of the test split included.
+
+    Reads ``<run>/<split>_loss.csv`` and ``<run>/<split>_metrics.csv`` of all runs. A run that lacks a file has nulls for it.
+    """
+    frames = {}
+    for split in SPLITS:
+        losses = read_losses(spark, f"{folder}/*/{split}_loss.csv", split)
+        frames[split] = align({"": losses, "of": read_metrics(spark, f"{folder}/*/{split}_metrics.csv")}, ("run", "epoch"))
+        frames[split] = frames[split].select(
+            "run", "epoch", F.col("_loss").alias("loss"), *[F.col(f"of_{m}").alias(m) for m in METRICS]
+        )
+    return best_epochs(series(frames), tuned, higher_is_better=higher_is_better)
+
+
 def parameter_grid(spark: SparkSession, lists: Mapping[str, Sequence] = TRAINING_GRID) -> DataFrame:
     """(cell, parameters) in search order, the last list changing fastest."""
     cells = [(i, *values) for i, values in enumerate(product(*lists.values()))]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.operators import sampling
+from seamark.plans import runs
 from seamark.schema import DOUBLE, INT, RAW_MESSAGE, struct
 from seamark.session import shared_folder
 from seamark.sources import lookups, messages, results, tables
@@ -145,3 +146,37 @@ def scalar_bound(t: Source) -> DataFrame:
 def shuffled_rows(t: Source) -> DataFrame:
     return sampling.shuffled(t.events.select("event_id", "event_type"))
 
+
+
+@query(
+    "run_report",
+    """
+WITH e AS (SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, value, user_id % 3 AS part FROM events),
+s AS (SELECT run, epoch, part, round(avg(value), 6) AS loss, round(min(value), 6) AS low, round(max(value), 6) AS high,
+             round(avg(value) / 100, 6) AS f1 FROM e GROUP BY ALL),
+w AS (SELECT run, epoch, t.loss AS train_loss, v.high AS val_roc_auc, x.loss AS test_loss, x.low AS test_average_precision, x.f1 AS test_f1
+      FROM (SELECT * FROM s WHERE part = 0) t FULL JOIN (SELECT * FROM s WHERE part = 1) v USING (run, epoch)
+      FULL JOIN (SELECT * FROM s WHERE part = 2) x USING (run, epoch)),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val_roc_auc DESC, epoch) AS rn FROM w WHERE val_roc_auc IS NOT NULL)
+SELECT run, epoch, train_loss, val_roc_auc, test_loss, test_average_precision, test_f1 FROM r WHERE rn = 1
+""",
+)
+def run_report(t: Source) -> DataFrame:
+    """The best epoch of every run from the files of all runs; a third of the users stands for each split."""
+    path, spark = folder(t.events), t.events.sparkSession
+    rows = t.events.groupBy("event_type", F.dayofmonth("ts").alias("epoch"), (F.col("user_id") % 3).alias("part")).agg(
+        r6(F.avg("value")).alias("loss"),
+        r6(F.min("value")).alias("average_precision"),
+        F.lit(0.5).alias("accuracy"),
+        r6(F.avg("value") / 100).alias("f1"),
+        r6(F.max("value")).alias("roc_auc"),
+    )
+    # The names of the five event types, which name folders.
+    for (run,) in t.events.select("event_type").distinct().collect():
+        for part, split in enumerate(results.SPLITS):
+            own = rows.where((F.col("event_type") == run) & (F.col("part") == part)).drop("event_type", "part")
+            results.write_series(own.select("epoch", "loss"), f"{path}/{run}/{split}_loss.csv")
+            results.write_series(own.drop("loss"), f"{path}/{run}/{split}_metrics.csv")
+    return runs.run_report(spark, path).select(
+        "run", "epoch", "train_loss", "val_roc_auc", "test_loss", "test_average_precision", "test_f1"
+    )

@@ -226,6 +226,19 @@ def hist_40_null_group(t: Source) -> DataFrame:
     return hist.select("status", "bin", r6("bin_start").alias("bin_start"), "n")
 
 
+@query(
+    "rebalanced_fanout",
+    f"""
+WITH {SPLIT_SQL}, n AS (SELECT segment, count(*) AS rows FROM f GROUP BY 1)
+SELECT segment, CASE WHEN segment = 1 THEN CAST(round_even(rows * 0.3, 0) AS BIGINT) ELSE rows END AS rows FROM n
+""",
+)
+def rebalanced_fanout(t: Source) -> DataFrame:
+    """Rows of each class once three tenths of class 1 are kept of a frame most of whose rows are copies."""
+    kept = balance.rebalanced(split_features(t), "segment", 1, 0.3)
+    return kept.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "exact_downsample",
     """
