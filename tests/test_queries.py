@@ -25,7 +25,7 @@ def test_against_sql(spark, con, name):
 EMPTY_BY_NATURE = {name: "no rows" for name in ("nth_event_per_type", "task_table_val", "task_table_test_masked")}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"lr_grid", "lr_mode_features"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 

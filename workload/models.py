@@ -1,8 +1,9 @@
-"""Fitted models. Iterative, so without SQL: the tests hold them against plain numpy."""
+"""Fitted models. With one feature Newton's steps can be written out in SQL; the others the tests hold against numpy."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seamark.operators.metrics import best_row
 from seamark.plans import baseline
@@ -11,7 +12,7 @@ from workload.base import Source, query
 from workload.messages import mode_features
 from workload.graph import neighbour_mean_features
 from workload.firsts import nth_event_task
-from workload.splits import split_features
+from workload.splits import SPLIT_SQL, split_features
 
 
 @query("lr_baseline")
@@ -19,6 +20,58 @@ def lr_baseline(t: Source) -> DataFrame:
     return baseline.run_baseline(split_features(t, merged=True), OFFSETS, "segment")
 
 
+def newton_sql(name: str, c: float, steps: int = 12) -> str:
+    """Common tables that fit label and feature (y, x, n) of ``z``: intercept a, slope b with penalty b*b/2c, after each step."""
+    parts = [f"{name}0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(steps):
+        parts.append(f"""
+{name}{i + 1} AS (
+  SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b
+  FROM (SELECT any_value(a) AS a, any_value(b) AS b, sum(n * (p - y)) AS ga, sum(n * (p - y) * x) + any_value(b) / {c} AS gb,
+               sum(n * p * (1 - p)) AS haa, sum(n * p * (1 - p) * x) AS hab, sum(n * p * (1 - p) * x * x) + 1 / {c} AS hbb
+        FROM (SELECT x, y, n, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM z, {name}{i})))""")
+    return ",".join(parts)
+
+
+ONE_FEATURE = f"""
+{SPLIT_SQL},
+r AS (SELECT split, to_bow AS x, segment AS y, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT sum(n * x) / sum(n) AS m, sqrt(sum(n * x * x) / sum(n) - (sum(n * x) / sum(n)) ** 2) AS s FROM r WHERE split = 'train'),
+z AS (SELECT (x - m) / s AS x, y, n FROM r, k WHERE split = 'train')"""
+
+LOSS = "round(sum(n * -CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) / sum(n), 5)"
+
+
+@query(
+    "lr_one_feature",
+    f"""
+WITH {ONE_FEATURE}, {newton_sql('w', 1.0)},
+p AS (SELECT split, y, n, 1 / (1 + exp(-(a + b * (x - m) / s))) AS p FROM r, k, w12)
+SELECT split, {LOSS} AS log_loss FROM p GROUP BY split
+""",
+)
+def lr_one_feature(t: Source) -> DataFrame:
+    scores = baseline.run_baseline(split_features(t, merged=True), ["to_bow"], "segment")
+    return scores.select("split", F.round("log_loss", 5).alias("log_loss"))
+
+
+STRENGTHS = [0.01, 1.0, 100.0]
+
+
+@query(
+    "lr_one_feature_grid",
+    f"WITH {ONE_FEATURE}, "
+    + ", ".join(newton_sql(f"w{i}_", c) for i, c in enumerate(STRENGTHS))
+    + ", w AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS cell, {c}::DOUBLE AS c, a, b FROM w{i}_12" for i, c in enumerate(STRENGTHS))
+    + "), p AS (SELECT cell, c, y, n, 1 / (1 + exp(-(a + b * (x - m) / s))) AS p FROM r, k, w WHERE split = 'val') "
+    + f"SELECT cell, c, {LOSS} AS log_loss FROM p GROUP BY cell, c",
+)
+def lr_one_feature_grid(t: Source) -> DataFrame:
+    trials = baseline.grid_search(split_features(t, merged=True), ["to_bow"], "segment", STRENGTHS)
+    return trials.select("cell", "c", F.round("log_loss", 5).alias("log_loss"))
+
+
 @query("lr_mode_features")
 def lr_mode_features(t: Source) -> DataFrame:
     rows = mode_features(t).na.drop("any")
