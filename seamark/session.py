@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -71,5 +75,24 @@ def write_out(df: DataFrame, name: str, sort: Sequence[str] = ()) -> DataFrame:
     done once, lineage ends at the files, and readers still prune columns.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     (in_ranges(df, sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``write_out`` writes inside the block when the block ends.
+
+    Results must be written or collected inside: frames read from the removed files can't be used afterwards.
+    """
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        for written in _written.get() or []:
+            path = hadoop.Path(written)
+            path.getFileSystem(conf).delete(path, True)
+        _written.reset(token)

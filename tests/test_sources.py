@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,12 @@ def test_shared_folder_is_the_one_the_session_names(spark):
 def test_unknown_task_type(spark):
     with pytest.raises(KeyError):
         results.write_predictions(spark.range(1), "unused", "ranking", "id", "id")
+
+
+def test_scratch_leaves_nothing_behind(spark):
+    folder = Path(session.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with session.scratch(spark):
+        kept = session.write_out(spark.range(5), "five")
+        assert kept.count() == 5 and len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
