@@ -65,15 +65,18 @@ class WordIds:
             ranks.setdefault(bytes([b]), len(tokens) + b)
         self.ids = {k: model["vocab"][t] for k, t in enumerate(tokens)}
         self.fast = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.lookup = np.zeros(len(tokens) + 256, "<u4")
-        for k, i in self.ids.items():
-            self.lookup[k] = i
+        self.id_bytes = [self.ids.get(k, 0).to_bytes(4, "little") for k in range(len(tokens) + 256)]
 
     def word(self, word: str) -> bytes:
-        if self.SIMPLE.fullmatch(word):
+        if word.isascii() and word.isalpha():
+            pieces = [word.lower()]
+        elif self.SIMPLE.fullmatch(word):
             pieces = self.PLAIN.findall(word.lower())
-            ranks = [r for p in pieces for r in self.fast.encode_single_piece(p.encode() + b"\xff")]
-            return self.lookup[ranks].tobytes() if ranks else b""
+        else:
+            pieces = None
+        if pieces is not None:
+            encode, id_bytes = self.fast.encode_single_piece, self.id_bytes
+            return b"".join([id_bytes[r] for p in pieces for r in encode(p.encode() + b"\xff")])
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
