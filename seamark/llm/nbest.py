@@ -17,7 +17,7 @@ from seamark.llm.shingles import mix
 #: The sign that stands for a space.
 SPACE = "▁"
 #: Words a worker remembers before it starts anew, characters it looks at together, longest word that is put in a table with others.
-REMEMBERED, CHUNK, TABLED = 250_000, 1 << 20, 48
+REMEMBERED, CHUNK, TABLED = 1_000_000, 1 << 21, 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 20
 
