@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamark.llm.common import fresh
+
 ROUNDS = 8
 #: What may be personal data, by kind; Java patterns without capturing groups.
 PATTERNS = {
@@ -18,6 +23,31 @@ PATTERNS = {
     r"|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Runs of groups that a failed candidate was part of, by kind.
+RUNS = {
+    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]*+\b(?: [A-Z0-9]++\b)++",
+    "card": r"[0-9]++(?:[ -][0-9]++)++",
+}
+#: The forms of card numbers in print, which go before other windows of 13 to 19 digits.
+CARD_FORM = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+#: What is looked for in turn where a candidate failed, each in what those before left: windows of a run
+#: (kind, form, most groups), or the patterns of kinds.
+AGAIN = [
+    ("iban", r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$", 9),
+    ("card", CARD_FORM, 5),
+    "|".join(PATTERNS[k] for k in ("secret", "email", "ip", "date", "ssn")),
+    ("card", r"^[0-9](?:[ -]?[0-9]){12,18}$", 19),
+    PATTERNS["phone"].partition("|(?<!")[0],
+    PATTERNS["phone"],
+]
+PIECES = "array<struct<value:string,kind:string>>"
+#: Signs of an account by country; in windows, other countries may have any length.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Cheap test that a text may hold any of them.
 MAY_HOLD = r"[0-9@]|password=|token = "
 #: Days from 1800-01-01 to 2199-12-31, one cycle of the calendar, as a product.
@@ -197,11 +227,11 @@ def new_secret(value: Column, key: str) -> Column:
     return F.when(value.startswith("AKIA"), access).otherwise(feistel_text(value, key + "hex", "0123456789abcdef"))
 
 
-def kind_of(value: Column) -> Column:
-    """The kind whose pattern the whole value has and whose check it passes; null for none."""
+def checks(value: Column) -> dict[str, Column]:
+    """By kind, whether the whole value has its pattern and passes its check."""
     plain = F.replace(value, F.lit(" "), F.lit(""))
     digits = digits_of(value)
-    checks = {
+    return {
         "secret": value.rlike(r"^AKIA[0-9A-Z]{16}$|^[0-9a-f]{8,}$") & ~value.rlike("^[0-9]{13,19}$"),
         "email": value.contains("@"),
         "iban": value.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(plain).between(15, 34))
@@ -212,8 +242,12 @@ def kind_of(value: Column) -> Column:
         "card": value.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"),
         "phone": value.rlike("^(?:[+(]|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)") & F.length(digits).between(7, 15),
     }
+
+
+def kind_of(value: Column) -> Column:
+    """The kind whose pattern the whole value has and whose check it passes; null for none."""
     out = F.lit(None).cast("string")
-    for kind, holds in reversed(checks.items()):
+    for kind, holds in reversed(checks(value).items()):
         out = F.when(holds, kind).otherwise(out)
     return out
 
@@ -230,12 +264,123 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def piece(value: Column, kind: Column | None = None) -> Column:
+    return F.struct(value.alias("value"), (F.lit(None) if kind is None else kind).cast("string").alias("kind"))
+
+
+def cut(pieces: Column, found: Column) -> Column:
+    """Pieces (value, kind) of a text from what stands between candidates and the candidates; those without a kind join what is around them."""
+
+    def between(s: Column, marks: Column, k: Column) -> Column:
+        low, high = marks[k - 1] + 1, marks[k]
+        left = F.transform(F.sequence(low, high), lambda i: F.concat(s["pieces"][i], F.when(i < high, F.get(s["found"], i)["value"]).otherwise("")))
+        value = F.transform(F.slice(s["found"], high + 1, F.lit(1)), lambda f: piece(f["value"], f["kind"]))
+        return F.concat(F.array(piece(F.array_join(left, ""))), value)
+
+    def parts(s: Column) -> Column:
+        count = F.size(s["found"])
+        valid = F.filter(F.transform(s["found"], lambda f, i: F.when(f["kind"].isNotNull(), i)), lambda i: i.isNotNull())
+        marks = F.concat(F.array(F.lit(-1)), valid, F.array(count))
+        return once(marks, lambda m: F.flatten(F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda k: between(s, m, k))))
+
+    whole = F.struct(pieces.alias("pieces"), found.alias("found"))
+    return F.when(found.isNotNull(), once(whole, parts))
+
+
+def cut_by(text: Column, pattern: str) -> Column:
+    return cut(F.split(text, pattern, -1), candidates(text, pattern))
+
+
+def candidates(text: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: piece(v, kind_of(v)))
+
+
+def windows(run: Column, kind: str, form: str, most: int) -> Column:
+    """Pieces of a run of groups: from the left, the longest window of whole groups that has the form and passes the check, and what is between."""
+    lengths = F.map_from_arrays(
+        F.array(*[F.lit(c) for codes in IBAN_SIGNS.values() for c in codes.split()]),
+        F.array(*[F.lit(n) for n, codes in IBAN_SIGNS.items() for _ in codes.split()]),
+    )
+
+    def holds(value: Column) -> Column:
+        good = value.rlike(form) & checks(value)[kind]
+        if kind == "iban":
+            signs = F.length(F.replace(value, F.lit(" "), F.lit("")))
+            good = good & (signs == F.coalesce(F.try_element_at(lengths, F.substring(value, 1, 2)), signs))
+        return good
+
+    def end(groups: Column, i: Column) -> Column:
+        """The last group of the window that starts at group i; null for none."""
+        last = F.least(i + most, F.size(groups)) - 1
+        found = lambda j: holds(F.rtrim(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), F.lit(" -")))
+        return F.get(F.reverse(F.filter(F.sequence(i, last), found)), F.lit(0))
+
+    def scan(groups: Column) -> Column:
+        # Groups keep the sign after them; a window ends before that of its last group.
+        def step(state: Column, i: Column) -> Column:
+            stop = F.when(i >= state["next"], end(groups, i))
+            return once(
+                stop,
+                lambda e: F.when(
+                    e.isNotNull(),
+                    F.struct((e + 1).alias("next"), F.concat(state["spans"], F.array(F.struct(i.alias("first"), e.alias("last")))).alias("spans")),
+                ).otherwise(state),
+            )
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
+        spans = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step)["spans"]
+        return once(spans, lambda found: parts(groups, found))
+
+    def parts(groups: Column, spans: Column) -> Column:
+        text = lambda a, b: F.array_join(F.slice(groups, a + 1, b - a + 1), "")
+        bare = lambda t: F.rtrim(t, F.lit(" -"))
+
+        def before(s: Column, k: Column) -> Column:
+            low = F.when(k > 0, F.get(spans, k - 1)["last"] + 1).otherwise(0)
+            gap = F.when(k > 0, F.substring(groups[low - 1], F.length(bare(groups[low - 1])) + 1, F.lit(1))).otherwise("")
+            return F.concat(gap, text(low, s["first"] - 1))
+
+        body = F.flatten(F.transform(spans, lambda s, k: F.array(piece(before(s, k)), piece(bare(text(s["first"], s["last"])), F.lit(kind)))))
+        closing = F.struct(F.size(groups).alias("first"))
+        return F.concat(body, F.array(piece(before(closing, F.size(spans)))))
+
+    return once(F.regexp_extract_all(run, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), scan)
+
+
+def search_again(pieces: Column, step: str | tuple) -> Column:
+    """``pieces`` with those without a kind searched for what a failed candidate may have swallowed, by a step of ``AGAIN``."""
+
+    def search(pattern: str, within: Callable[[Column], Column]) -> Column:
+        none = lambda p: p["kind"].isNotNull() | ~p["value"].rlike(pattern)
+        return F.flatten(F.transform(pieces, lambda p: F.when(none(p), F.array(p)).otherwise(within(p["value"]))))
+
+    def of_runs(text: Column, run: str, kind: str, form: str, most: int) -> Column:
+        # No value of either kind has fewer than 13 signs.
+        of_run = lambda r: F.when(F.length(r) > 13, windows(r, kind, form, most)).otherwise(F.array(piece(r)))
+        kept = F.transform(F.split(text, run, -1), lambda p: F.array(piece(p)))
+        found = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), of_run)
+        flat = F.flatten(F.zip_with(kept, found, lambda p, f: F.concat(p, F.coalesce(f, F.array().cast(PIECES)))))
+        # What is left around and within runs is one text again.
+        return once(flat, lambda p: cut(F.array_repeat(F.lit(""), F.size(p) + 1), p))
+
+    if isinstance(step, str):
+        return search(step, partial(cut_by, pattern=step))
+    kind, form, most = step
+    return search(RUNS[kind], partial(of_runs, run=RUNS[kind], kind=kind, form=form, most=most))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; with ``kinds``, a column of that name lists what was replaced.
 
     Values are found by pattern and checked: card numbers and accounts by their checksums,
-    addresses and social security numbers by their ranges, days by the calendar. A value that
-    fails its check stays as it is. A pseudonym is a keyed permutation of the value within its
+    addresses and social security numbers by their ranges, days by the calendar. Where a candidate
+    fails its check, what no other value takes is searched again: windows of whole groups for accounts and cards,
+    then the other kinds. What fails there too stays as it is. A pseudonym is a keyed permutation of the value within its
     format (a Feistel network), so equal values have equal pseudonyms in all documents, different ones
     different ones, and checksums hold again. Country codes, mail domains but their first label, and separators stay.
 
@@ -243,30 +388,20 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: str | Non
     """
     pattern = "|".join(PATTERNS.values())
     body = F.col(f"`{text}`")
-    found = F.transform(
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))
-    )
-    pieces = F.split(body, pattern, -1)
-    state = F.struct(pieces.alias("pieces"), found.alias("found"))
-    # One evaluation of both lists, then pieces and pseudonyms in turn.
-    joined = F.transform(
-        F.array(state),
-        lambda s: F.array_join(
-            F.transform(
-                s["pieces"],
-                lambda p, i: F.concat(
-                    p,
-                    F.coalesce(
-                        F.get(F.transform(F.slice(s["found"], i + 1, 1), lambda f: pseudonym(f["value"], f["kind"], key)), F.lit(0)), F.lit("")
-                    ),
-                ),
-            ),
-            "",
-        ),
-    )[0]
     may = body.rlike(MAY_HOLD)
-    out = {text: F.when(may, joined).otherwise(body)}
+    # Columns of their own, so that each step is found once and analysed by itself.
+    held, failed = fresh(docs, "pieces"), fresh(docs, "failed")
+    found = docs.withColumn(held, F.when(may, candidates(body, pattern)))
+    found = found.withColumns({
+        failed: F.exists(F.col(held), lambda f: f["kind"].isNull()), held: cut(F.when(may, F.split(body, pattern, -1)), F.col(held))
+    })
+    for step in AGAIN:
+        found = found.withColumn(held, F.when(F.col(failed), search_again(F.col(held), step)).otherwise(F.col(held)))
+    joined = F.array_join(
+        F.transform(F.col(held), lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(pseudonym(p["value"], p["kind"], key))), ""
+    )
+    out = {text: F.coalesce(joined, body)}
     if kinds:
-        listed = F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull())
-        out[kinds] = F.when(may, listed).otherwise(F.array().cast("array<string>"))
-    return docs.withColumns(out)
+        listed = F.filter(F.transform(F.col(held), lambda p: p["kind"]), lambda k: k.isNotNull())
+        out[kinds] = F.coalesce(listed, F.array().cast("array<string>"))
+    return found.withColumns(out).drop(held, failed)
