@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from seamark.llm.common import fresh
 
 ROUNDS = 8
+#: Words before a secret in hex digits, with whatever quote, spaces and separator follow; a password may be shorter.
+LONG_WORDS = r"(?i:(?:api|access|secret|private|auth)[ _.-]?key|secret|token)"
+SHORT_WORDS = r"(?i:password|passwd|passphrase|pwd)"
+THEN = r"[\"']?\s*+[:=]{1,2}+>?+\s*+[\"']?"
+ACCESS = r"\bAKIA[0-9A-Z]{16}\b"
+NAMED = rf"(?:{SHORT_WORDS}{THEN}[0-9A-Fa-f]{{8,}}+|{LONG_WORDS}{THEN}[0-9A-Fa-f]{{16,}}+)\b"
 #: What may be personal data, by kind; Java patterns without capturing groups.
 PATTERNS = {
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=password=)[0-9a-f]{8,}+\b|(?<=token = \")[0-9a-f]{16,}+(?=\")",
+    "secret": rf"{ACCESS}|{NAMED}",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -49,7 +55,7 @@ IBAN_SIGNS = {
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 #: Cheap test that a text may hold any of them.
-MAY_HOLD = r"[0-9@]|password=|token = "
+MAY_HOLD = rf"[0-9@]|AKIA|{SHORT_WORDS}{THEN}|{LONG_WORDS}{THEN}"
 #: Days from 1800-01-01 to 2199-12-31, one cycle of the calendar, as a product.
 DAYS = (189, 773)
 FIRST_DAY = "1800-01-01"
@@ -75,11 +81,14 @@ def feistel_pair(left: Column, right: Column, sizes: tuple[int, int], key: str)
 
 
 def turned(c: Column, by: Column, alphabet: str | None) -> Column:
-    """A sign moved on by ``by`` within its alphabet: the one given, else digits, small or capital letters; others stay."""
+    """A sign moved on by ``by`` within its alphabet: of those given, divided by spaces, else of digits, small or capital letters; others stay."""
     if alphabet:
-        place = F.instr(F.lit(alphabet), c)
-        moved = F.substring(F.lit(alphabet), ((place - 1 + by) % len(alphabet) + 1).cast("int"), F.lit(1))
-        return F.when(place > 0, moved).otherwise(c)
+        out = c
+        for signs in alphabet.split():
+            place = F.instr(F.lit(signs), c)
+            moved = F.substring(F.lit(signs), ((place - 1 + by) % len(signs) + 1).cast("int"), F.lit(1))
+            out = F.when(place > 0, moved).otherwise(out)
+        return out
 
     def within(first: int, size: int) -> Column:
         return F.char((F.ascii(c) - first + by) % size + first)
@@ -223,8 +232,13 @@ def new_email(value: Column, key: str) -> Column:
 
 
 def new_secret(value: Column, key: str) -> Column:
+    """The signs after AKIA are permuted, or the hex digits at the end; the words before those stay."""
     access = F.concat(F.lit("AKIA"), feistel_text(F.substring(value, 5, 16), key + "access", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return F.when(value.startswith("AKIA"), access).otherwise(feistel_text(value, key + "hex", "0123456789abcdef"))
+    digits = F.regexp_extract(value, "[0-9A-Fa-f]+$", 0)
+    before = F.substring(value, F.lit(1), F.length(value) - F.length(digits))
+    # With capitals, each sign stays in its class, so that these have no pseudonym in common with those in small letters.
+    small, mixed = (feistel_text(digits, key + "hex", a) for a in ("0123456789abcdef", "0123456789 abcdef ABCDEF"))
+    return F.when(value.startswith("AKIA"), access).otherwise(F.concat(before, F.when(digits.rlike("[A-F]"), mixed).otherwise(small)))
 
 
 def checks(value: Column) -> dict[str, Column]:
@@ -232,7 +246,7 @@ def checks(value: Column) -> dict[str, Column]:
     plain = F.replace(value, F.lit(" "), F.lit(""))
     digits = digits_of(value)
     return {
-        "secret": value.rlike(r"^AKIA[0-9A-Z]{16}$|^[0-9a-f]{8,}$") & ~value.rlike("^[0-9]{13,19}$"),
+        "secret": value.rlike(rf"^(?:{ACCESS}|{NAMED})$"),
         "email": value.contains("@"),
         "iban": value.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(plain).between(15, 34))
         & (iban_rest(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1),
