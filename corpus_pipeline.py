@@ -17,10 +17,12 @@ from seamark.session import write_out
 
 #: Below this cosine with every language a text is no more like one than chance makes it (two standard deviations).
 LEAST_SCORE = 2 / language_id.DIMENSIONS**0.5
+#: Of fewer letters, and so n-grams, the cosine is mostly noise and rejects nothing.
+LEAST_LETTERS = 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learnt from ``lang``; those without a letter, or like none of them, go.
+    """Documents in one of the languages learnt from ``lang``; those without a letter go, and those of ``LEAST_LETTERS`` or more that are like none of them.
 
     Where no row has a language nothing can be learnt, and all documents stay.
     """
@@ -33,7 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = {c: f"own {c}" for c in docs.columns}
     held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     found = language_id.identify(held.withColumn("text", F.col("`own text`")), prototypes)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    few = F.length(F.regexp_replace("own text", r"[^\p{L}\p{M}]+", "")) < LEAST_LETTERS
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | few))
     return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
 
 

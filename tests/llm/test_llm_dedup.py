@@ -174,3 +174,13 @@ def test_stages_keep_columns_and_clean_documents(spark, odd):
     assert near >= {None, 1, 3, 7, 16} and not near & {8, 9, 10}
     last = corpus_pipeline.packed(spark, docs, "")
     assert last.count() >= len(ODD) and corpus_pipeline.packed(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_stage_keeps_one_word_documents(spark):
+    taught = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    words = sorted({(w, r["lang"]) for r in taught for w in (r["text"] or "").split()[:20] if r["lang"] and w.isalpha()})
+    rows = [tuple(r) for r in taught] + [(-1 - i, w, lang) for i, (w, lang) in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").select("doc_id").collect()}
+    assert len({lang for _, lang in words}) == 4
+    assert [w for i, w in enumerate(words) if -1 - i not in kept and len(w[0]) < corpus_pipeline.LEAST_LETTERS] == []
