@@ -41,6 +41,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but for those called like one of ``names`` in any case, as Spark doesn't tell cases apart."""
+    gone = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+
+
 def held_out(doc_id: Column) -> Column:
     """Every fifth document by the checksum of its id; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

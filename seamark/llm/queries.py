@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm import (
+    conversations,
     exact_dedup,
     jaccard_join,
     knn_join,
@@ -15,7 +16,9 @@ from seamark.llm import (
     nbest,
     packing,
     pii,
+    quality,
     sharding,
+    spelling,
     token_counts,
     toxicity,
 )
@@ -166,3 +169,26 @@ def op10_toxicity(spark, folder):
     labels = labels.select("doc_id", F.col("toxic").alias("label"), language_id.picked(F.col("doc_id")).alias("pick"))
     machine = toxicity.learn(docs, labels)
     return toxicity.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op11_quality(spark, folder):
+    """The quality of every document, by trees learnt from labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    labels = labels.select("doc_id", F.col("quality").alias("label"), language_id.picked(F.col("doc_id")).alias("pick"))
+    forest = quality.learn(docs, labels)
+    return quality.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op12_spelling_variants(spark, folder):
+    """The near words, form and root of every word of six letters or more that all documents hold five times or more."""
+    words = spelling.word_counts(table(spark, folder, "documents"), least=6, slips=199)
+    return spelling.spelling_variants(words.where("n >= 5"), ratio=5)
+
+
+@query()
+def op13_conversation_repair(spark, folder):
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
