@@ -177,13 +177,28 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     spark = ready(words.sparkSession)
     source = words.select("word", F.col("n").cast("long")).where("word IS NOT NULL")
-    padded = F.concat(F.lit(EDGE), F.col("word"), F.lit(EDGE))
-    places = F.sequence(F.lit(1), F.length(padded) - 1)
-    cells = source.select(F.explode(F.transform(places, lambda k: F.crc32(F.substring(padded, k, F.lit(2)).cast("binary")) % GRAM_CELLS)).alias("cell"))
-    counts = np.zeros(GRAM_CELLS, np.int64)
-    for row in cells.groupBy("cell").count().collect():  # at most GRAM_CELLS rows
-        counts[row["cell"]] = row["count"]
-    order = spark.sparkContext.broadcast(counts)
+
+    def common(batches):
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for word in batch.column(0).to_pylist():
+                text = EDGE + word + EDGE
+                seen.update(map("".join, zip(text, text[1:])))
+            cells = np.array([zlib.crc32(g.encode()) % GRAM_CELLS for g in seen], np.int64)
+            yield summed(np.bincount(cells, list(seen.values()), minlength=GRAM_CELLS).astype(np.int64))
+
+    def summed(cells: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(cells)
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
+
+    def totals(job, size: int) -> np.ndarray:
+        """The sums of all tasks' counters, ``size`` numbers at most."""
+        sums = source.select("word").mapInArrow(job, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size, np.int64)
+        out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+        return out
+
+    order = spark.sparkContext.broadcast(totals(common, GRAM_CELLS))
 
     def found_by(batches):
         grams = Grams(order.value)
@@ -193,13 +208,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 text = EDGE + word + EDGE
                 for key in chain.from_iterable(keys_of(text, grams.prefix(text)[0], [len(word)])[0]):
                     keys[key % KEY_CELLS] += 1
-            used = np.flatnonzero(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(keys[used])], ["cell", "n"])
+            yield summed(keys)
 
-    shares = np.zeros(KEY_CELLS, np.int64)
-    sums = source.select("word").mapInArrow(found_by, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    shares[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()  # at most KEY_CELLS rows
-    shared = spark.sparkContext.broadcast(shares.astype(np.int32 if shares.max(initial=0) < 1 << 31 else np.int64))
+    shares = totals(found_by, KEY_CELLS)
+    shared = spark.sparkContext.broadcast(np.minimum(shares, (1 << 31) - 1).astype(np.int32))
 
     def post(batches):
         grams, share = Grams(order.value), shared.value
