@@ -64,6 +64,12 @@ def second_number(ts: Column) -> Column:
     return hour_number(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 by the clock."""
+    part = F.extract(F.lit("SECOND"), ts) - F.second(ts)
+    return second_number(ts) * 1_000_000 + F.round(part * 1_000_000).cast("long")
+
+
 def component_vector(ts: Column) -> Column:
     """[year, month-1, day-1, weekday with Monday 0, hour, minute, second]."""
     return F.array(

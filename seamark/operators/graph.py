@@ -6,64 +6,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from seamark.functions.times import hour_number
-from seamark.operators.ranking import SLICE, row_ranks, with_cells, with_row
+from seamark.operators.ranking import ROWS, SLICE, TARGET, positions, time_slices
 from seamark.session import write_out
 
 
-#: Ranges that text keys are dealt into, and the steps that find one among twice as many.
-TEXT_CELLS, BISECTIONS = 2048, 13
-
-
 def dense_ids(df: DataFrame, key: str, name: str = "node_id") -> DataFrame:
-    """(key, name): 0..n-1 over the distinct keys in order, without a window over the whole table.
+    """(key, name): 0..n-1 over the distinct keys of any type in order, nulls left out.
 
-    Slices are cells that follow the values for numeric keys. For text they are ranges between
-    drawn keys, so keys that all begin alike spread as well.
-    """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    if isinstance(df.schema[key].dataType, T.StringType):
-        keys = with_text_cells(keys, key, "_cell")
-        slices: Column | list[Column] = F.col("_cell")
-    else:
-        keys = with_cells(keys, key, "_cell", 1024)
-        slices = [F.col("_cell"), F.floor(F.col("_cell") / 1027)]
-    ranked = row_ranks(keys, name, by=[], order=[key], slice_=slices)
-    return ranked.select(key, (F.col(name) - 1).alias(name))
-
-
-def with_text_cells(keys: DataFrame, key: str, name: str) -> DataFrame:
-    """Add the range of a text key, growing with it: ranges between keys drawn evenly by a hash.
-
-    About ``TEXT_CELLS`` keys are drawn, so each range holds about as many of the
-    keys as any other, however they begin. A key's range is found by bisection.
+    Keys are written in sorted ranges between drawn keys, so keys far from all others, or
+    that all begin alike, spread as well as any.
     """
-    share = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    total = keys.agg(F.count(F.lit(1)).alias("n"))
-    drawn = with_row(keys, total, "_total").where(share < F.lit(float(TEXT_CELLS << 30)) / F.col("_total.n")).select(key)
-    # About TEXT_CELLS drawn keys, whatever the table's size.
-    edges = drawn.agg(F.sort_array(F.collect_list(key)).alias("lows"))
-    placed = with_row(keys, edges, "_edges")
-    return placed.withColumn(name, _upper_bound(F.col("_edges.lows"), F.col(key))).drop("_edges")
-
-
-def _upper_bound(edges: Column, value: Column) -> Column:
-    """How many of the sorted ``edges`` are not above the value, by bisection."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        done = state["lo"] >= state["hi"]
-        above = F.get(edges, middle) > value
-        return F.struct(
-            F.when(done | above, state["lo"]).otherwise(middle + 1).alias("lo"),
-            F.when(~done & above, middle).otherwise(state["hi"]).alias("hi"),
-        )
-
-    steps = F.sequence(F.lit(1), F.lit(BISECTIONS))
-    return F.aggregate(steps, start, halve)["lo"].cast("long")
+    return positions(df.select(key).where(F.col(key).isNotNull()).distinct(), key, name)
 
 
 def rekey(df: DataFrame, column: str, ids: DataFrame, key: str, name: str = "node_id") -> DataFrame:
@@ -120,17 +74,19 @@ def latest_neighbours(
     row_id: str,
     columns: Sequence[str] = (),
     store: bool = False,
+    target: int = TARGET,
 ) -> DataFrame:
     """The last ``k`` neighbour rows of each seed's key with ``time <= seed_time``.
 
-    Counts per key and hour give every neighbour a position without ordering all
-    of them: they show which hours can hold one of the last ``k`` positions of
-    any seed. Only rows of those hours are read on and placed, and meet the seeds in
-    groups of (key, position), where each seed asks for at most ``k`` positions. No
-    pair beyond the result is formed, rows of a busy key spread over its hours and
-    positions, and several seeds may share a key.
+    Counts per key and time slice give every neighbour a position without ordering all
+    of them: they show which slices can hold one of the last ``k`` positions of
+    any seed. Only rows of those slices are read on and placed, and meet the seeds in
+    a join on (key, position), where each seed asks for at most ``k`` positions. No
+    pair beyond the result is formed. A slice is an hour, or less where a key has more than
+    ``target`` rows and seeds in one, so a hub's hour, second or instant is split; many seeds
+    that ask for the same rows of a hub are a skewed join's one side, which Spark splits.
 
-    With ``store`` the needed hours are written to the shared folder first. Their
+    With ``store`` the needed slices are written to the shared folder first. Their
     size is then known when the rows are read, so a small list is broadcast and
     filters the scan, where it otherwise takes a shuffle of all neighbours.
 
@@ -138,34 +94,12 @@ def latest_neighbours(
     """
     rows = neighbours.where(F.col(time).isNotNull() & F.col(key).isNotNull())
     asks = seeds.where(F.col(seed_time).isNotNull() & F.col(key).isNotNull())
-    counted = rows.groupBy(F.col(key).alias("_key"), hour_number(F.col(time)).alias(SLICE)).agg(
-        F.count("*").alias("_n"), F.lit(0).alias("_ask")
-    )
-    asked = asks.groupBy(F.col(key).alias("_key"), hour_number(F.col(seed_time)).alias(SLICE)).agg(
-        F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask")
-    )
-    hours = counted.unionByName(asked).groupBy("_key", SLICE).agg(F.sum("_n").alias("_n"), F.max("_ask").alias("_ask"))
-    by_hour = Window.partitionBy("_key").orderBy(SLICE)
-    before = F.coalesce(F.sum("_n").over(by_hour.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # The count before the first hour from here on that has a seed: later seeds reach back less far.
-    reached = F.min(F.when(F.col("_ask") == 1, F.col("_before"))).over(
-        by_hour.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    needed = (
-        hours.withColumn("_before", before)
-        .withColumn("_reached", reached)
-        .where(F.col("_before") + F.col("_n") > F.col("_reached") - k)
-        .select("_key", SLICE, "_before")
-    )
-    if store:
-        needed = write_out(needed, "needed-hours")
     marks = rows.select(
         F.col(key).alias("_key"),
         F.col(time).alias("_time"),
         F.lit(0).alias("_kind"),
         F.col(row_id).cast("string").alias("_id"),
         F.struct(row_id, time, *columns).alias("_row"),
-        F.lit(1).cast("long").alias("_one"),
         F.lit(None).cast(seeds.schema[seed].dataType).alias("_seed"),
     )
     wishes = asks.select(
@@ -174,31 +108,35 @@ def latest_neighbours(
         F.lit(1).alias("_kind"),
         F.col(seed).cast("string").alias("_id"),
         F.lit(None).cast(marks.schema["_row"].dataType).alias("_row"),
-        F.lit(0).cast("long").alias("_one"),
         F.col(seed).alias("_seed"),
     )
-    inside = Window.partitionBy("_key", SLICE).orderBy("_time", "_kind", "_id")
-    line = (
-        marks.unionByName(wishes)
-        .withColumn(SLICE, hour_number(F.col("_time")))
-        .join(needed, ["_key", SLICE])
-        .withColumn("_at", F.col("_before") + F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    both = marks.unionByName(wishes)
+    sliced, counts = time_slices(both, ["_key"], "_time", ["_kind", "_id"], target, {"_asks": F.sum("_kind")})
+    by_slice = Window.partitionBy("_key").orderBy(SLICE)
+    here = F.col(ROWS) - F.col("_asks")
+    before = F.sum(here).over(by_slice) - here
+    # The count before the first slice from here on that has a seed: later seeds reach back less far.
+    reached = F.min(F.when(F.col("_asks") > 0, F.col("_before"))).over(
+        by_slice.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     )
-    # A row stands at its own position, a seed asks for k positions; both meet in order of position, the row first.
-    is_row = F.col("_kind") == 0
-    own = F.when(is_row, F.col("_at")).otherwise(F.greatest(F.col("_at") - (k - 1), F.lit(1).cast("long")))
-    placed = line.where(F.col("_at") > 0).select(
-        "_key",
-        "_kind",
-        "_row",
-        "_seed",
-        F.col("_time").alias("_seed_time"),
-        F.col("_at").alias("_latest"),
-        F.explode(F.sequence(own, F.col("_at"))).alias("_at"),
+    needed = (
+        counts.withColumn("_before", before)
+        .withColumn("_reached", reached)
+        .where(F.col("_before") + here > F.col("_reached") - k)
+        .select("_key", SLICE, "_before")
+    )
+    if store:
+        needed = write_out(needed, "needed-slices")
+    inside = Window.partitionBy("_key", SLICE).orderBy("_time", "_kind", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col("_before") + F.sum(1 - F.col("_kind")).over(inside)
+    line = write_out(sliced.join(needed, ["_key", SLICE]).withColumn("_at", at).drop(SLICE, "_before", "_id"), "line")
+    # A row stands at its own position, a seed asks for k positions.
+    placed = line.where("_kind = 0").select("_key", "_at", "_row")
+    first = F.greatest(F.col("_at") - (k - 1), F.lit(1).cast("long"))
+    asked = line.where("_kind = 1 AND _at > 0").select(
+        "_key", "_seed", F.col("_time").alias("_seed_time"), F.col("_at").alias("_latest"), F.explode(F.sequence(first, "_at")).alias("_at")
     )
-    here = Window.partitionBy("_key", "_at").orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = placed.withColumn("_row", F.first("_row", ignorenulls=True).over(here)).where(~is_row & F.col("_row").isNotNull())
-    return met.select(
+    return asked.join(placed, ["_key", "_at"]).select(
         F.col("_seed").alias(seed),
         F.col("_seed_time").alias(seed_time),
         F.col("_key").alias(key),

@@ -1,8 +1,8 @@
 """Exact scores of predictions, per group or for a whole frame.
 
 Curves need scores in order. Equal scores are merged first, then the counts
-below each score come from ``running``, so a hundred billion distinct scores are
-still ordered slice by slice.
+below each score come from ``running`` over ranges drawn from the scores, so a hundred
+billion distinct scores are still ordered range by range.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.labels import class_by_argmax
-from seamark.operators.ranking import PART, Running, Total, running, with_cells, with_part, with_row
+from seamark.operators.ranking import PART, Running, Total, in_value_ranges, running, with_part, with_row
 
 # Smallest step of a double: probabilities are clipped this far from 0 and 1.
 EPSILON = 2.220446049250313e-16
@@ -25,12 +25,11 @@ def score_points(
     score: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """(by, score, pos, neg, pos_below, neg_below, pos_all, neg_all) for each distinct score.
 
-    ``weight`` says how many equal rows a row stands for; ``bounds``, such as 0
-    and 1 for probabilities, save the pass that looks up the extreme scores.
+    ``weight`` says how many equal rows a row stands for. The distinct scores are written in ranges
+    between drawn ones, so no task gathers more of them than others, however they lie.
     """
     rows = F.col(weight) if weight else F.lit(1)
     points = (
@@ -42,7 +41,7 @@ def score_points(
         )
     )
     return running(
-        with_cells(points, "score", "_cell", bounds=bounds),
+        in_value_ranges(points, ["score"], "_range"),
         {
             "pos_below": Running("sum", "pos", before=True),
             "neg_below": Running("sum", "neg", before=True),
@@ -51,8 +50,8 @@ def score_points(
         },
         by=by,
         order=["score"],
-        slice_=F.col("_cell"),
-    ).drop("_cell")
+        slice_=F.col("_range"),
+    ).drop("_range")
 
 
 def _as_double(name: str) -> Column:
@@ -65,7 +64,6 @@ def curve_scores(
     score: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """(by, roc_auc, average_precision) from one ordering of the scores.
 
@@ -79,7 +77,7 @@ def curve_scores(
     alarms = _as_double("neg_all") - _as_double("neg_below")
     gained = F.try_divide(_as_double("pos"), _as_double("pos_all"))
     return (
-        score_points(df, label, score, by, weight, bounds)
+        score_points(df, label, score, by, weight)
         .groupBy(*by)
         .agg(
             F.try_divide(F.sum(wins), pairs).alias("roc_auc"),
@@ -94,9 +92,8 @@ def roc_auc(
     score: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
-    return curve_scores(df, label, score, by, weight, bounds).drop("average_precision")
+    return curve_scores(df, label, score, by, weight).drop("average_precision")
 
 
 def average_precision(
@@ -105,9 +102,8 @@ def average_precision(
     score: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
-    return curve_scores(df, label, score, by, weight, bounds).drop("roc_auc")
+    return curve_scores(df, label, score, by, weight).drop("roc_auc")
 
 
 def log_loss_term(label: Column, probability: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.functions.times import hour_number, iso_week, iso_week_text, iso_year_week
+from seamark.functions.times import iso_week, iso_week_text, iso_year_week
 from seamark.operators.ranking import every_kth_row
 from seamark.plans.build import in_period
 
@@ -44,7 +44,7 @@ def weekly_counts_every_kth(
 ) -> DataFrame:
     """(target, week, count) over every ``step``-th message of each ship."""
     rows = in_period(positions.select(key, time).where(F.col(key).isNotNull()), start, end, time)
-    kept = every_kth_row(rows, step, by=[key], order=[time], slice_=hour_number(F.col(time)))
+    kept = every_kth_row(rows, step, by=[key], order=[time], time=time)
     counted = kept.groupBy(key, iso_week(F.col(time)).alias("week")).agg(F.count("*").alias("_n"))
     return _per_class(counted, ships, key, target, ["week"])
 

@@ -187,7 +187,7 @@ def test_curve_scores_with_ties(spark):
     assert metrics.average_precision(df, "y", "s").first()[0] == pytest.approx(ap)
     assert metrics.roc_auc(df.withColumn("s", 1 - F.col("s")), "y", "s").first()[0] == pytest.approx(1 - auc)
     merged = df.groupBy("y", "s").agg(F.count("*").alias("w"))
-    assert metrics.roc_auc(merged, "y", "s", weight="w", bounds=(0, 1)).first()[0] == pytest.approx(auc)
+    assert metrics.roc_auc(merged, "y", "s", weight="w").first()[0] == pytest.approx(auc)
     m = metrics.binary_metrics(df, "y", "s", 1.0).first()
     assert (m.roc_auc, m.average_precision) == (pytest.approx(auc), pytest.approx(ap))
 
@@ -285,24 +285,69 @@ def largest_slice(df, name):
     return df.groupBy(name).count().agg(F.max("count")).first()[0]
 
 
-def test_cells_of_odd_values_stay_small(spark):
-    rows = spark.range(100_000)
-    far = rows.select(F.when(F.col("id") == 5, F.lit(1 << 62)).otherwise(F.col("id")).alias("k"))
-    narrow = rows.select((0.5 + F.col("id") * 1e-9).alias("k"))
-    odd = rows.select(F.when(F.col("id") < 9, float("nan")).when(F.col("id") < 20, float("inf")).otherwise(F.col("id")).alias("k"))
-    for df, bounds in ((far, None), (narrow, (0.0, 1.0)), (odd, None)):
-        cells = ranking.with_cells(df, "k", "cell", bounds=bounds)
-        assert largest_slice(cells, "cell") < 500
-        inside = Window.orderBy("k")
-        falls = cells.withColumn("before", F.lag("cell").over(inside)).where("before > cell")
-        assert falls.count() == 0
-
-
-def test_text_cells_of_equal_beginnings_stay_small(spark):
-    urls = spark.range(50_000).select(F.concat(F.lit("https://www.example.org/a/long/path/"), F.col("id")).alias("url"))
-    cells = graph.with_text_cells(urls, "url", "cell")
-    assert largest_slice(cells, "cell") < 500
-    assert cells.withColumn("before", F.lag("cell").over(Window.orderBy("url"))).where("before > cell").count() == 0
+RANGED = {
+    "far": lambda: F.when(F.col("id") == 5, F.lit(1 << 62)).otherwise(F.col("id")),
+    "narrow": lambda: 0.5 + F.col("id") * 1e-9,
+    "odd": lambda: F.when(F.col("id") < 9, float("nan")).when(F.col("id") < 20, float("inf")).otherwise(F.col("id")),
+    "nested": lambda: F.when(F.col("id") == 5, 1e12).when(F.col("id") < 10, 1e6).otherwise(F.col("id") / 100_000),
+    "alike": lambda: F.concat(F.lit("https://www.example.org/a/long/path/"), F.col("id")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RANGED))
+def test_ranges_hold_about_as_many_rows_as_one_another(spark, name):
+    df = spark.range(100_000).select(RANGED[name]().alias("k")).distinct()
+    ranged = ranking.in_value_ranges(df, ["k"], "r", 32)
+    assert largest_slice(ranged, "r") <= 2 * df.count() / 32
+    edges = ranged.groupBy("r").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("r").collect()
+    assert len(edges) == 32 and ranged.where("k IS NULL").count() == 0
+    falls = ranged.groupBy("r").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).withColumn("before", F.lag("hi").over(Window.orderBy("r")))
+    assert falls.where("before >= lo").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(RANGED))
+def test_positions(spark, name):
+    df = spark.range(5000).select(RANGED[name]().alias("k")).distinct()
+    found = ranking.positions(df, "k", "at", 7).withColumn("rank", F.row_number().over(Window.orderBy("k")) - 1)
+    assert found.count() == df.count() and found.where("at <> rank").count() == 0
+    assert ranking.positions(df.limit(0), "k", "at").count() == 0
+
+
+BUSY = {  # key, seconds after the start, id
+    "hour": lambda i: (i % 10 == 0, i % 3600, i),
+    "second": lambda i: (i % 10 == 0, 7 + i * 1e-6, i),
+    "instant": lambda i: (i % 10 == 0, 7, i),
+    "mixed": lambda i: (i % 3 == 0, (i % 4) * 900 if i % 2 else i, -i),
+    "null": lambda i: (i % 7 == 0, None if i % 3 else i, i),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BUSY))
+def test_time_slices_stay_below_the_target(spark, name):
+    rows = [(int(k), None if s is None else START + timedelta(seconds=s), i) for k, s, i in map(BUSY[name], range(6000))]
+    df = spark.createDataFrame(rows, "key int, at timestamp_ntz, id long")
+    target = 300
+    placed, counts = ranking.time_slices(df, ["key"], "at", ["id"], target)
+    largest = placed.groupBy("key", ranking.SLICE).count().agg(F.max("count")).first()[0]
+    assert largest <= target and counts.agg(F.sum(ranking.ROWS)).first()[0] == 6000
+    ranked = ranking.row_ranks(df, "r", by=["key"], order=["at", "id"], time="at", target=target).collect()
+    line = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or START, r[2]))
+    expected = {r[2]: i for key in (0, 1) for i, r in enumerate([r for r in line if r[0] == key], 1)}
+    assert {r["id"]: r["r"] for r in ranked} == expected
+    whole, _ = ranking.time_slices(df, ["key"], "at", ["id"], 10_000)
+    assert dict(whole.dtypes)[ranking.SLICE] == "bigint"  # nothing is split below the target
+
+
+def test_latest_neighbours_of_a_split_hub(spark):
+    rows = [(1, START + timedelta(seconds=i % 3), i) for i in range(2000)]
+    seeds = [(i, 1, START + timedelta(seconds=i % 5 - 1)) for i in range(400)]
+    df, asks = spark.createDataFrame(rows, "key int, at timestamp_ntz, id long"), spark.createDataFrame(seeds, "seed int, key int, t timestamp_ntz")
+    found = graph.latest_neighbours(asks, df, 4, seed="seed", key="key", seed_time="t", time="at", row_id="id", target=100).collect()
+    expected = {}
+    for seed, _, t in seeds:
+        near = sorted((r for r in rows if r[1] <= t), key=lambda r: (r[1], str(r[2])), reverse=True)[:4]
+        expected.update({(seed, k): r[2] for k, r in enumerate(near, 1)})
+    assert {(r["seed"], r["hop_rank"]): r["id"] for r in found} == expected
 
 
 def test_bounds_do_not_change_quantiles(spark):

@@ -260,10 +260,15 @@ def test_shuffles_grow_with_the_data():
 
 def test_ranks_never_partition_rows_by_the_key_alone(spark):
     df = spark.createDataFrame([(1, datetime(2025, 1, 1))], "k int, t timestamp_ntz")
-    text = plan_of(ranking.row_ranks(df, "r", by=["k"], order=["t"], slice_=hour_number(F.col("t"))))
-    windows = [line for line in text.split("== Physical Plan ==")[1].splitlines() if "Window [" in line]
-    of_rows = [line for line in windows if "currentrow" in line]
-    assert len(windows) == 2 and len(of_rows) == 1 and "_slice" in of_rows[0].split("windowspecdefinition")[1].split("ASC")[0]
+    ranked = ranking.row_ranks(df, "r", by=["k"], order=["t"], slice_=hour_number(F.col("t")))
+    lines = plan_of(ranked).split("== Physical Plan ==")[1].splitlines()
+    of_rows = [line for line in lines if "Window [" in line and "currentrow" in line]
+    assert len(of_rows) == 1 and "windowspecdefinition(_part#" in of_rows[0]
+    parts = [line.split(" AS _part")[0] for line in lines if " AS _part#" in line]
+    assert len(parts) == 2 and all("struct(k, k#" in p and ", _slice, " in p for p in parts)
+    of_groups = [line for line in lines if "Window [" in line and "currentrow" not in line]
+    assert len(of_groups) == 1 and lines.index(of_groups[0]) > lines.index(of_rows[0])  # over counts only
+    assert any("hashpartitioning(_part#" in line for line in lines)
 
 
 def test_medians_and_modes_share_one_pass(spark, tmp_path):

@@ -38,6 +38,17 @@ class Source:
         return self.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
 
 
+def in_hour(seconds: Column) -> Column:
+    zero = F.lit(0)
+    return F.lit("2024-01-10 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds.cast("int"))
+
+
+def hub_hour(t: Source) -> DataFrame:
+    """Events of few keys, one with most of the rows, that all lie in seven seconds of one hour."""
+    hub = F.when(F.col("user_id") % 3 != 0, 0).otherwise(F.col("user_id") % 5)
+    return t.events.select("event_id", hub.cast("long").alias("hub"), in_hour(F.col("event_id") % 7).alias("moment"))
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(source)`` under a name, with its SQL if it has one."""
 
@@ -65,6 +76,10 @@ def split_sql(ts: str) -> str:
     )
 
 
+HUB = """
+h AS (SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN 0 ELSE user_id % 5 END AS hub,
+             TIMESTAMP '2024-01-10 10:00:00' + to_seconds(CAST(event_id % 7 AS BIGINT)) AS moment FROM events)"""
+
 NTH = f"""
 nth AS (
   SELECT user_id, ts AS nth_time FROM (

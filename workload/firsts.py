@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seamark.functions import casts, labels, times
 from seamark.operators import joins, quantiles, ranking
 from seamark.plans import build, features, task
-from workload.base import K, MEMBERS, N, NTH, TEST, VAL, Source, query, r6, split_sql
+from workload.base import HUB, K, MEMBERS, N, NTH, TEST, VAL, hub_hour, query, r6, Source, split_sql
 
 TASK = task.NthInteractionTask(
     n=N,
@@ -201,6 +201,18 @@ def every_kth_null_times(t: Source) -> DataFrame:
     return ranking.every_kth_row(nulled(t), 3, by=["event_type"], order=order, slice_=times.hour_number(F.col("ts")))
 
 
+@query(
+    "every_kth_hub_hour",
+    f"""
+WITH {HUB}
+SELECT hub, moment, event_id FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY moment, event_id) AS rn FROM h) WHERE rn % 10 = 0
+""",
+)
+def every_kth_hub_hour(t: Source) -> DataFrame:
+    """Most rows belong to one key, in one hour and few instants, all above what a slice may have."""
+    return ranking.every_kth_row(hub_hour(t), 10, by=["hub"], order=["moment", "event_id"], time="moment", target=50)
+
+
 MEDIAN_MODE_SQL = f"""
 m AS (SELECT user_id, value, {K} AS k, event_type FROM events),
 med AS (SELECT user_id, median(value) AS median_value, median(k) AS median_k FROM m GROUP BY user_id),

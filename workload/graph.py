@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark.operators import graph
 from seamark.plans import neighbourhood, task
-from workload.base import NTH, Source, query, r6
+from workload.base import HUB, NTH, hub_hour, in_hour, query, r6, Source
 from workload.firsts import TASK
 from workload.profiles import activity
 
@@ -62,6 +62,21 @@ def dense_ids_outlier(t: Source) -> DataFrame:
     return graph.dense_ids(keys, "k")
 
 
+@query(
+    "dense_ids_nested_outliers",
+    """
+SELECT k, row_number() OVER (ORDER BY k) - 1 AS node_id
+FROM (SELECT DISTINCT CASE WHEN event_id = 7 THEN 4611686018427387904 WHEN event_id % 1000 = 3 THEN 1000000000000 + event_id
+        ELSE event_id END AS k FROM events)
+""",
+)
+def dense_ids_nested_outliers(t: Source) -> DataFrame:
+    """Some keys far from most, and one far from these."""
+    id_ = F.col("event_id")
+    far = F.when(id_ == 7, F.lit(1 << 62)).when(id_ % 1000 == 3, id_ + 10**12).otherwise(id_)
+    return graph.dense_ids(t.events.select(far.alias("k")), "k")
+
+
 @query(
     "fk_edges",
     "SELECT 'f2p_o_custkey' AS edge_type, o_orderkey AS src, o_custkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey",
@@ -194,6 +209,26 @@ def neighbours_of_shared_key(t: Source) -> DataFrame:
     return found.select(F.col("seed").alias("o_orderkey"), F.col("o_orderkey").alias("near"), "hop_rank")
 
 
+@query(
+    "latest_k_hub_hour",
+    f"""
+WITH {HUB},
+s AS (SELECT c_custkey AS seed, c_custkey % 5 AS hub, TIMESTAMP '2024-01-10 10:00:00' + to_seconds(CAST(c_custkey % 9 AS BIGINT)) AS seed_time FROM customer),
+j AS (SELECT s.seed, h.event_id, row_number() OVER (PARTITION BY s.seed ORDER BY h.moment DESC, CAST(h.event_id AS VARCHAR) DESC) AS hop_rank
+      FROM s JOIN h ON h.hub = s.hub AND h.moment <= s.seed_time)
+SELECT seed, event_id, hop_rank FROM j WHERE hop_rank <= 3
+""",
+)
+def latest_k_hub_hour(t: Source) -> DataFrame:
+    """All rows of few keys in seven seconds of one hour, for far more rows in an instant than a slice may have."""
+    seconds = F.col("c_custkey") % 9
+    asks = t.customer.select(F.col("c_custkey").alias("seed"), (F.col("c_custkey") % 5).alias("hub"), in_hour(seconds).alias("seed_time"))
+    found = graph.latest_neighbours(
+        asks, hub_hour(t), 3, seed="seed", key="hub", seed_time="seed_time", time="moment", row_id="event_id", target=50
+    )
+    return found.select("seed", "event_id", "hop_rank")
+
+
 @query(
     "neighbour_mean_features",
     f"""

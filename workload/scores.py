@@ -125,9 +125,23 @@ def metrics_null_group(t: Source) -> DataFrame:
 
 @query("auc_narrow_scores", f"WITH {CURVE} SELECT split, {AUC} AS roc_auc FROM c GROUP BY split")
 def auc_narrow_scores(t: Source) -> DataFrame:
-    """Scores in a band far narrower than the bounds; the order, and with it the area, is that of the values."""
+    """Scores in a narrow band; the order, and with it the area, is that of the values."""
     rows = scored(t).withColumn("score", 0.5 + F.col("score") * 1e-8)
-    return metrics.roc_auc(rows, "label", "score", ["split"], bounds=(0.0, 1.0)).withColumn("roc_auc", r6("roc_auc"))
+    return metrics.roc_auc(rows, "label", "score", ["split"]).withColumn("roc_auc", r6("roc_auc"))
+
+
+OUTLIERS = CURVE.replace(
+    "value AS score", "CASE WHEN event_id = 11 THEN 1e12 WHEN event_id % 997 = 5 THEN 1e6 + value ELSE value / (value + 100) END AS score"
+)
+
+
+@query("auc_nested_outliers", f"WITH {OUTLIERS} SELECT split, {AUC} AS roc_auc, {AP} AS average_precision FROM c GROUP BY split")
+def auc_nested_outliers(t: Source) -> DataFrame:
+    """Scores between 0 and 1, some a million times as large, and one a million times as large again."""
+    value, id_ = F.col("score"), F.col("event_id")
+    far = F.when(id_ == 11, 1e12).when(id_ % 997 == 5, 1e6 + value).otherwise(value / (value + 100))
+    found = metrics.curve_scores(scored(t).withColumn("score", far), "label", "score", ["split"])
+    return found.withColumns({c: r6(c) for c in ("roc_auc", "average_precision")})
 
 
 @query(
