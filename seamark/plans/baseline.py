@@ -1,4 +1,4 @@
-"""Logistic-regression baselines on Spark ML.
+"""Logistic-regression baselines.
 
 Offsets are whole metres, so very many messages share a feature vector. Rows are
 merged to (split, features, label, rows) with map-side combining before scaling
@@ -10,15 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions.casts import fill_text, float_features
 from seamark.operators import metrics
 from seamark.operators.ranking import with_row
+from seamark.operators.regression import Regression, fit_logistic
 from seamark.session import write_out
 
 WEIGHT = "rows"
@@ -59,79 +57,50 @@ class Baseline:
     """A fitted scaler and model."""
 
     scaler: DataFrame
-    model: LogisticRegressionModel
+    model: Regression
     columns: tuple[str, ...]
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``probability`` of class 1."""
-        assembled = VectorAssembler(inputCols=[f"_s_{c}" for c in self.columns], outputCol="_x")
-        scaled = scale(df.withColumns({f"_s_{c}": F.col(c) for c in self.columns}), self._renamed(), [f"_s_{c}" for c in self.columns])
-        scored = self.model.transform(assembled.transform(scaled))
-        return scored.select(*df.columns, vector_to_array("_p")[1].alias("probability"))
-
-    def _renamed(self) -> DataFrame:
-        return self.scaler.select(
-            *[F.col(f"{k}_{c}").alias(f"{k}__s_{c}") for c in self.columns for k in ("mean", "std")]
-        )
+    def predict(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        """Add the probability of class 1, null where a feature is."""
+        row = self.scaler.first().asDict()  # literals, no scan
+        scaled = [(F.col(c).cast("double") - row[f"mean_{c}"]) / row[f"std_{c}"] for c in self.columns]
+        return df.withColumn(name, self.model.probability(scaled))
 
 
-def fit_baseline(
-    train: DataFrame,
-    columns: Sequence[str],
-    label: str,
-    weight: str | None = None,
-    c: float = 1.0,
-    max_iter: int = 500,
-) -> Baseline:
-    """Scaler on the training rows and an L2 model with inverse strength ``c``.
+def fit_baselines(
+    train: DataFrame, columns: Sequence[str], label: str, strengths: Sequence[float], weight: str | None = None, max_iter: int = 100
+) -> list[Baseline]:
+    """Scaler on the training rows and an L2 model for each inverse strength, all fitted in the same scans.
 
-    The penalty per row is 1 / (c * rows), which makes the objective the summed
-    loss times ``c`` plus half the squared weights; the intercept is not penalised.
+    The objective is the summed loss times the strength plus half the squared weights; the intercept is not penalised.
     """
-    scaler = fit_scaler(train, columns, weight)
     # One row of a dozen numbers, fixed here so later plans do not fit it again.
-    values = scaler.first().asDict()
+    values = fit_scaler(train, columns, weight).first().asDict()
     scaler = train.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
-    rows = train.agg(F.sum(weight) if weight else F.count("*")).first()[0]
-    scaled = scale(train, scaler, columns)
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(scaled)
-    estimator = LogisticRegression(
-        featuresCol="_x",
-        labelCol="_y",
-        probabilityCol="_p",
-        rawPredictionCol="_raw",
-        predictionCol="_guess",
-        family="binomial",
-        regParam=1.0 / (c * rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-8,
-        aggregationDepth=3,
-    )
-    if weight:
-        estimator = estimator.setWeightCol(weight)
-    model = estimator.fit(assembled.withColumn("_y", F.col(label).cast("double")))
-    if model.hasSummary and model.summary.totalIterations >= max_iter:
-        raise ValueError(f"no convergence in {max_iter} steps")
-    return Baseline(scaler, model, tuple(columns))
-
-
-def scores_by_split(model: Baseline, rows: DataFrame, label: str, split: str = "split") -> DataFrame:
-    """(split, log_loss, roc_auc) on merged rows."""
-    scored = model.predict(rows)
+    models = fit_logistic(scale(train, scaler, columns), columns, label, [1.0 / c for c in strengths], weight, max_iter)
+    return [Baseline(scaler, m, tuple(columns)) for m in models]
+
+
+def fit_baseline(
+    train: DataFrame, columns: Sequence[str], label: str, weight: str | None = None, c: float = 1.0, max_iter: int = 100
+) -> Baseline:
+    return fit_baselines(train, columns, label, [c], weight, max_iter)[0]
+
+
+def scores_by_split(scored: DataFrame, label: str, split: str = "split") -> DataFrame:
+    """(split, log_loss, roc_auc) of merged rows with their probability."""
     losses = metrics.log_loss(scored, label, "probability", [split], WEIGHT)
     return losses.join(metrics.roc_auc(scored, label, "probability", [split], WEIGHT), split)
 
 
-def run_baseline(features: DataFrame, columns: Sequence[str], label: str, c: float = 1.0, max_iter: int = 500) -> DataFrame:
+def run_baseline(features: DataFrame, columns: Sequence[str], label: str, c: float = 1.0, max_iter: int = 100) -> DataFrame:
     """Fit on the train split of a frame with a ``split`` column and score every split."""
     rows = write_out(merge_equal(features, columns, label), "merged-features")
     model = fit_baseline(rows.where(F.col("split") == "train"), columns, label, WEIGHT, c, max_iter)
-    return scores_by_split(model, rows, label)
+    return scores_by_split(model.predict(rows), label)
 
 
-def run_mode_baseline(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 2000) -> DataFrame:
+def run_mode_baseline(rows: DataFrame, columns: Sequence[str], label: str, max_iter: int = 100) -> DataFrame:
     """One row per entity; the hard 0/1 predictions themselves are scored, by split."""
     rows = write_out(rows.select("split", label, *columns), "mode-features")
     model = fit_baseline(rows.where(F.col("split") == "train"), columns, label, max_iter=max_iter)
@@ -139,16 +108,21 @@ def run_mode_baseline(rows: DataFrame, columns: Sequence[str], label: str, max_i
     return metrics.binary_metrics(guessed, label, "guess", 0.5, ["split"])
 
 
-def grid_search(features: DataFrame, columns: Sequence[str], label: str, strengths: Sequence[float], max_iter: int = 500) -> DataFrame:
-    """(cell, c, log_loss, roc_auc) on the val split for each inverse strength; ``best_row`` picks."""
+def grid_search(features: DataFrame, columns: Sequence[str], label: str, strengths: Sequence[float], max_iter: int = 100) -> DataFrame:
+    """(cell, c, log_loss, roc_auc) on the val split for each inverse strength; ``best_row`` picks.
+
+    All cells are fitted in the same scans, and scored in one.
+    """
     rows = write_out(merge_equal(features, columns, label), "merged-features")
-    train, val = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
-    out = None
-    for cell, c in enumerate(strengths):
-        scored = scores_by_split(fit_baseline(train, columns, label, WEIGHT, c, max_iter), val, label)
-        row = scored.select(F.lit(cell).alias("cell"), F.lit(float(c)).alias("c"), "log_loss", "roc_auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+    models = fit_baselines(rows.where(F.col("split") == "train"), columns, label, strengths, WEIGHT, max_iter)
+    scored = rows.where(F.col("split") == "val")
+    cells = []
+    for cell, (c, model) in enumerate(zip(strengths, models, strict=True)):
+        scored = model.predict(scored, f"_p{cell}")
+        cells.append(F.struct(F.lit(cell).alias("cell"), F.lit(float(c)).alias("c"), F.col(f"_p{cell}").alias("probability")))
+    long = scored.select(label, WEIGHT, F.inline(F.array(*cells)))
+    found = scores_by_split(long.withColumn("_cell", F.struct("cell", "c")), label, "_cell")
+    return found.select("_cell.cell", "_cell.c", "log_loss", "roc_auc")
 
 
 def text_vectors(df: DataFrame, key: str, column: str, size: int = 300) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Fitted models. With one feature Newton's steps can be written out in SQL; the others the tests hold against numpy."""
+"""Fitted models, held against Newton's steps written out in SQL."""
 
 from __future__ import annotations
 
@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from seamark.operators.metrics import best_row
 from seamark.plans import baseline
 from seamark.schema import MODE_COLUMNS, OFFSETS
-from workload.base import Source, query
+from workload.base import ORACLES, Source, query
 from workload.messages import mode_features
 from workload.graph import neighbour_mean_features
 from workload.firsts import nth_event_task
 from workload.splits import SPLIT_SQL, split_features
 
 
-@query("lr_baseline")
-def lr_baseline(t: Source) -> DataFrame:
-    return baseline.run_baseline(split_features(t, merged=True), OFFSETS, "segment")
-
-
 def newton_sql(name: str, c: float, steps: int = 12) -> str:
     """Common tables that fit label and feature (y, x, n) of ``z``: intercept a, slope b with penalty b*b/2c, after each step."""
     parts = [f"{name}0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
@@ -72,23 +67,132 @@ def lr_one_feature_grid(t: Source) -> DataFrame:
     return trials.select("cell", "c", F.round("log_loss", 5).alias("log_loss"))
 
 
-@query("lr_mode_features")
-def lr_mode_features(t: Source) -> DataFrame:
-    rows = mode_features(t).na.drop("any")
-    return baseline.run_mode_baseline(rows, MODE_COLUMNS, "shiptype")
+def many_newton_sql(name: str, size: int, c: float, steps: int = 10) -> str:
+    """``newton_sql`` for features x0 .. of ``z``: weights w0 .. and, last, the intercept; each step solves its system by Gauss's method."""
+    cells = range(size + 1)
+    x = [f"x{i}" for i in range(size)] + ["1"]
+    parts = [f"{name}0 AS (SELECT {', '.join(f'0.0::DOUBLE AS w{i}' for i in cells)})"]
+    score = " + ".join(f"w{i} * {x[i]}" for i in cells)
+    ridge = [f" + 1 / {c}" if i < size else "" for i in cells]
+    sums = [f"any_value(w{i}) AS w{i}" for i in cells]
+    sums += [f"sum(n * (p - y) * {x[i]})" + (f" + any_value(w{i}) / {c}" if i < size else "") + f" AS g{i}" for i in cells]
+    sums += [f"sum(n * p * (1 - p) * {x[i]} * {x[j]})" + (ridge[i] if i == j else "") + f" AS h{i}{j}" for i in cells for j in range(i + 1)]
+    solve = f"SELECT {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM z, {name}#)"
+    for k in range(size):  # Gauss: each stage reads the columns of the one before
+        rest = range(k + 1, size + 1)
+        kept = [f"h{i}{j}" for i in range(k + 1) for j in range(i + 1)] + [f"h{i}{j}" for i in rest for j in range(k + 1)]
+        kept += [f"w{i}" for i in cells] + [f"g{i}" for i in range(k + 1)]
+        kept += [f"h{i}{j} - h{i}{k} * h{j}{k} / h{k}{k} AS h{i}{j}" for i in rest for j in range(k + 1, i + 1)]
+        kept += [f"g{i} - h{i}{k} * g{k} / h{k}{k} AS g{i}" for i in rest]
+        solve = f"SELECT {', '.join(kept)} FROM ({solve})"
+    for i in reversed(cells):
+        known = "".join(f" - h{k}{i} * u{k}" for k in range(i + 1, size + 1))
+        solve = f"SELECT *, (g{i}{known}) / h{i}{i} AS u{i} FROM ({solve})"
+    for step in range(steps):
+        after = ", ".join(f"w{i} - u{i} AS w{i}" for i in cells)
+        parts.append(f"{name}{step + 1} AS MATERIALIZED (SELECT {after} FROM ({solve.replace(name + '#', name + str(step))}))")
+    return ",\n".join(parts)
+
+
+def scaled_sql(rows: str, columns: list[str], label: str) -> str:
+    """``r``: merged rows of a frame ``rows`` with a split, scaled by its training rows; ``z``: those of the training rows."""
+    x = [f"x{i}" for i in range(len(columns))]
+    merged = ", ".join(f"CAST({c} AS FLOAT)::DOUBLE AS {v}" for c, v in zip(columns, x))
+    means = ", ".join(f"sum(n * {v}) / sum(n) AS m_{v}" for v in x)
+    spreads = ", ".join(f"sqrt(sum(n * ({v} - m_{v}) ** 2) / sum(n)) AS s_{v}" for v in x)
+    scaled = ", ".join(f"({v} - m_{v}) / CASE WHEN s_{v} > 0 THEN s_{v} ELSE 1 END AS {v}" for v in x)
+    return f"""
+q AS MATERIALIZED (SELECT split, {label} AS y, {merged}, count(*)::DOUBLE AS n FROM {rows} GROUP BY ALL),
+km AS (SELECT {means} FROM q WHERE split = 'train'),
+ks AS (SELECT {spreads} FROM q, km WHERE split = 'train'),
+r AS MATERIALIZED (SELECT split, y, n, {scaled} FROM q, km, ks),
+z AS MATERIALIZED (SELECT * FROM r WHERE split = 'train')"""
+
+
+def scored_sql(weights: str, size: int) -> str:
+    score = " + ".join(f"w{i} * x{i}" for i in range(size)) + f" + w{size}"
+    return f"SELECT *, 1 / (1 + exp(-({score}))) AS p FROM r, {weights}"
+
+
+def area_sql(points: str, by: str) -> str:
+    """(by, log_loss, roc_auc) of ``points(by, y, n, p)``."""
+    return f"""
+SELECT {by}, round(any_value(loss), 5) AS log_loss, round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 4) AS roc_auc
+FROM (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY p) - neg AS below,
+             sum(loss_here) OVER (PARTITION BY {by}) / sum(pos + neg) OVER (PARTITION BY {by}) AS loss
+      FROM (SELECT {by}, p, sum(n * y) AS pos, sum(n * (1 - y)) AS neg,
+                   sum(n * -CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS loss_here FROM {points} GROUP BY {by}, p))
+GROUP BY {by}"""
+
+
+def rounded(scores: DataFrame) -> DataFrame:
+    return scores.withColumns({"log_loss": F.round("log_loss", 5), "roc_auc": F.round("roc_auc", 4)})
+
+
+FOUR = f"{SPLIT_SQL}, {scaled_sql('f', OFFSETS, 'segment')}"
+
+
+@query("lr_baseline", f"WITH {FOUR}, {many_newton_sql('w', 4, 1.0)}, p AS ({scored_sql('w10', 4)}) {area_sql('p', 'split')}")
+def lr_baseline(t: Source) -> DataFrame:
+    return rounded(baseline.run_baseline(split_features(t, merged=True), OFFSETS, "segment"))
 
 
-@query("lr_grid")
+@query(
+    "lr_grid",
+    f"WITH {FOUR}, "
+    + ", ".join(many_newton_sql(f"w{i}_", 4, c) for i, c in enumerate(STRENGTHS))
+    + ", p AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS cell, y, n, p FROM ({scored_sql(f'w{i}_10', 4)}) WHERE split = 'val'" for i in range(len(STRENGTHS)))
+    + f"), a AS ({area_sql('p', 'cell')})"
+    + "SELECT cell, CASE cell WHEN 0 THEN 0.01::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS c, log_loss, roc_auc FROM a "
+    + "ORDER BY roc_auc DESC, cell LIMIT 1",
+)
 def lr_grid(t: Source) -> DataFrame:
-    trials = baseline.grid_search(split_features(t, merged=True), OFFSETS, "segment", [0.01, 1.0, 100.0], 100)
-    return best_row(trials, "roc_auc", "cell")
+    """The best cell by the area, the first of equals."""
+    trials = baseline.grid_search(split_features(t, merged=True), OFFSETS, "segment", STRENGTHS)
+    return best_row(rounded(trials), "roc_auc", "cell")
+
+
+HARD = """
+g AS (SELECT split, y, n, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS guess FROM p),
+t AS (SELECT split, coalesce(sum(n) FILTER (guess = 1 AND y = 1), 0) AS tp, coalesce(sum(n) FILTER (guess = 1 AND y = 0), 0) AS fp,
+             coalesce(sum(n) FILTER (guess = 0 AND y = 1), 0) AS fn, coalesce(sum(n) FILTER (guess = 0 AND y = 0), 0) AS tn FROM g GROUP BY split)
+SELECT split,
+  round(CASE WHEN tp + fn > 0 THEN (CASE WHEN tp + fp > 0 THEN tp / (tp + fn) * tp / (tp + fp) ELSE 0 END)
+                                   + fn / (tp + fn) * (tp + fn) / (tp + fn + fp + tn) END, 6) AS average_precision,
+  round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+  round(CASE WHEN (tp + fn) * (tn + fp) > 0 THEN (tp * tn + (tp * fp + fn * tn) / 2) / ((tp + fn) * (tn + fp)) END, 6) AS roc_auc
+FROM t"""
+
 
+@query(
+    "lr_mode_features",
+    f"""
+WITH mf AS ({ORACLES['mode_features']}),
+f AS (SELECT * FROM mf WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ['mmsi', 'nth_time', 'shiptype', *MODE_COLUMNS])}),
+{scaled_sql('f', MODE_COLUMNS, 'shiptype')}, {many_newton_sql('w', 4, 1.0)}, p AS ({scored_sql('w10', 4)}), {HARD}
+""",
+)
+def lr_mode_features(t: Source) -> DataFrame:
+    rows = mode_features(t).na.drop("any")
+    scores = baseline.run_mode_baseline(rows, MODE_COLUMNS, "shiptype")
+    return scores.withColumns({c: F.round(c, 6) for c in ("average_precision", "accuracy", "f1", "roc_auc")})
 
-@query("lr_on_neighbourhood")
+
+@query(
+    "lr_on_neighbourhood",
+    f"""
+WITH task AS ({ORACLES['nth_event_task']}), near AS ({ORACLES['neighbour_mean_features']}),
+f AS (SELECT segment, split, own_value, same_type_value FROM task JOIN near USING (user_id)),
+{scaled_sql('f', ['own_value', 'same_type_value'], 'segment')}, {many_newton_sql('w', 2, 1.0)},
+p AS ({scored_sql('w10', 2)}) {area_sql('p', 'split')}
+""",
+)
 def lr_on_neighbourhood(t: Source) -> DataFrame:
     features = neighbour_mean_features(t).drop("nth_time")
     rows = nth_event_task(t).join(features, "user_id")
-    return baseline.run_baseline(rows, ["own_value", "same_type_value"], "segment")
+    return rounded(baseline.run_baseline(rows, ["own_value", "same_type_value"], "segment"))
 
 
 @query(
