@@ -154,7 +154,15 @@ def medians_and_modes(
 
     Both statistics read the same exchange of value counts.
     """
-    counts = value_counts(df, columns, [key], bounds)
+    return medians_and_modes_of(value_counts(df, columns, [key], bounds), columns, key)
+
+
+def with_slices(counts: DataFrame, bounds: tuple[float, float], cells: int = CELLS) -> DataFrame:
+    """Counts of values, summed up elsewhere, as ``value_counts`` gives them."""
+    return counts.withColumn(SLICE, grid(F.col("value"), F.lit(float(bounds[0])), F.lit(float(bounds[1])), cells))
+
+
+def medians_and_modes_of(counts: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     medians = quantiles_of(counts, [0.5], [key]).select(
         key, F.concat(F.lit("median_"), F.col("column")).alias("name"), F.col("q")[0].alias("value")
     )

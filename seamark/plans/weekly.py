@@ -16,7 +16,8 @@ from seamark.operators.ranking import every_kth_row
 from seamark.plans.build import in_period
 
 
-def _per_class(counted: DataFrame, ships: DataFrame, key: str, target: str, weeks: Sequence[str]) -> DataFrame:
+def per_class(counted: DataFrame, ships: DataFrame, key: str, target: str, weeks: Sequence[str]) -> DataFrame:
+    """(target, weeks, count) of counts ``_n`` per ship and week."""
     classes = ships.select(key, target).where(F.col(target).isNotNull())
     return counted.join(classes, key).groupBy(target, *weeks).agg(F.sum("_n").alias("count"))
 
@@ -29,7 +30,7 @@ def weekly_counts(
     counted = positions.groupBy(
         key, iso_year_week(ts).alias("year_week"), iso_week_text(ts).alias("week_number")
     ).agg(F.count("*").alias("_n"))
-    return _per_class(counted, ships, key, target, ["year_week", "week_number"])
+    return per_class(counted, ships, key, target, ["year_week", "week_number"])
 
 
 def weekly_counts_every_kth(
@@ -46,7 +47,7 @@ def weekly_counts_every_kth(
     rows = in_period(positions.select(key, time).where(F.col(key).isNotNull()), start, end, time)
     kept = every_kth_row(rows, step, by=[key], order=[time], time=time)
     counted = kept.groupBy(key, iso_week(F.col(time)).alias("week")).agg(F.count("*").alias("_n"))
-    return _per_class(counted, ships, key, target, ["week"])
+    return per_class(counted, ships, key, target, ["week"])
 
 
 def weekly_pivot(counts: DataFrame, target: str, week: str, classes: Sequence[str] | None = None) -> DataFrame:
