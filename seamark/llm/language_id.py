@@ -10,32 +10,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ready
+from seamark.llm.common import others, ready
 
 UNKNOWN = "und"
 #: Letters of an n-gram, dimensions of a vector, the seed of the letters' vectors.
 ORDER, DIMENSIONS, SEED = 3, 1024, 20240117
-#: Characters that are looked at together.
-CHUNK = 1 << 19
+#: Characters that are looked at together, and n-grams whose vectors are held at a time.
+CHUNK, BLOCK = 1 << 18, 4096
 #: Stands for whatever is between words.
 GAP = 0
 
 
 class Letters:
-    """Whether a code point is a letter, and its random vector of -1 and 1; both made when first needed."""
+    """Whether a code point is part of a word (2 a letter, 1 a mark), and its random vector of -1 and 1; both made when first needed."""
 
     def __init__(self, dimensions: int, seed: int) -> None:
         self.dimensions, self.seed = dimensions, seed
         self.known = np.full(0x110000, -1, np.int8)
         self.vectors: dict[int, np.ndarray] = {}
 
-    def is_letter(self, points: np.ndarray) -> np.ndarray:
+    def kind(self, points: np.ndarray) -> np.ndarray:
         found = self.known[points]
         if (found < 0).any():
             for p in np.unique(points[found < 0]):
-                self.known[p] = unicodedata.category(chr(p))[0] in "LM"
+                self.known[p] = {"L": 2, "M": 1}.get(unicodedata.category(chr(p))[0], 0)
             found = self.known[points]
-        return found > 0
+        return found
 
     def vector(self, point: int) -> np.ndarray:
         if point not in self.vectors:
@@ -55,7 +55,10 @@ class Letters:
 
 
 def profiles(texts: list[str | None], letters: Letters) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bundled vectors, letters per text) of runs of texts with about ``CHUNK`` characters."""
+    """(first row, bundled vectors, letters per text) of runs of texts with about ``CHUNK`` characters.
+
+    Vectors of at most ``BLOCK`` n-grams exist at a time, so a long text of very many kinds takes memory for its characters only.
+    """
     row = 0
     while row < len(texts):
         last, size = row, 0
@@ -65,14 +68,15 @@ def profiles(texts: list[str | None], letters: Letters) -> Iterator[tuple[int, n
         # Two gaps between texts, so that no n-gram holds letters of two.
         joined = "\0\0".join((t or "").lower() for t in texts[row:last])
         points = np.frombuffer(("\0" + joined + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        is_letter = letters.is_letter(points)
+        kind = letters.kind(points)
+        is_letter = kind > 0
         lengths = np.array([len((t or "").lower()) for t in texts[row:last]])
         owner = np.repeat(np.arange(last - row), lengths + 2)
         keep = is_letter.copy()
         keep[1:] |= is_letter[:-1]  # the first sign after a word is its gap
         keep[np.cumsum(lengths + 2) - lengths - 2] = True  # and so is the start of a text
+        n_letters = np.bincount(owner[kind == 2], minlength=last - row)
         points, owner, is_letter = np.where(is_letter, points, GAP)[keep], owner[keep], is_letter[keep]
-        n_letters = np.bincount(owner[is_letter], minlength=last - row)
         out = np.zeros((last - row, letters.dimensions), np.float32)
         if len(points) >= ORDER:
             symbols, code = np.unique(points, return_inverse=True)
@@ -81,24 +85,35 @@ def profiles(texts: list[str | None], letters: Letters) -> Iterator[tuple[int, n
             whole = (owner[:-2] == owner[2:]) & is_letter[1:-1]
             packed, of = packed[whole], owner[:-2][whole]
             kinds, which = small_unique(packed, base**ORDER)
-            if len(kinds):
-                grams = np.stack([symbols[kinds // base**2], symbols[kinds // base % base], symbols[kinds % base]], axis=1)
-                vectors = letters.ngrams(grams)
-                step = max(1, (1 << 21) // len(kinds))
-                edges = np.searchsorted(of, np.arange(0, last - row + step, step))
-                for k, lo in enumerate(range(0, last - row, step)):
-                    hi = min(last - row, lo + step)
-                    part = slice(edges[k], edges[k + 1])
-                    cells = (of[part] - lo) * len(kinds) + which[part]
-                    counts = np.bincount(cells, minlength=(hi - lo) * len(kinds)).reshape(hi - lo, -1)
-                    out[lo:hi] = counts.astype(np.float32) @ vectors
+            order = np.argsort(which, kind="stable") if len(kinds) > BLOCK else None
+            if order is not None:
+                which, of = which[order], of[order]
+            for low in range(0, len(kinds), BLOCK):
+                some = kinds[low : low + BLOCK]
+                mine = slice(*np.searchsorted(which, [low, low + BLOCK])) if order is not None else slice(None)
+                grams = np.stack([symbols[some // base**2], symbols[some // base % base], symbols[some % base]], axis=1)
+                add(out, of[mine], which[mine] - low, letters.ngrams(grams))
         yield row, out, n_letters
         row = last
 
 
+def add(out: np.ndarray, of: np.ndarray, which: np.ndarray, vectors: np.ndarray) -> None:
+    """Add to each text's row of ``out`` the vectors of its n-grams, a block of rows at a time."""
+    order = np.argsort(of, kind="stable")
+    of, which = of[order], which[order]
+    step = max(1, (1 << 20) // len(vectors))
+    edges = np.searchsorted(of, np.arange(0, len(out) + step, step))
+    for k, lo in enumerate(range(0, len(out), step)):
+        hi = min(len(out), lo + step)
+        part = slice(edges[k], edges[k + 1])
+        cells = (of[part] - lo) * len(vectors) + which[part]
+        counts = np.bincount(cells, minlength=(hi - lo) * len(vectors)).reshape(hi - lo, -1)
+        out[lo:hi] += counts.astype(np.float32) @ vectors
+
+
 def small_unique(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """``np.unique`` with inverse; by a table where the values allow it."""
-    if limit > 1 << 24:
+    if limit > 1 << 22:
         return np.unique(values, return_inverse=True)
     seen = np.zeros(limit, bool)
     seen[values] = True
@@ -112,18 +127,23 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-12)
 
 
-def learn(docs: DataFrame, per_language: int = 2000, seed: int = SEED, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
+def learn(
+    docs: DataFrame, per_language: int = 2000, seed: int = SEED, dimensions: int = DIMENSIONS, most: int = 1000
+) -> dict[str, np.ndarray]:
     """A prototype for each value of ``lang``: the bundle of its documents' unit vectors.
 
     ``docs`` has ``text``, ``lang`` and ``pick``, a number that decides which rows are
     taken: of each language those with the smallest ones, about ``per_language`` of
-    them. This bounds what is learnt from; all else reads every row.
+    them. This bounds what is learnt from; all else reads every row. More than ``most`` languages raise,
+    as they would all reach the driver and every task.
     """
     ready(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(most + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     # The share of the range of ``pick`` that holds the wanted number of rows.
     cuts = [(lang, int(min(1.0, per_language / n) * (2**32 - 1))) for lang, n in sorted(counts.items())]
     taken = F.lit(False)
@@ -153,14 +173,14 @@ def learn(docs: DataFrame, per_language: int = 2000, seed: int = SEED, dimension
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = SEED) -> DataFrame:
     """``docs`` with ``lang_pred string`` and ``score double``, the cosine with the nearest prototype.
 
-    ``und`` with score 0 for a null text, one without a letter, or if nothing was learnt.
-    Other columns pass through, but for those of the two names, which are replaced. No shuffle.
+    ``und`` with score 0 for a null text, one without a letter (marks alone are none), or if nothing was learnt.
+    Other columns pass through, but for those of the two names in any case, which are replaced. No shuffle.
     """
     spark = ready(docs.sparkSession)
     names = list(prototypes)
     dimensions = len(next(iter(prototypes.values()))) if names else DIMENSIONS
     weights = spark.sparkContext.broadcast(unit(np.array([prototypes[n] for n in names])).astype(np.float32) if names else None)
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = others(docs, "lang_pred", "score")
 
     def compare(batches):
         letters = Letters(dimensions, seed)
@@ -181,8 +201,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 [*batch.schema.names[1:], "lang_pred", "score"],
             )
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(F.col(text).alias("text for profile"), *[F.col(f"`{c}`") for c in others]).mapInArrow(compare, schema)
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    return docs.select(F.col(text).alias("text for profile"), *kept).mapInArrow(compare, schema)
 
 
 def picked(doc_id: Column) -> Column:
