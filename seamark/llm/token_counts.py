@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -16,6 +17,9 @@ from seamark.llm.common import ready
 #: Words with a leading space, numbers, other signs and white space, as the vocabulary was built with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "last", "most")
+#: Signs of white space in a row that are encoded together; what is longer is encoded in pieces of so many, as the pattern looks back over all of them.
+LONGEST_SPACE = 1000
+LONG_SPACE = re.compile(rf"\s{{{LONGEST_SPACE + 1},}}")
 
 
 @lru_cache(maxsize=4)
@@ -34,6 +38,16 @@ def byte_encoder(path: str):
     return encoding, lengths
 
 
+def stretches(text: str) -> list[str]:
+    """The text in pieces to be encoded one by one: whole, but for runs of white space longer than ``LONGEST_SPACE``, which are cut."""
+    out, last = [], 0
+    for run in LONG_SPACE.finditer(text):
+        for k in range(run.start() + LONGEST_SPACE, run.end(), LONGEST_SPACE):
+            out.append(text[last:k])
+            last = k
+    return [*out, text[last:]]
+
+
 def line_edges(data: np.ndarray) -> np.ndarray:
     """Where a text's lines end, in bytes; a line includes its line feed."""
     ends = np.flatnonzero(data == 10) + 1
@@ -68,7 +82,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     their spans are then matched with those of the lines, by bytes: a byte-level token
     may hold part of a character. ``n_tokens`` of a document's lines add up to its
     whole count. ``tokenizer`` is a rank file that every executor can read. Strings of
-    special tokens are ordinary text.
+    special tokens are ordinary text. Runs of more than ``LONGEST_SPACE`` signs of white space are encoded in pieces of that length.
 
     A null text gives one section with null counts, an empty one a section of none;
     ids are not looked at, so null and repeated ones keep all their rows. No shuffle.
@@ -89,7 +103,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                     continue
                 raw = np.frombuffer(body.encode(), np.uint8)
                 edges = line_edges(raw)
-                spans = lengths[np.array(encoding.encode_ordinary(body), np.int64)]
+                spans = lengths[np.concatenate([np.array(encoding.encode_ordinary(s), np.int64) for s in stretches(body)])]
                 given, crossing = attribute(spans, edges, rule)
                 begins = np.concatenate([[0], edges[:-1]])
                 heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
