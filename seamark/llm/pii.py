@@ -16,14 +16,22 @@ LONG_WORDS = r"(?i:(?:api|access|secret|private|auth)[ _.-]?key|secret|token)"
 SHORT_WORDS = r"(?i:password|passwd|passphrase|pwd)"
 THEN = r"[\"']?\s*+[:=]{1,2}+>?+\s*+[\"']?"
 ACCESS = r"\bAKIA[0-9A-Z]{16}\b"
+#: Keys that are known by how they begin.
+MARKED = r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}+|sk_(?:live|test)_[A-Za-z0-9]{10,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+)(?![A-Za-z0-9_-])"
+#: After the same words, any eight signs or more with a letter and a digit.
+SIGNS = r"[^\s\"'<>,;:=]"
+MIXED = rf"(?:{SHORT_WORDS}|{LONG_WORDS}){THEN}(?={SIGNS}*?[A-Za-z])(?={SIGNS}*?[0-9]){SIGNS}{{8,}}+"
 NAMED = rf"(?:{SHORT_WORDS}{THEN}[0-9A-Fa-f]{{8,}}+|{LONG_WORDS}{THEN}[0-9A-Fa-f]{{16,}}+)\b"
 #: What may be personal data, by kind; Java patterns without capturing groups.
 PATTERNS = {
     "secret": rf"{ACCESS}|{NAMED}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
+    "marked": MARKED,
+    "mixed": MIXED,
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
@@ -41,7 +49,7 @@ CARD_FORM = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0
 AGAIN = [
     ("iban", r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$", 9),
     ("card", CARD_FORM, 5),
-    "|".join(PATTERNS[k] for k in ("secret", "email", "ip", "date", "ssn")),
+    "|".join(PATTERNS[k] for k in ("secret", "marked", "mixed", "email", "ip", "ip6", "date", "ssn")),
     ("card", r"^[0-9](?:[ -]?[0-9]){12,18}$", 19),
     PATTERNS["phone"].partition("|(?<!")[0],
     PATTERNS["phone"],
@@ -55,7 +63,7 @@ IBAN_SIGNS = {
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 #: Cheap test that a text may hold any of them.
-MAY_HOLD = rf"[0-9@]|AKIA|{SHORT_WORDS}{THEN}|{LONG_WORDS}{THEN}"
+MAY_HOLD = rf"[0-9@]|AKIA|eyJ|\bgh[pousr]_|\bsk_|\bxox|{SHORT_WORDS}{THEN}|{LONG_WORDS}{THEN}"
 #: Days from 1800-01-01 to 2199-12-31, one cycle of the calendar, as a product.
 DAYS = (189, 773)
 FIRST_DAY = "1800-01-01"
@@ -188,6 +196,7 @@ def date_format(value: Column) -> Column:
     return (
         F.when(value.contains("-"), F.when(in_range("yyyy-MM-dd"), "yyyy-MM-dd"))
         .when(value.contains("."), F.when(in_range("dd.MM.yyyy"), "dd.MM.yyyy"))
+        .when(value.rlike("^[0-9]{4}/"), F.when(in_range("yyyy/MM/dd"), "yyyy/MM/dd"))
         .otherwise(F.when(in_range("MM/dd/yyyy"), "MM/dd/yyyy").when(in_range("dd/MM/yyyy"), "dd/MM/yyyy"))
     )
 
@@ -195,7 +204,7 @@ def date_format(value: Column) -> Column:
 def new_date(value: Column, key: str) -> Column:
     out = F.lit(None).cast("string")
     known = date_format(value)
-    for f in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"):
+    for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"):
         day = F.datediff(F.try_to_timestamp(value, F.lit(f)).cast("date"), F.lit(FIRST_DAY).cast("date"))
         pair = feistel_pair(F.floor(day / DAYS[1]), day % DAYS[1], DAYS, key + "date")
         moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (pair["l"] * DAYS[1] + pair["r"]).cast("int"))
@@ -241,17 +250,36 @@ def new_secret(value: Column, key: str) -> Column:
     return F.when(value.startswith("AKIA"), access).otherwise(F.concat(before, F.when(digits.rlike("[A-F]"), mixed).otherwise(small)))
 
 
+def new_marked(value: Column, key: str) -> Column:
+    """What follows the mark is permuted, each sign within digits, small or capital letters."""
+    mark = F.regexp_extract(value, "^(?:gh[pousr]_|sk_(?:live|test)_|xox[abprs]-|eyJ)", 0)
+    return F.concat(mark, feistel_text(F.substring(value, F.length(mark) + 1, F.length(value)), key + "marked"))
+
+
+def new_mixed(value: Column, key: str) -> Column:
+    """The signs at the end are permuted, each within digits, small or capital letters; other signs and the words before stay."""
+    end = F.regexp_extract(value, SIGNS + "+$", 0)
+    return F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(end)), feistel_text(end, key + "mixed"))
+
+
+def new_ip6(value: Column, key: str) -> Column:
+    return feistel_text(value, key + "ip6", "0123456789 abcdef ABCDEF")
+
+
 def checks(value: Column) -> dict[str, Column]:
     """By kind, whether the whole value has its pattern and passes its check."""
     plain = F.replace(value, F.lit(" "), F.lit(""))
     digits = digits_of(value)
     return {
         "secret": value.rlike(rf"^(?:{ACCESS}|{NAMED})$"),
+        "marked": value.rlike(rf"^{MARKED}$"),
+        "mixed": value.rlike(rf"^{MIXED}$"),
         "email": value.contains("@"),
         "iban": value.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(plain).between(15, 34))
         & (iban_rest(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1),
         "ip": value.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"),
-        "date": value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$") & date_format(value).isNotNull(),
+        "ip6": value.rlike("^[0-9A-Fa-f:]+$") & value.contains(":"),
+        "date": value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{4}/[0-9]{2}/[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$") & date_format(value).isNotNull(),
         "ssn": value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
         "card": value.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"),
         "phone": value.rlike("^(?:[+(]|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)") & F.length(digits).between(7, 15),
@@ -267,7 +295,7 @@ def kind_of(value: Column) -> Column:
 
 
 NEW = {
-    "secret": new_secret, "email": new_email, "iban": new_iban, "ip": new_ip, "date": new_date, "ssn": new_ssn, "card": new_card, "phone": new_phone,
+    "secret": new_secret, "marked": new_marked, "mixed": new_mixed, "email": new_email, "iban": new_iban, "ip": new_ip, "ip6": new_ip6, "date": new_date, "ssn": new_ssn, "card": new_card, "phone": new_phone,
 }
 
 
