@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.session import shared_folder
+from seamark.llm.common import fresh
+from seamark.session import shared_folder, write_out
 
 ROW_BYTES = 8
 
@@ -32,6 +33,25 @@ def running_starts(counts: DataFrame, group: int = 4096) -> DataFrame:
     )
 
 
+def spread_repeats(docs: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """``docs`` with a number ``name`` that tells rows repeated whole apart where one comes more than ``most`` times.
+
+    Such rows are told by 128 bits of hash, and replaced by as many copies of one of them; others have the number 0.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    known = [F.xxhash64(F.lit(k), *columns).alias(f"_{name}{k}") for k in (0, 1)]
+    marked = docs.select(*columns, *known)
+    names = [f"_{name}{k}" for k in (0, 1)]
+    often = marked.groupBy(*names).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > most)
+    often = write_out(often, "repeated")
+    if often.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    one = marked.join(often.select(*names), names, "left_semi").groupBy(*names).agg(F.any_value(F.struct(*columns)).alias("record"))
+    copies = one.join(often, names).select("record.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(name))).alias(name))
+    rest = marked.join(often.select(*names), names, "left_anti").select(*columns, F.lit(0).cast("long").alias(name))
+    return rest.unionByName(copies)
+
+
 def write_shards(
     docs: DataFrame,
     shards: int,
@@ -44,7 +64,7 @@ def write_shards(
     """Write ``docs`` in random order into ``shards`` folders and read them back.
 
     Pass one scatters whole records into ``ceil(bytes / bucket_bytes)`` buckets by a
-    seeded hash of key and text. Pass two shuffles each bucket in memory (Spark's
+    seeded hash of key, text and, for rows repeated whole very often, their number. Pass two shuffles each bucket in memory (Spark's
     ``shuffle`` is Fisher-Yates) and writes it; the buckets follow one another in one
     long sequence, which is cut into ``shards`` stretches whose row counts differ by
     one at most. Returns (shard int, slot long, record struct of all columns);
@@ -57,11 +77,13 @@ def write_shards(
     The order differs from run to run, so results are read from the files written:
     a task that is lost is run again and replaces all that it had written.
     """
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
+    number = fresh(docs, "number")
+    docs = spread_repeats(docs, number)
     total = docs.agg(F.sum(row_bytes(F.col(text))), F.count(F.lit(1))).first()
     buckets, rows = max(1, -(-(total[0] or 0) // bucket_bytes)), total[1]
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets))
-    records = docs.select(bucket.alias("bucket"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(number)), F.lit(buckets))
+    records = docs.select(bucket.alias("bucket"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"))
     starts = running_starts(docs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")))
     place = F.col("start") + F.col("at")
     shard = F.expr(f"((start + at + 1) * {shards} - 1) DIV {max(rows, 1)}")
