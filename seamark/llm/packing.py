@@ -17,10 +17,10 @@ from seamark.llm.common import ready
 from seamark.session import write_out
 
 END = 1
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 250_000
-#: Parts that each length is dealt into for numbering its pieces.
-SALTS = 64
+#: Bytes of words and ids, with what Python needs for each, that a worker remembers before it starts anew.
+REMEMBERED = 40 << 20
+#: Pieces of a length that are numbered together, about; a commoner length is dealt into parts.
+PART = 1 << 18
 
 
 class WordIds:
@@ -29,20 +29,27 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so a text's ids are
     those of its words one after another, and each distinct word is encoded once. The
     common words, of plain Latin letters with marks around them, are merged by
-    the same merge table in a faster encoder; all others go through the tokenizer itself.
+    the same merge table in a faster encoder; all others go through the tokenizer itself, as
+    do words that hold the name of a special token. With ``ordinary`` such a name is text like any other.
     """
 
     PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
     SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[!-&(-/:-@\[-`{-~])+")  # no digit and no apostrophe, which split further
     STRANGE = re.compile("[\x1c-\x1f]")  # white space to split(), but not to the tokenizer
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [] if ordinary else [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self._merges(path)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _merges(self, path: str) -> None:
         import tiktoken
@@ -70,7 +77,7 @@ class WordIds:
     def word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             pieces = [word.lower()]
-        elif self.SIMPLE.fullmatch(word):
+        elif self.SIMPLE.fullmatch(word) and not self.special.search(word.lower()):
             pieces = self.PLAIN.findall(word.lower())
         else:
             pieces = None
@@ -87,12 +94,19 @@ class WordIds:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
+            if self.held > REMEMBERED:
+                self.forget()
+                known = self.known
+            out = []
             for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+                ids = known.get(w)
+                if ids is None:
+                    ids = self.word(w)
+                    if len(w) <= 64:  # longer ones hardly come again
+                        known[w] = ids
+                        self.held += 200 + len(w) + len(ids)
+                out.append(ids)
+            return b"".join(out)
 
 
 def byte_signs() -> dict[str, int]:
@@ -103,15 +117,15 @@ def byte_signs() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, ordinary: bool = False) -> WordIds:
+    return WordIds(path, ordinary)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, ordinary: bool = False) -> DataFrame:
     """(doc_id, row, piece int, start long, length long, ids_crc32 long): each document's ids and the end id, cut only if longer than ``capacity``."""
 
     def cut(batches):
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer, ordinary)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             places, piece, start, length, crc = [], [], [], [], []
@@ -239,23 +253,31 @@ def plan(
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, ordinary: bool = False) -> DataFrame:
     """One row per piece: (doc_id, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long).
 
     Documents are encoded once, each with an end id; a null text counts as empty and
     is the end id alone. The pieces' lengths are counted; the counts, at most
     ``capacity`` numbers for any corpus, give the plan on the driver. Pieces of a length
-    are numbered by running counts over parts of it, so no length is gathered in one
-    task, and find their place in the plan by length and number. The plan has at
+    are numbered by running counts over parts of it of about ``PART`` pieces each, as the counts say, so no length is
+    gathered in one task, and find their place in the plan by length and number. The plan has at
     most a few entries per length and round, whatever the size of the corpus.
+    Names of special tokens in a text are those tokens, as the tokenizer has it; with ``ordinary`` they are text like any other.
     Null or repeated ids are packed like others; an empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
-    pieces = write_out(pieces_of(docs, tokenizer, capacity).withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    pieces = write_out(pieces_of(docs, tokenizer, capacity, ordinary), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in parts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row["length"]] = row["n"]
+    # At most ``capacity`` rows, of lengths that are dealt into several parts.
+    many = [(int(k), int(-(-counts[k] // PART))) for k in np.flatnonzero(counts > PART)]
+    parts_of = F.lit(1)
+    if many:
+        listed = F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k, _ in many]), F.array(*[F.lit(n) for _, n in many]))
+        parts_of = F.coalesce(F.try_element_at(listed, F.col("length")), F.lit(1))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), parts_of).cast("int"))
+    parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     schema = "length long, first long, count long, sequence long, offset long"
     places = spark.createDataFrame(plan(counts, capacity), schema)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")

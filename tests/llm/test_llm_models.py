@@ -14,7 +14,7 @@ from seamark.llm.queries import QUERIES, vocabulary
 
 TEXTS = [
     None, "", " ", "Plain words, and more.\nA second line!\n", "  two  spaces\t\ttab \n\n\n x", "naïve café Straße ÀÉÎ ß",
-    "I'm don't 12ab3 x'ſ", "İstanbul ΟΔΥΣΣΑΣ ẞ", "áb é", "...!!! a_b a-b", "<|endoftext|> hi", "x\x1cy\x85z w",
+    "I'm don't 12ab3 x'ſ", "İstanbul ΟΔΥΣΣΑΣ ẞ", "áb é", "...!!! a_b a-b", "<|endoftext|> hi", "x<|EndOfText|>y <|startoftext|><|endoftext|>.", "x\x1cy\x85z w",
     "日本語 テスト", "😀 a😀b", "ÿþ×÷ Ω", "\n", "▁ ▁▁a", "w" * 5000, "many words here " * 4000,
 ]
 NAMES = ["section", "score", "rank", "ids", "start", "row", "salt", "lang_pred", "predicted", "kinds", "first", "count"]
@@ -253,13 +253,14 @@ def test_feistel_of_a_small_domain_is_a_permutation(spark):
 # Packing ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("capacity", [4096, 64])
-def test_packing(spark, docs, capacity):
+@pytest.mark.parametrize(("capacity", "ordinary"), [(4096, False), (64, False), (64, True)])
+def test_packing(spark, docs, capacity, ordinary):
+    """The ids are those of the tokenizer as its file has it, names of special tokens included, unless they are to be ordinary text."""
     from tokenizers import Tokenizer
 
-    found = packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity).collect()
+    found = packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity, ordinary).collect()
     tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = ordinary
     expected = []
     for r in docs.collect():
         ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
