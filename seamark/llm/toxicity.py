@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ready
+from seamark.llm.common import others, ready
 from seamark.llm.shingles import text_chunks, word_hashes
 from seamark.session import write_out
 
@@ -60,8 +60,21 @@ def term_rows(texts: pa.Array):
         yield first, len(starts), np.concatenate([row, row]), buckets.astype(np.int64)
 
 
+#: A model's terms: at most so many, each in at least so many texts, and of a chi-squared above what chance reaches once in a thousand times.
+TERMS, LEAST, CHANCE = 4096, 5, 10.83
+
+
+def telling(texts: np.ndarray, toxic: np.ndarray, n: int, positive: float, terms: int = TERMS, least: int = LEAST) -> np.ndarray:
+    """Places of the buckets that tell the labels apart best, from how many texts, and toxic ones, have each."""
+    expected = texts * positive / n
+    spread = np.maximum(texts * (positive / n) * (1 - positive / n) * (1 - texts / n), 1e-9)
+    value = np.where((texts >= least) & (texts < n), (toxic - expected) ** 2 / spread, 0.0)
+    chosen = np.sort(np.argsort(-value, kind="stable")[:terms])
+    return chosen[value[chosen] > CHANCE]
+
+
 def fit(
-    labelled: list[tuple[int, np.ndarray]], terms: int = 4096, rank: int = 8, rounds: int = 20, least: int = 5, hide: float = 0.3, seed: int = 5
+    labelled: list[tuple[int, np.ndarray]], terms: int = TERMS, rank: int = 8, rounds: int = 20, least: int = LEAST, hide: float = 0.3, seed: int = 5
 ) -> Machine:
     """A machine learnt from (label, distinct buckets) of a bounded sample.
 
@@ -79,12 +92,7 @@ def fit(
         return Machine(place, float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, rank)))
     texts = np.bincount(flat, minlength=1 << BITS).astype(np.float64)
     toxic = np.bincount(flat, np.repeat(labels, [len(s) for s in sets]), minlength=1 << BITS)
-    expected = texts * positive / n
-    spread = np.maximum(texts * (positive / n) * (1 - positive / n) * (1 - texts / n), 1e-9)
-    value = np.where((texts >= least) & (texts < n), (toxic - expected) ** 2 / spread, 0.0)
-    # Below 10.83 a difference is likely to be chance (one in a thousand).
-    chosen = np.sort(np.argsort(-value, kind="stable")[:terms])
-    chosen = chosen[value[chosen] > 10.83]
+    chosen = telling(texts, toxic, n, positive, terms, least)
     place[chosen] = np.arange(len(chosen))
     draw = np.random.default_rng(seed)
     linear, factors = np.zeros(len(chosen)), draw.normal(0, 0.02, (len(chosen), rank))
@@ -129,46 +137,73 @@ def fit(
     return machine
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **settings) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = TERMS, least: int = LEAST, **settings) -> Machine:
     """A machine from ``docs(doc_id, text)`` and ``labels(doc_id, label, pick)``.
 
-    At most ``sample`` labelled ids are used, those of the smallest ``pick``; that bounds what
-    reaches the driver. Labels that contradict each other for an id, null labels and null texts teach nothing.
+    At most ``sample`` labelled ids are used, those of the smallest ``pick``, and of a repeated id the text of the
+    smallest hash. Labels that contradict each other for an id, null labels and null texts teach nothing. The sample's terms
+    are counted in the tasks; what reaches the driver is a count for each bucket that ``least`` texts have and, of each text,
+    the buckets of the model: at most ``sample`` lists of at most ``terms`` numbers.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     one = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("label").alias("label"), F.max("label").alias("most"), F.min("pick").alias("pick")
     )
     wanted = write_out(one.where("label = most").orderBy("pick", "doc_id").limit(sample).select("doc_id", "label"), "labelled")
     # Of proven size: ``sample`` pairs of numbers.
-    known = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id").select("text", "label")
+    known = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id")
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def terms(batches):
+    def found(batches):
         for batch in batches:
             sets = []
-            for _, count, rows, buckets in term_rows(batch.column(0)):
+            for _, count, rows, buckets in term_rows(batch.column(3)):
                 both = np.unique(rows << BITS | buckets)
                 edges = np.searchsorted(both >> BITS, np.arange(count + 1))
                 sets += [both[lo:hi] & ((1 << BITS) - 1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
             if sets:
                 flat, ends = np.concatenate(sets).astype(np.int32), np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(ends, flat)], ["label", "terms"])
-
-    table = known.select("text", F.col("label").cast("int")).mapInArrow(terms, "label int, terms array<int>").toArrow()
-    rows = zip(table.column("label").to_pylist(), (x.values.to_numpy() for x in table.column("terms")), strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, flat)], ["doc_id", "label", "hash", "terms"])
+
+    rows = known.select("doc_id", F.col("label").cast("int"), F.xxhash64("text").alias("hash"), "text")
+    rows = rows.mapInArrow(found, f"doc_id {kind}, label int, hash long, terms array<int>")
+    rows = write_out(rows, "terms")
+    first = rows.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    rows = rows.join(F.broadcast(first), ["doc_id", "hash"]).dropDuplicates(["doc_id"]).select("label", "terms")
+    size = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term")
+    counts = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).where(F.col("n") >= least).toArrow()
+    chosen = np.empty(0, np.int64)
+    if size[0] and 0 < size[1] < size[0]:
+        # In the order of the buckets, as groups come in any order.
+        order = np.argsort(counts.column("term").to_numpy())
+        term, n, toxic = (counts.column(c).to_numpy()[order] for c in ("term", "n", "toxic"))
+        chosen = term[telling(n.astype(np.float64), toxic.astype(np.float64), size[0], float(size[1]), terms, least)]
+    shared = spark.sparkContext.broadcast(np.isin(np.arange(1 << BITS), chosen))
+
+    def keep(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            inside = shared.value[flat] if len(flat) else np.zeros(0, bool)
+            ends = np.concatenate([[0], np.cumsum(inside)]).astype(np.int32)[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[inside].astype(np.int32)))], ["label", "terms"])
+
+    table = rows.mapInArrow(keep, "label int, terms array<int>").toArrow()
+    told = zip(table.column("label").to_pylist(), (x.values.to_numpy() for x in table.column("terms")), strict=True)
     # In an order of their own, as tasks end in any order.
-    return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes())), **settings)
+    return fit(sorted(told, key=lambda r: (r[0], r[1].tobytes())), terms, least=least, **settings)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``docs`` with ``score double`` and ``predicted int``; the text is read whole.
 
     A null or empty text, or one without known terms, gets the score of the bias
-    alone. Other columns pass through, but for those of the two names, which are replaced. No shuffle.
+    alone. Other columns pass through, but for those of the two names in any case, which are replaced. No shuffle.
     """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(machine)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    kept = others(docs, "score", "predicted")
 
     def weigh(batches):
         model = shared.value
@@ -185,5 +220,5 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
                 [*batch.schema.names[1:], "score", "predicted"],
             )
 
-    schema = docs.select(*others).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(F.col(text).alias("text to weigh"), *others).mapInArrow(weigh, schema)
+    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
+    return docs.select(F.col(text).alias("text to weigh"), *kept).mapInArrow(weigh, schema)
