@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ready
+from seamark.llm.common import others, ready
 from seamark.llm.shingles import mix
 
 #: The sign that stands for a space.
 SPACE = "▁"
-#: Words a worker remembers before it starts anew, characters it looks at together, longest word that is put in a table with others.
-REMEMBERED, CHUNK, TABLED = 1_000_000, 1 << 21, 48
+#: Bytes of stretches a worker remembers of late, and as many of before; characters it looks at together, longest stretch that is put in a table with others.
+REMEMBERED, CHUNK, TABLED = 48 << 20, 1 << 21, 48
+#: Stretches whose best segmentations a worker remembers.
+RANKED = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 20
 
@@ -25,11 +27,10 @@ SLOTS = 20
 class Lattice:
     """Pieces with scores; the best segmentations of a text have the highest sums.
 
-    Text gets a leading space sign and its spaces become space signs. No piece has a
-    space sign after another sign, so every segmentation has an edge before each
-    word (a run of space signs with what follows): words are segmented one by one, and
-    the best of a text are put together from the best of its words. A character that
-    is no piece can be spelt by its bytes, each ``10`` below the worst piece.
+    Text gets a leading space sign and its spaces become space signs. Between two signs that stand
+    next to each other in no piece every segmentation has an edge, before each word for one: texts are cut
+    there, the stretches are segmented one by one, and the best of a text are put together from the best of its
+    stretches. A character that is no piece can be spelt by its bytes, each ``10`` below the worst piece.
     """
 
     def __init__(self, model_file: str, best: int = 3) -> None:
@@ -46,14 +47,38 @@ class Lattice:
                 self.byte_ids[int(piece[3:-1], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[3:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                if SPACE in piece.lstrip(SPACE):
-                    raise ValueError(f"piece {i} spans words")
                 self.pieces[piece] = (i, model.get_score(i))
                 self.bytes_of[i] = piece.encode()
         self.longest = max(map(len, self.pieces))
         self.byte_score = min(s for _, s in self.pieces.values()) - 10
         self._tabulate()
-        self.forget()
+        self._pair_up()
+        self.young: dict[str, tuple[bytes, float, float, bool]] = {}
+        self.old: dict[str, tuple[bytes, float, float, bool]] = {}
+        self.held = 0
+        self.ranked: dict[str, list[tuple[float, bytes, bool]]] = {}
+
+    def _pair_up(self) -> None:
+        """A number for each sign of a longer piece, 0 for all others, and which of two stand next to each other in one."""
+        longer = [p for p in self.pieces if len(p) > 1]
+        signs = sorted(set("".join(longer)))
+        self.number = np.zeros(0x110000, np.int16 if len(signs) < 1 << 15 else np.int32)
+        self.number[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.signs = len(signs) + 1
+        pairs = {(a, b) for p in longer for a, b in zip(p, p[1:])}
+        place = [int(self.number[ord(a)]) * self.signs + int(self.number[ord(b)]) for a, b in pairs]
+        self.joined = np.zeros(self.signs**2, bool)
+        self.joined[place] = True
+
+    def split(self, text: str) -> list[str]:
+        """The stretches of a text, space signs for spaces; an empty text has none."""
+        if not text:
+            return []
+        whole = SPACE + text.replace(" ", SPACE)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = self.number[points].astype(np.int64)
+        cuts = (np.flatnonzero(~self.joined[number[:-1] * self.signs + number[1:]]) + 1).tolist()
+        return [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)])]
 
     def _tabulate(self) -> None:
         """Pieces by the hash of their characters: a table of slots, and the sorted hashes for slots of several."""
@@ -71,12 +96,6 @@ class Lattice:
         several = np.bincount(slot, minlength=1 << SLOTS) > 1
         self.slots[several] = -2
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.id_bytes: list[bytes] = []
-        self.best_score = self.loss = np.empty(0)
-        self.ranked: dict[str, list[tuple[float, bytes]]] = {}
-
     def look_up(self, wanted: np.ndarray) -> np.ndarray:
         """Places of hashes among the pieces, -1 for none."""
         at = self.slots[(wanted >> np.uint64(64 - SLOTS)).astype(np.int64)]
@@ -133,7 +152,9 @@ class Lattice:
             ids[end] = np.where(mine, np.where(at >= 0, self.ids[at], -2), ids[end])
         spelt = (ids == -2).any(0)
         lines = np.ascontiguousarray(ids.T)
-        out = [row[row >= 0].astype("<u4").tobytes() for row in lines]
+        inside = lines >= 0
+        flat, ends = lines[inside].astype("<u4").tobytes(), (4 * np.cumsum(inside.sum(1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
         for k in np.flatnonzero(spelt):
             own: list[int] = []
             for end in range(1, length + 1):
@@ -145,27 +166,33 @@ class Lattice:
         return out, reach[length], reach[length] - second
 
     def learn(self, words: set[str]) -> None:
-        """Remember the best segmentation of words not known yet."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.forget()
+        """Remember (ids, score, loss to the next segmentation, whether it decodes to it) of stretches not known yet."""
         by_length: dict[int, list[str]] = {}
-        for w in words:
-            if w not in self.known:
+        for w in words - self.young.keys():
+            known = self.old.get(w)
+            if known is None:
                 by_length.setdefault(len(w), []).append(w)
-        scores, losses = [self.best_score], [self.loss]
+            else:
+                self._keep(w, known)
         for length, group in by_length.items():
             if length > TABLED:
-                ranked = [self.rank(w) for w in group]
+                ranked = [self.segment(w) for w in group]
                 found = [r[0][1] for r in ranked], [r[0][0] for r in ranked], [r[0][0] - r[1][0] if len(r) > 1 else np.inf for r in ranked]
             else:
                 found = self.viterbi(group)
                 for k in np.flatnonzero(found[2] <= 1e-6):  # of equal scores the search decides
                     found[0][k] = self.rank(group[k])[0][1]
-            self.known.update(zip(group, range(len(self.id_bytes), len(self.id_bytes) + len(group)), strict=True))
-            self.id_bytes += found[0]
-            scores.append(np.asarray(found[1]))
-            losses.append(np.asarray(found[2]))
-        self.best_score, self.loss = np.concatenate(scores), np.concatenate(losses)
+                found = found[0], found[1].tolist(), found[2].tolist()
+            for w, ids, score, loss in zip(group, *found, strict=True):
+                self._keep(w, (ids, score, loss, self.spells(ids, w)))
+
+    def _keep(self, word: str, known: tuple[bytes, float, float, bool]) -> None:
+        self.young[word] = known
+        self.held += 300 + 4 * len(word) + len(known[0])
+
+    def spells(self, ids: bytes, word: str) -> bool:
+        of = self.bytes_of
+        return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]) == word.encode("utf-8", "surrogatepass")
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the pieces that end there: (start, score, ids)."""
@@ -180,72 +207,87 @@ class Lattice:
                 out[start + 1].append((start, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
         return out
 
-    def segment(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The best segmentations of a word, the best first; equal scores by their ids from the end.
+    def segment(self, word: str) -> list[tuple[float, bytes]]:
+        """The best segmentations of a stretch, the best first; equal scores as the search meets them.
 
         Forward, the best score up to each place is found. Backward from the end,
         partial segmentations are taken up in the order of their score so far plus
         that best score, which is what they can still reach exactly; those that
-        arrive at the start do so from best to worst.
+        arrive at the start do so from best to worst. Each keeps its last edge and the one it goes on from.
         """
         edges = self.edges(word)
         reach = [0.0] * (len(word) + 1)
         for end in range(1, len(word) + 1):
             reach[end] = max(reach[start] + score for start, score, _ in edges[end])
-        found: list[tuple[float, tuple[int, ...]]] = []
-        agenda = [(-reach[-1], (), len(word), 0.0)]
+        found: list[tuple[float, bytes]] = []
+        agenda, met = [(-reach[-1], 0, len(word), 0.0, None)], 0
         while agenda and len(found) < self.best:
-            _, ids, place, done = heapq.heappop(agenda)
+            _, _, place, done, link = heapq.heappop(agenda)
             if not place:
-                found.append((done, ids[::-1]))
+                ids: list[int] = []
+                while link is not None:
+                    own, link = link
+                    ids += own
+                found.append((done, np.array(ids, "<u4").tobytes()))
                 continue
             for start, score, own in edges[place]:
                 total = done + score
-                heapq.heappush(agenda, (-(total + reach[start]), ids + own[::-1], start, total))
+                met += 1
+                heapq.heappush(agenda, (-(total + reach[start]), met, start, total, (own, link)))
         return found
 
-    def rank(self, word: str) -> list[tuple[float, bytes]]:
-        if word not in self.ranked:
-            self.ranked[word] = [(s, np.array(ids, "<u4").tobytes()) for s, ids in self.segment(word)]
-        return self.ranked[word]
+    def rank(self, word: str) -> list[tuple[float, bytes, bool]]:
+        found = self.ranked.get(word)
+        if found is None:
+            if len(self.ranked) > RANKED:
+                self.ranked.clear()
+            found = [(s, ids, self.spells(ids, word)) for s, ids in self.segment(word)]
+            if len(word) <= TABLED:
+                self.ranked[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, bytes, bool]]]:
         """For each whole text its best segmentations, the best first: (score, ids as bytes, whether they decode to it)."""
-        split = [split_words(t) for t in texts]
+        split = [self.split(t) for t in texts]
         self.learn(set().union(*split))
-        return [self._put_together(t, w) for t, w in zip(texts, split, strict=True)]
+        out = [self._put_together(t, w) for t, w in zip(texts, split, strict=True)]
+        if self.held > REMEMBERED:
+            self.old, self.young, self.held = self.young, {}, 0
+        return out
 
     def _put_together(self, text: str, words: list[str]) -> list[tuple[float, bytes, bool]]:
-        at = [self.known[w] for w in words]
-        ids = [self.id_bytes[i] for i in at]
-        score, loss = self.best_score[at].sum() if at else 0.0, self.loss[at]
-        # A segmentation among the n best departs from the best one in words among the n - 1 of the least loss only.
-        departs = np.argsort(loss, kind="stable") if len(at) < self.best else np.argpartition(loss, self.best - 2)[: self.best - 1]
+        if not words:
+            return [(0.0, b"", True)]
+        young = self.young
+        ids, scores, losses, spelt = zip(*[young[w] for w in words])
+        score, loss = sum(scores), np.array(losses)
+        # A segmentation among the n best departs from the best one in stretches among the n - 1 of the least loss only.
+        departs = np.argsort(loss, kind="stable") if len(loss) < self.best else np.argpartition(loss, self.best - 2)[: self.best - 1]
         choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        ranked: dict[int, list[tuple[float, bytes, bool]]] = {}
         for i in sorted(map(int, departs[: self.best - 1])):
-            ranked = self.rank(words[i])
-            wider = [
-                (less + ranked[0][0] - ranked[k][0], chosen + (((i, k),) if k else ()))
-                for less, chosen in choices
-                for k in range(len(ranked))
-            ]
+            ranked[i] = own = self.rank(words[i])
+            wider = [(less + own[0][0] - own[k][0], chosen + (((i, k),) if k else ())) for less, chosen in choices for k in range(len(own))]
             choices = heapq.nsmallest(self.best, wider)
+        # Stretches that decode to themselves make up a text that does, unless it holds a space sign of its own.
+        same = False not in spelt and SPACE not in text
         whole = b"".join(ids)
-        same = self.decode(whole) == text
         out = []
         for less, chosen in choices:
-            other = list(ids) if chosen else ids
+            if not chosen:
+                out.append((float(score - less), whole, same))
+                continue
+            other = list(ids)
             for i, k in chosen:
-                other[i] = self.ranked[words[i]][k][1]
-            kept = all(self.decode(ids[i]) == self.decode(other[i]) for i, _ in chosen)
-            out.append((float(score - less), b"".join(other) if chosen else whole, same and kept))
+                other[i] = ranked[i][k][1]
+            out.append((float(score - less), b"".join(other), same and all(ranked[i][k][2] for i, k in chosen)))
         return out
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids: pieces and bytes joined, space signs as spaces, without the leading one."""
+        """The text of ids: pieces and bytes joined, space signs as spaces, without the leading one. Ids of control signs, or of nothing, are left out."""
         of = self.bytes_of
-        text = b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-        return text.replace(SPACE, " ")[1:]
+        text = b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist() if i < len(of)]).decode("utf-8", "replace")
+        return text.replace(SPACE, " ").removeprefix(" ")
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -262,22 +304,6 @@ def spans(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def split_words(text: str) -> list[str]:
-    """Words of a text with their leading space signs; an empty text has none."""
-    if not text:
-        return []
-    out, spaces = [], 1
-    for part in text.replace(SPACE, " ").split(" "):
-        if part:
-            out.append(SPACE * spaces + part)
-            spaces = 1
-        else:
-            spaces += 1
-    if spaces > 1:
-        out.append(SPACE * (spaces - 1))
-    return out
-
-
 @lru_cache(maxsize=2)
 def lattice(model_file: str, best: int) -> Lattice:
     return Lattice(model_file, best)
@@ -290,7 +316,8 @@ def nbest(docs: DataFrame, model_file: str, best: int = 3, key: str = "doc_id",
     whether decoding the ids gives the text back. Texts with fewer segmentations have
     fewer rows. With ``digest`` a checksum (CRC-32 of little-endian unsigned 32-bit ids) stands for the ids. An empty text has one of no pieces, a null one a row with null columns
     and rank 1. A space sign in the text counts as a space, so such a text comes back
-    with spaces. Null or repeated ids are kept as they are. No shuffle.
+    with spaces. Null or repeated ids are kept as they are. A worker's memory of stretches is bounded in bytes, and the late
+    ones stay when it is full. No shuffle.
     """
     ready(docs.sparkSession)
 
@@ -327,3 +354,23 @@ def nbest(docs: DataFrame, model_file: str, best: int = 3, key: str = "doc_id",
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, rank int, score double, n_pieces long, {last} {'long' if digest else 'array<int>'}, round_trip boolean"
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(encode, schema)
+
+
+def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "text", best: int = 3) -> DataFrame:
+    """``rows`` with ``text``, what their ``ids`` (array<int>) decode to.
+
+    Null ids have a null text, none an empty one; null ids in a list, those of control signs and those the model doesn't have are left out.
+    Bytes that are no UTF-8 become replacement signs. Other columns pass through, but for one called like ``text`` in any case, which is replaced. No shuffle.
+    """
+    ready(rows.sparkSession)
+    kept = others(rows, text)
+
+    def spell(batches):
+        pieces = lattice(model_file, best)
+        for batch in batches:
+            lists = batch.column(0).to_pylist()
+            texts = [None if x is None else pieces.decode(np.array([i for i in x if i is not None and i >= 0], "<u4").tobytes()) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], text])
+
+    schema = rows.select(*kept).schema.add(text, "string")
+    return rows.select(F.col(f"`{ids}`").cast("array<int>").alias("ids to decode"), *kept).mapInArrow(spell, schema)
