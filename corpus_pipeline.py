@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm import exact_dedup, jaccard_join, language_id, packing, pii
-from seamark.llm.common import fresh, ready, without
+from seamark.llm.common import fresh, ready, within, without
 from seamark.llm.queries import PSEUDONYM_KEY, vocabulary
 from seamark.session import write_out
 
@@ -48,11 +48,22 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id.
 
-    Documents without an id are in no group and stay.
+    Rows are told apart by id and text, so rows that share an id go or stay one by one; rows that
+    repeat both are one document. Rows without an id stay only where no row with one is in the group.
     """
-    found = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    gone = write_out(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return without(docs, "doc_id", gone, "gone_id")
+    row, rid = F.xxhash64("doc_id", "text"), fresh(docs, "row")
+    found = jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text"), width=5, percent=80)
+    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    linked = found.join(groups, "component_id").select(F.col("doc_id").alias("linked"), "component_id")
+    linked = write_out(linked.distinct(), "linked")
+    ids = docs.select(row.alias("row"), F.col("doc_id").alias("id"))
+    ids = within(ids, "row", linked, "linked").join(linked, F.col("row") == F.col("linked")).select("row", "id", "component_id")
+    ids = write_out(ids.distinct(), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    stays = ids.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first.row").alias("stays"))
+    gone = ids.join(stays, "component_id").where("row <> stays").select(F.col("row").alias("gone_row"))
+    gone = write_out(gone.distinct(), "gone")
+    return without(docs.withColumn(rid, row), rid, gone, "gone_row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
