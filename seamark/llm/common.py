@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -33,6 +34,20 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def frugal(job: Callable) -> Callable:
+    """``job``, after whose last batch the worker gives memory it has freed back to the system, as workers stay and wait between stages."""
+
+    def run(batches):
+        yield from job(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ready, runs, spread, within
+from seamark.llm.common import frugal, ready, runs, spread, within
 from seamark.llm.components import components
 from seamark.llm.shingles import shingle_sets
 from seamark.session import write_out
@@ -60,7 +60,7 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int32()), counts], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    parts = docs.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
+    parts = docs.mapInArrow(frugal(count), kind).repartition("slice").mapInArrow(frugal(add), kind).collect()
     whole = np.zeros((SLICES, CELLS // SLICES), np.uint32)
     for part in parts:
         whole[part["slice"]] = np.frombuffer(part["counts"], "<u4")
@@ -92,7 +92,7 @@ def summaries(docs: DataFrame, width: int, percent: int, ranks: Broadcast) -> Da
                 ["doc_id", "size", "same", "rare"],
             )
 
-    return docs.mapInArrow(summarise, "doc_id long, size long, same binary, rare array<long>")
+    return docs.mapInArrow(frugal(summarise), "doc_id long, size long, same binary, rare array<long>")
 
 
 def list_pairs(nodes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def candidates(rare: DataFrame, percent: int) -> DataFrame:
         yield from ended(keys, nodes, sizes)
 
     lists = rare.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    return lists.mapInArrow(pairs, "a long, b long, shared int")
+    return lists.mapInArrow(frugal(pairs), "a long, b long, shared int")
 
 
 def links_of_block(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -280,4 +280,4 @@ def block_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, width: int,
                 a, b = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    return write_out(spread(rows, "component", "i", "j").mapInArrow(multiply, "a long, b long"), "links")
+    return write_out(spread(rows, "component", "i", "j").mapInArrow(frugal(multiply), "a long, b long"), "links")

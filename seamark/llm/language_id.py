@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import others, ready
+from seamark.llm.common import frugal, others, ready
 
 UNKNOWN = "und"
 #: Letters of an n-gram, dimensions of a vector, the seed of the letters' vectors.
 ORDER, DIMENSIONS, SEED = 3, 1024, 20240117
 #: Characters that are looked at together, and n-grams whose vectors are held at a time.
-CHUNK, BLOCK = 1 << 18, 4096
+CHUNK, BLOCK = 1 << 19, 8192
 #: Stands for whatever is between words.
 GAP = 0
 
@@ -162,7 +162,7 @@ def learn(
             parts = [pa.array([range(dimensions)], pa.list_(pa.int32())), pa.array([total], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([pa.array([lang]), *parts], ["lang", "place", "sum"])
 
-    parts = usable.where(taken).select("text", "lang").mapInArrow(bundle, "lang string, place array<int>, sum array<double>")
+    parts = usable.where(taken).select("text", "lang").mapInArrow(frugal(bundle), "lang string, place array<int>, sum array<double>")
     sums = parts.select("lang", F.explode(F.arrays_zip("place", "sum")).alias("x")).groupBy("lang", "x.place").agg(F.sum("x.sum").alias("sum"))
     found: dict[str, np.ndarray] = {}
     for row in sums.collect():
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             )
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(F.col(text).alias("text for profile"), *kept).mapInArrow(compare, schema)
+    return docs.select(F.col(text).alias("text for profile"), *kept).mapInArrow(frugal(compare), schema)
 
 
 def picked(doc_id: Column) -> Column:

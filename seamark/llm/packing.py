@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.common import ready
+from seamark.llm.common import frugal, ready
 from seamark.session import write_out
 
 END = 1
 #: Bytes of words and ids, with what Python needs for each, that a worker remembers before it starts anew.
-REMEMBERED = 40 << 20
+REMEMBERED = 24 << 20
 #: Pieces of a length that are numbered together, about; a commoner length is dealt into parts.
 PART = 1 << 18
 
@@ -144,7 +144,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, ordinary: bool = F
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string"))
-    return rows.mapInArrow(cut, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(frugal(cut), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def solve(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int, step: float, rate: float) -> dict[tuple[int, ...], float]:
@@ -278,8 +278,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, ordinary: bool =
         parts_of = F.coalesce(F.try_element_at(listed, F.col("length")), F.lit(1))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), parts_of).cast("int"))
     parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    schema = "length long, first long, count long, sequence long, offset long"
-    places = spark.createDataFrame(plan(counts, capacity), schema)
+    columns = list(zip(*plan(counts, capacity), strict=True)) or [()] * 5
+    names = ["length", "first", "count", "sequence", "offset"]
+    # As an Arrow table it is local to the driver; rows would start Python workers to read them.
+    places = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     starts = parts.select("length", "salt", before.alias("before"))
     numbered = (
