@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -196,15 +197,17 @@ class Lattice:
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the pieces that end there: (start, score, ids)."""
-        pieces, out = self.pieces, [[] for _ in range(len(word) + 1)]
-        for start in range(len(word)):
-            for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                found = pieces.get(word[start:end])
-                if found is not None:
-                    out[end].append((start, found[1], (found[0],)))
-            if word[start] not in pieces:
-                raw = word[start].encode()
-                out[start + 1].append((start, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
+        return [self.into(word, place) for place in range(len(word) + 1)]
+
+    def into(self, word: str, place: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        pieces, out = self.pieces, []
+        for start in range(max(0, place - self.longest), place):
+            found = pieces.get(word[start:place])
+            if found is not None:
+                out.append((start, found[1], (found[0],)))
+        if place and word[place - 1] not in pieces:
+            raw = word[place - 1].encode("utf-8", "surrogatepass")
+            out.append((place - 1, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
         return out
 
     def segment(self, word: str) -> list[tuple[float, bytes]]:
@@ -213,27 +216,44 @@ class Lattice:
         Forward, the best score up to each place is found. Backward from the end,
         partial segmentations are taken up in the order of their score so far plus
         that best score, which is what they can still reach exactly; those that
-        arrive at the start do so from best to worst. Each keeps its last edge and the one it goes on from.
+        arrive at the start do so from best to worst. Each keeps its last edge and the one it goes on
+        from. The edges into a place wait in one entry, the best first, and a place is gone on from as often as
+        segmentations are wanted, so the agenda has a few entries for each piece of the best ones.
         """
-        edges = self.edges(word)
-        reach = [0.0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            reach[end] = max(reach[start] + score for start, score, _ in edges[end])
+        reach = array("d", [0.0])
+        for place in range(1, len(word) + 1):
+            reach.append(max(reach[start] + score for start, score, _ in self.into(word, place)))
+        taken = array("L", bytes(8 * (len(word) + 1)))
         found: list[tuple[float, bytes]] = []
-        agenda, met = [(-reach[-1], 0, len(word), 0.0, None)], 0
+        agenda: list[tuple] = []
+        met = 0
+
+        def wait(edges: list, k: int, done: float, link: tuple | None) -> None:
+            nonlocal met
+            met -= 1  # of equals the last, which is nearest to the start
+            start, score, _ = edges[k]
+            heapq.heappush(agenda, (-(done + score + reach[start]), met, edges, k, done, link))
+
+        def from_place(place: int, done: float, link: tuple | None) -> None:
+            wait(sorted(self.into(word, place), key=lambda e: -(e[1] + reach[e[0]])), 0, done, link)
+
+        from_place(len(word), 0.0, None)
         while agenda and len(found) < self.best:
-            _, _, place, done, link = heapq.heappop(agenda)
-            if not place:
-                ids: list[int] = []
-                while link is not None:
-                    own, link = link
-                    ids += own
-                found.append((done, np.array(ids, "<u4").tobytes()))
+            _, _, edges, k, done, link = heapq.heappop(agenda)
+            if k + 1 < len(edges):
+                wait(edges, k + 1, done, link)
+            start, score, own = edges[k]
+            if taken[start] >= self.best:  # the best few ways from a place to the end are all that the best few of all go on from
+                continue
+            taken[start] += 1
+            if start:
+                from_place(start, done + score, (own, link))
                 continue
-            for start, score, own in edges[place]:
-                total = done + score
-                met += 1
-                heapq.heappush(agenda, (-(total + reach[start]), met, start, total, (own, link)))
+            ids, link = [], (own, link)
+            while link is not None:
+                own, link = link
+                ids += own
+            found.append((done + score, np.array(ids, "<u4").tobytes()))
         return found
 
     def rank(self, word: str) -> list[tuple[float, bytes, bool]]:
