@@ -19,8 +19,6 @@ from seamark.session import write_out
 END = 1
 #: Bytes of words and ids, with what Python needs for each, that a worker remembers before it starts anew.
 REMEMBERED = 24 << 20
-#: Pieces of a length that are numbered together, about; a commoner length is dealt into parts.
-PART = 1 << 18
 
 
 class WordIds:
@@ -259,8 +257,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, ordinary: bool =
     Documents are encoded once, each with an end id; a null text counts as empty and
     is the end id alone. The pieces' lengths are counted; the counts, at most
     ``capacity`` numbers for any corpus, give the plan on the driver. Pieces of a length
-    are numbered by running counts over parts of it of about ``PART`` pieces each, as the counts say, so no length is
-    gathered in one task, and find their place in the plan by length and number. The plan has at
+    are numbered by running counts over parts of it, about as many as each part has pieces (the root of the length's count), so
+    no length is gathered in one task, and find their place in the plan by length and number. The plan has at
     most a few entries per length and round, whatever the size of the corpus.
     Names of special tokens in a text are those tokens, as the tokenizer has it; with ``ordinary`` they are text like any other.
     Null or repeated ids are packed like others; an empty table gives no rows.
@@ -270,8 +268,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, ordinary: bool =
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row["length"]] = row["n"]
-    # At most ``capacity`` rows, of lengths that are dealt into several parts.
-    many = [(int(k), int(-(-counts[k] // PART))) for k in np.flatnonzero(counts > PART)]
+    # At most ``capacity`` entries.
+    many = [(int(k), int(np.ceil(np.sqrt(counts[k])))) for k in np.flatnonzero(counts > 1)]
     parts_of = F.lit(1)
     if many:
         listed = F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k, _ in many]), F.array(*[F.lit(n) for _, n in many]))
