@@ -60,7 +60,9 @@ def exact_dedup(
         .select("full_hash", "size", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
     )
     several = F.col("size").isNotNull()
-    return hashed.join(groups, "full_hash", "left").select(
+    # Rows without a hash, most of them, are told apart by their number, as one null key would gather them.
+    own = F.coalesce(F.col("full_hash"), F.col("row").cast("string"))
+    return hashed.withColumn("own", own).join(groups.withColumnRenamed("full_hash", "own"), "own", "left").select(
         F.col("id").alias(key),
         F.when(several, F.col("first_id")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
