@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +115,15 @@ def list_pairs(nodes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.n
 
 
 def candidates(rare: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared): pairs of documents with the number of rare shingles they share."""
+    """(a, b, shared): pairs of nodes with the number of rare shingles they share, from rows of (shingle, node, size)."""
 
     def pairs(batches):
         keys = nodes = sizes = np.empty(0, np.int64)
 
         def ended(k, n, s):
+            again = (k[1:] == k[:-1]) & (n[1:] == n[:-1])  # rows repeated whole
+            if again.any():
+                k, n, s = (x[np.concatenate([[True], ~again])] for x in (k, n, s))
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
             out = [list_pairs(n[lo:hi], s[lo:hi], percent) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi - lo > 1]
             if out:
@@ -140,11 +144,12 @@ def candidates(rare: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(frugal(pairs), "a long, b long, shared int")
 
 
-def links_of_block(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Linked pairs of one block that join its components: sparse product of sets by shingles, row block by row block.
+def linked_pairs(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, overlap) of all linked pairs of one block: sparse product of sets by shingles, row block by row block.
 
     Overlaps are added up per shingle; pairs below the overlap that their sizes ask
-    for are no links. Pairs that links found before connect already are not given.
+    for are no links. With ``part``, a number for each set, only pairs of sets of
+    different parts are given. Each pair is given once, at most ``ROWS`` rows of the product at a time.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -165,14 +170,6 @@ def links_of_block(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int,
     dense[doc[held], dense_at[column[held]]] = 1
     rest_doc, rest_column = doc[~held], column[~held]
     size = sizes[order]
-    root = np.arange(count)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     terms = np.concatenate([[0], np.cumsum(np.bincount(rest_doc, often[rest_column], minlength=count))])
     hi = 0
     while hi < count:
@@ -194,15 +191,65 @@ def links_of_block(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int,
             ok = (other >= lo) & (other < last)
             overlap += np.bincount(rows[ok] * width + other[ok] - lo, minlength=(hi - lo) * width).reshape(hi - lo, width)
         linked = (100 + percent) * overlap >= percent * (size[lo:hi, None] + size[None, lo:last])
-        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            a, b = find(lo + i), find(lo + j)
-            if a != b:
-                root[b] = a
-                yield int(order[lo + i]), int(order[lo + j])
+        if part is not None:
+            linked &= part[order[lo:hi], None] != part[None, order[lo:last]]
+        i, j = np.nonzero(np.triu(linked, 1))
+        yield order[lo + i], order[lo + j], overlap[i, j].astype(np.int64)
+
+
+class Ties:
+    """Keeps which sets of a block hang together, and gives of new links those that join what did not."""
+
+    def __init__(self, count: int):
+        self.label = np.arange(count)
+
+    def joining(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of (i, j), whose equal ``i`` stand together, that connect sets not connected before."""
+        if not len(i):
+            return
+        edges = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            a, label = int(i[lo]), self.label
+            met, at = np.unique(label[j[lo:hi]], return_index=True)
+            new = met != label[a]
+            if new.any():
+                yield from ((a, int(j[lo + k])) for k in at[new])
+                label[np.isin(label, met[new])] = label[a]
+
+
+class Sets(NamedTuple):
+    """What the join knows before it multiplies."""
+
+    docs: DataFrame  # (doc_id, text)
+    all_docs: DataFrame  # (doc_id, size, same, rare) of every row
+    usable: DataFrame  # of these, rows with an id and a set
+    classes: DataFrame  # (same, class, node, copies): a set's number, the smallest id of its rows, and how many they are
+    sets: DataFrame  # the usable rows of each class's node
+    blocks: DataFrame  # (class, component): within a component lie all links
+
+
+def _blocked(docs: DataFrame, width: int, percent: int) -> Sets:
+    spark = ready(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranks = spark.sparkContext.broadcast(frequencies(docs.select("text"), width))
+    all_docs = write_out(summaries(docs, width, percent, ranks), "summaries")
+    usable = all_docs.where("doc_id IS NOT NULL AND same IS NOT NULL")
+    classes = usable.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    # Texts of one id may be linked with each other, so classes are told by numbers; they are read from what is written.
+    classes = write_out(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    sets = usable.join(classes, "same").where("doc_id = node")
+    rare = sets.select(F.explode("rare").alias("shingle"), F.col("class").alias("node"), "size")
+    pairs = candidates(rare.select("shingle", "node", "size"), percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    # A set of few shingles may be linked by fewer than SHARED common ones: then all it must share are in its rare part.
+    sizes = sets.groupBy("class").agg(F.min("size").alias("size"))
+    least = F.least(F.lit(SHARED), F.ceil(F.col("size") * percent / 100))
+    enough = pairs.join(sizes.select(F.col("class").alias("a"), "size"), "a").where(F.col("shared") >= least).select("a", "b")
+    blocks = write_out(components(enough).withColumnRenamed("node", "class"), "blocks")
+    return Sets(docs, all_docs, usable, classes, sets, blocks)
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles long, component_id): documents linked at ``100 * intersection >= percent * union`` of their shingle sets.
+    """(doc_id, n_shingles long, component_id, n_links long): documents linked at ``100 * intersection >= percent * union`` of their shingle sets.
 
     1. The frequency of all shingles, in a table of fixed size, gives an order in
        which rare ones come first.
@@ -215,69 +262,115 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     4. Components of the pairs are the blocks within which all links lie. A block's
        sets are multiplied with one another; a large one is cut by a hash into parts
        of bounded size, and all pairs of parts are multiplied.
-    5. Components of the links.
+    5. Components of the links. ``n_links`` adds up, for a row, the rows of all sets
+       linked with its own and the other rows of its own set.
 
     No pairs of a large group are written. A document without words has size 0 and is
     its own component; a null ``doc_id`` has no component and links with nothing.
-    Rows that repeat an id are one document that links wherever one of its texts does.
+    Rows that repeat an id are one document that links wherever one of its texts does;
+    ``n_links`` is each row's own, and counts other rows, also those of its id.
     """
-    spark = ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranks = spark.sparkContext.broadcast(frequencies(docs.select("text"), width))
-    all_docs = write_out(summaries(docs, width, percent, ranks), "summaries")
-    usable = all_docs.where("doc_id IS NOT NULL AND same IS NOT NULL")
-    classes = write_out(usable.groupBy("same").agg(F.min("doc_id").alias("node")), "classes")
-    sets = usable.join(classes, "same").where("doc_id = node")
-    rare = sets.select(F.explode("rare").alias("shingle"), "node", "size")
-    pairs = candidates(rare.select("shingle", "node", "size"), percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    # A set of few shingles may be linked by fewer than SHARED common ones: then all it must share are in its rare part.
-    sizes = sets.groupBy("node").agg(F.min("size").alias("size"))
-    least = F.least(F.lit(SHARED), F.ceil(F.col("size") * percent / 100))
-    enough = pairs.join(sizes.select(F.col("node").alias("a"), "size"), "a").where(F.col("shared") >= least).select("a", "b")
-    blocks = write_out(components(enough), "blocks")
-    links = block_links(docs, sets, blocks, width, percent)
-    copies = usable.join(classes, "same").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.union(copies.distinct()))
+    known = _blocked(docs, width, percent)
+    links = block_links(known, width, percent)
+    copies = known.usable.join(known.classes, "same").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(links.where("b IS NOT NULL").select("a", "b").union(copies.distinct()))
+    across = links.where("b IS NULL").groupBy("same").agg(F.sum("links").alias("across"))
+    count = F.col("copies") - 1 + F.coalesce("across", F.lit(0))
+    counted = known.classes.join(across, "same", "left").select("same", count.alias("n_links")).where("n_links > 0")
+    # Rows without a set would meet in one task by their null key, so they stay out of the join.
+    linked = known.usable.select("doc_id", "size", "same").join(counted, "same", "left")
+    alone = known.all_docs.where("doc_id IS NULL OR same IS NULL").select("doc_id", "size", F.lit(0).cast("long").alias("n_links"))
+    rows = linked.select("doc_id", "size", F.coalesce("n_links", F.lit(0)).alias("n_links")).union(alone)
     own = F.coalesce(F.col("component"), F.col("doc_id"))
-    return all_docs.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), own.alias("component_id")
+    return rows.join(found, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), "n_links"
     )
 
 
-def block_links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the documents of each block."""
-    members = sets.select("node", "same", "size").distinct().join(blocks, "node")
+def jaccard_pairs(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """The join as pairs: (set_a, set_b, overlap long, size_a long, size_b long) of every two linked sets, and (doc_id, set) of every row with a set.
+
+    A set is named by a hash of its shingles, ``set_a`` the smaller one. Each pair of sets stands once, whatever number of rows
+    have them, so rows with equal sets, which are linked too, are never multiplied out; joining the pairs with the second frame
+    twice does that. The pairs are as many as the links between different sets are. Rows without an id or a set are in neither frame.
+    """
+    known = _blocked(docs, width, percent)
+    return block_links(known, width, percent, pairs=True), known.usable.select("doc_id", F.col("same").alias("set"))
+
+
+def block_links(known: Sets, width: int, percent: int, pairs: bool = False) -> DataFrame:
+    """The links within blocks.
+
+    (a, b, null, null): links that connect the documents of a block, and (null, null, same, links):
+    a set and the rows linked with it by one product, to be added up; with ``pairs`` all
+    (set_a, set_b, overlap, size_a, size_b).
+    """
+    members = known.sets.select("class", "node", "same", "size", "copies").distinct().join(known.blocks, "class")
     totals = members.groupBy("component").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("docs"))
     parts = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("same"), F.col("parts")).cast("int")
     placed = write_out(
         members.join(totals.select("component", parts.alias("parts")), "component").select(
-            "node", "same", "component", "parts", part.alias("part")
+            "node", "same", "copies", "component", "parts", part.alias("part")
         ),
         "members",
     )
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    texts = within(docs, "doc_id", placed, "node").join(placed, F.col("doc_id") == F.col("node")).select("node", "same", "component", "part", others, "text")
+    texts = within(known.docs, "doc_id", placed, "node").join(placed, F.col("doc_id") == F.col("node"))
+    texts = texts.select("node", "same", "copies", "component", "part", others, "text")
     rows = texts.select(
-        "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "same", "text"
+        "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "same", "copies", "text"
     )
 
     def multiply(batches):
         for run in runs(batches, "component", "i", "j"):
             run = run.combine_chunks()
-            nodes, same = run.column("node").to_numpy(), run.column("same").to_pylist()
+            nodes, copies, of = (run.column(c).to_numpy() for c in ("node", "copies", "part"))
+            same = run.column("same").to_pylist()
+            across = run.column("i")[0] != run.column("j")[0]  # links within a part are of its product with itself
             kept: dict[bytes, tuple[int, np.ndarray]] = {}
+            at = 0
             for chunk in run.column("text").chunks:
-                for k, shingles in enumerate(shingle_sets(chunk, width)):
+                for k, shingles in enumerate(shingle_sets(chunk, width), at):
                     # A repeated id brings all its texts; each counts for the set it was listed for.
                     if same[k] == hashlib.blake2b(shingles.tobytes(), digest_size=16).digest():
-                        kept[same[k]] = (int(nodes[k]), shingles)
-            found = list(kept.values())
-            if len(found) < 2:
+                        kept[same[k]] = (k, shingles)
+                at += len(chunk)
+            if len(kept) < 2:
                 continue
-            pairs = [(found[i][0], found[j][0]) for i, j in links_of_block([s for _, s in found], percent)]
-            if pairs:
-                a, b = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    return write_out(spread(rows, "component", "i", "j").mapInArrow(frugal(multiply), "a long, b long"), "links")
+            rows, sets = zip(*kept.values(), strict=True)
+            rows, names = np.array(rows), list(kept)
+            found = linked_pairs(list(sets), percent, of[rows] if across else None)
+            yield from listed(found, names, sets) if pairs else tied(found, names, nodes[rows], copies[rows])
+
+    def listed(found, names, sets):
+        names, sizes = np.array(names, object), np.array([len(s) for s in sets], np.int64)
+        for i, j, overlap in found:
+            turned = names[i] > names[j]
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            columns = [pa.array(names[i], pa.binary()), pa.array(names[j], pa.binary()), pa.array(overlap), pa.array(sizes[i]), pa.array(sizes[j])]
+            yield pa.RecordBatch.from_arrays(columns, ["set_a", "set_b", "overlap", "size_a", "size_b"])
+
+    def tied(found, names, nodes, copies):
+        ties, count = Ties(len(nodes)), np.zeros(len(nodes), np.int64)
+        a, b = [], []
+        for i, j, _ in found:
+            np.add.at(count, i, copies[j])
+            np.add.at(count, j, copies[i])
+            for x, y in ties.joining(i, j):
+                a.append(int(nodes[x]))
+                b.append(int(nodes[y]))
+        linked = np.flatnonzero(count)
+        gap, none = [None] * len(a), [None] * len(linked)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(a + none, pa.int64()),
+                pa.array(b + none, pa.int64()),
+                pa.array(gap + [names[k] for k in linked], pa.binary()),
+                pa.array(gap + count[linked].tolist(), pa.int64()),
+            ],
+            ["a", "b", "same", "links"],
+        )
+
+    kind = "set_a binary, set_b binary, overlap long, size_a long, size_b long" if pairs else "a long, b long, same binary, links long"
+    return write_out(spread(rows, "component", "i", "j").mapInArrow(frugal(multiply), kind), "links")

@@ -88,11 +88,12 @@ links AS (
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
-SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id,
+       (SELECT count(*) FROM links l WHERE l.a = s.doc_id) AS n_links
 FROM sizes s JOIN reach r USING (doc_id) GROUP BY ALL"""
 )
 def op2_ngram_jaccard(spark, folder):
-    """Components of all documents under three-word shingles with a Jaccard similarity of 0.9 or more."""
+    """Components of all documents under three-word shingles with a Jaccard similarity of 0.9 or more, and the number of links of each."""
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), width=3, percent=90)
 
 

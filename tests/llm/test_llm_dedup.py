@@ -46,7 +46,7 @@ def shingles(text, width):
 
 
 def groups_of(texts, width, percent):
-    """(set size, smallest linked id) of each (id, text), all pairs compared."""
+    """(id, set size, smallest linked id, linked rows) of each (id, text), all pairs compared."""
     sets = {}
     for i, (doc, text) in enumerate(texts):
         sets[i] = (doc, shingles(text, width))
@@ -57,13 +57,16 @@ def groups_of(texts, width, percent):
             a = low[a]
         return a
 
-    for (a, x), (b, y) in itertools.combinations(sets.values(), 2):
+    links = dict.fromkeys(sets, 0)
+    for (i, (a, x)), (j, (b, y)) in itertools.combinations(sets.items(), 2):
         if a is None or b is None or not x or not y:
             continue
         if 100 * len(x & y) >= percent * len(x | y):
             lo, hi = sorted((find(a), find(b)))
             low[hi] = lo
-    return sorted(((d, len(s), None if d is None else find(d)) for d, s in sets.values()), key=str)
+            links[i] += 1
+            links[j] += 1
+    return sorted(((d, len(s), None if d is None else find(d), links[i]) for i, (d, s) in sets.items()), key=str)
 
 
 def test_shards(spark, odd, tmp_path):
@@ -125,7 +128,7 @@ def test_exact_keeps_one_row_of_each_text(spark, odd):
 def test_jaccard_against_all_pairs(spark, odd, width, percent):
     found = jaccard_join.jaccard_components(with_clashes(odd), width, percent).collect()
     expected = groups_of([(r[0], r[1]) for r in ODD], width, percent)
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == expected
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=str) == expected
     assert jaccard_join.jaccard_components(odd.limit(0), width, percent).count() == 0
 
 
@@ -150,10 +153,54 @@ def test_jaccard_of_a_large_group(spark, monkeypatch, listed, block, cells):
     texts = near_copies(90)
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = jaccard_join.jaccard_components(docs, 3, 90).collect()
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=str)
     assert got == groups_of(texts, 3, 90)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard_of_repeated_ids(spark, width, percent):
+    """Ids with several texts, rows repeated whole, and two sets whose smallest id is the same one."""
+    near = near_copies(30, changes=(0, 1))
+    texts = [(1, near[0][1]), (1, near[1][1]), (5, near[0][1]), (7, near[1][1]), *[(9, "q r s t u v")] * 4, (None, near[0][1]), (3, near[3][1])]
+    texts += [(20 + i % 3, t) for i, t in near] + [(40, None), (41, " "), (42, "q r s t u v")]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), width, percent).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=str)
+    assert got == groups_of(texts, width, percent)
+
+
+def test_jaccard_of_one_id_alone(spark):
+    """Two linked texts under one id, and none else."""
+    near = near_copies(2, changes=(0, 1))
+    texts = [(1, t) for _, t in near]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90).collect()
+    assert [(r["component_id"], r["n_links"]) for r in found] == [(1, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("block", [1 << 19, 300])
+def test_jaccard_pairs(spark, odd, monkeypatch, block):
+    """All pairs of different sets with their overlaps, in one block and in many."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    texts = [(r[0], r[1]) for r in ODD] + [(1000 + i, t) for i, t in near_copies(70, words=200, changes=(0, 1))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs, members = jaccard_join.jaccard_pairs(docs, 3, 90)
+    of = {}
+    for r in members.collect():
+        of.setdefault(bytes(r["set"]), set()).add(r["doc_id"])
+    distinct = {}
+    for doc, text in texts:
+        if doc is not None and (words := shingles(text, 3)):
+            distinct.setdefault(frozenset(words), set()).add(doc)
+    assert sorted(map(sorted, of.values())) == sorted(map(sorted, distinct.values()))
+    expected = set()
+    for (x, a), (y, b) in itertools.combinations(distinct.items(), 2):
+        if 100 * len(x & y) >= 90 * len(x | y):
+            expected.add((frozenset([frozenset(a), frozenset(b)]), len(x & y), frozenset([len(x), len(y)])))
+    rows = pairs.collect()
+    found = {(frozenset([frozenset(of[bytes(r["set_a"])]), frozenset(of[bytes(r["set_b"])])]), r["overlap"], frozenset([r["size_a"], r["size_b"]])) for r in rows}
+    assert found == expected and len(rows) == len(expected) > 100
+    assert jaccard_join.jaccard_pairs(docs.limit(0), 3, 90)[0].count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (105, 101), (7, 7), (200, 200)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
