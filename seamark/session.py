@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` if it is set, else a folder below the session's
-    warehouse, which executors share as well.
+    warehouse, which executors share as well. On a cluster a warehouse on the
+    driver's own disk isn't shared, so the setting must be given there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors reach: {warehouse} may be the driver's own")
+    return f"{warehouse}/_intermediate"
 
 
 def in_ranges(df: DataFrame, sort: Sequence[str]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from seamark.operators import sampling
 from seamark.plans import runs
 from seamark.schema import DOUBLE, INT, RAW_MESSAGE, struct
-from seamark.session import shared_folder
-from seamark.sources import lookups, messages, results, tables
+from seamark.session import shared_folder, write_out
+from seamark.sources import buckets, lookups, messages, results, tables
 from workload.base import Source, query, r6
 
 
@@ -89,6 +89,47 @@ def catalog_tables(t: Source) -> DataFrame:
     return spark.table(name).where(F.lit(listed == 1))
 
 
+def bucketed(t: Source, use) -> DataFrame:
+    """``use`` on events by hub and on nations, both stored in buckets; the catalog's tables go when the result is written."""
+    spark, run = t.events.sparkSession, uuid.uuid4().hex
+    hub = F.when(F.col("user_id") % 3 != 0, 0).otherwise(F.col("user_id") % 5)
+    facts = t.events.select("event_id", hub.cast("int").alias("hub"), "ts", "value")
+    nations = t.nation.select(F.col("n_nationkey").cast("int").alias("hub"), "n_name")
+    busy = buckets.busy_keys(facts, "hub", target=1000)
+    stored = buckets.save_bucketed(buckets.in_parts(facts, busy, "hub", ["event_id"]), f"facts_{run}", "hub", 8, ["ts"])
+    others = buckets.save_bucketed(buckets.in_all_parts(nations, busy, "hub"), f"nations_{run}", "hub", 8)
+    out = write_out(use(stored, others), "bucketed")
+    for name in ("facts", "nations"):
+        spark.sql(f"DROP TABLE {name}_{run}")
+    return out
+
+
+BUCKETED_HUB = "CAST(CASE WHEN user_id % 3 <> 0 THEN 0 ELSE user_id % 5 END AS INTEGER)"
+
+
+@query(
+    "bucketed_join",
+    f"""
+SELECT e.event_id, e.hub, e.ts, e.value, n_name
+FROM (SELECT event_id, {BUCKETED_HUB} AS hub, ts, value FROM events) e JOIN nation ON hub = n_nationkey""",
+)
+def bucketed_join(t: Source) -> DataFrame:
+    """Every row of a hub with what is known of the hub; most rows have one hub."""
+    return bucketed(t, lambda facts, nations: buckets.join_parts(facts, nations, "hub", ["n_name"]))
+
+
+@query(
+    "bucketed_first_rows",
+    f"""
+SELECT event_id, hub, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY hub ORDER BY ts, event_id) AS rn
+  FROM (SELECT event_id, {BUCKETED_HUB} AS hub, ts, value FROM events)) WHERE rn = 1""",
+)
+def bucketed_first_rows(t: Source) -> DataFrame:
+    """The earliest row of each hub."""
+    return bucketed(t, lambda facts, _: buckets.first_rows(facts, "hub", ["ts", "event_id"]))
+
+
 @query(
     "named_table_scan",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'",
