@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from seamark.functions.times import component_vector, second_number
 from seamark.operators.quantiles import exact_quantiles
 from seamark.operators.ranking import PART, with_part
+from seamark.operators.reduction import sieve, sift
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -177,10 +178,14 @@ def semantic_types(
     return out
 
 
-def seen_only(static: DataFrame, key: str, activity: Sequence[tuple[DataFrame, str]]) -> DataFrame:
-    """Static rows whose key occurs in the given (table, column) pairs, for statistics that see training data only."""
-    keys = None
+def seen_only(static: DataFrame, key: str, activity: Sequence[tuple[DataFrame, str]], reduced: bool = False) -> DataFrame:
+    """Static rows whose key occurs in the given (table, column) pairs, for statistics that see training data only.
+
+    With ``reduced``, for activity of many keys that have no static row, such activity goes before any shuffle.
+    """
+    keys, filter_ = None, sieve(static, [key]) if reduced else None
     for table, column in activity:
-        one = table.select(F.col(column).alias(key)).where(F.col(key).isNotNull()).distinct()
+        one = table.select(F.col(column).alias(key)).where(F.col(key).isNotNull())
+        one = (sift(one, filter_) if reduced else one).distinct()
         keys = one if keys is None else keys.unionByName(one)
     return static.join(keys.distinct(), key, "left_semi")

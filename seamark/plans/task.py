@@ -11,6 +11,7 @@ from seamark.functions.labels import mapped_label, split_label
 from seamark.functions.times import hour_number
 from seamark.operators.joins import attach
 from seamark.operators.ranking import nth_row
+from seamark.operators.reduction import sieve, sift
 from seamark.schema import GROUPED_LABELS, MODE_COLUMNS
 
 # Columns of the ship database that are kept from the model.
@@ -72,11 +73,16 @@ def nth_distinct_time(interactions: DataFrame, task: NthInteractionTask, unique:
 
 
 def task_rows(
-    interactions: DataFrame, entities: DataFrame, task: NthInteractionTask, unique: bool = False
+    interactions: DataFrame, entities: DataFrame, task: NthInteractionTask, unique: bool = False, reduced: bool = False
 ) -> DataFrame:
-    """(entity, nth time, label, split): all splits at once, one column instead of three scans."""
+    """(entity, nth time, label, split): all splits at once, one column instead of three scans.
+
+    With ``reduced``, for many entities without a label, their interactions go before any shuffle.
+    """
     labels = task.labels or GROUPED_LABELS
     known = entities.select(task.entity, task.target).where(F.col(task.target).isNotNull())
+    if reduced:
+        interactions = sift(interactions, sieve(known, [task.entity]))
     rows = nth_distinct_time(interactions, task, unique).join(known, task.entity)
     return rows.select(
         task.entity,

@@ -15,6 +15,6 @@ from workload.base import ORACLES, QUERIES
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    from workload import firsts, graph, increments, messages, models, profiles, scores, sources, splits  # noqa: F401
+    from workload import firsts, graph, increments, messages, models, profiles, reductions, scores, sources, splits  # noqa: F401
 
     return QUERIES, ORACLES
