@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from seamark.llm.common import ready, runs
 from seamark.session import write_out
 
-#: Rows of a data block and queries of a query block: what one task holds at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Most rows of a data block and queries of a query block, for vectors of up to 64 components: what one task holds at a time.
+BLOCK_ROWS, BLOCK_QUERIES = 16384, 4096
+#: Scores that are worked out at a time.
+SCORES = 1 << 22
 #: Sums of products below it are exact in doubles.
 EXACT = float(1 << 53)
 
@@ -79,10 +81,12 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id
     cell with pivot p and radius r, all products lie within q.p +- |q| r. The lower
     ends of cells that hold k rows together bound the k-th score from below;
     cells whose upper end is under that bound can't matter (k and the rows of the query's own id, to be exact). Queries are grouped with
-    those of near pivots, and a data block is sent to a query group only if one of its
-    queries needs it. Blocks are solved locally and their k best merged.
-    Cells and query groups are cut by a hash into blocks of bounded size, so neither a
-    common vector nor a large cell lands in one task.
+    those of near pivots, and cells with near ones into areas of the rows of a block. A query is sent once to each area
+    it needs a cell of, with the list of these, and a cell to a query group only if one of its
+    queries lists it. Blocks are solved locally and their k best merged.
+    Areas and query groups are cut by a hash into blocks of bounded size, so neither a
+    common vector nor a large cell lands in one task. With q queries and n rows, vectors are sent
+    q n (1 / rows of a block + 1 / queries of a block) times at most.
     """
     spark = ready(vectors.sparkSession)
     kept = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks"))
@@ -118,15 +122,19 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id
     sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for row in summary:
         sizes[row["cell"]], radii[row["cell"]] = row["n"], row["radius"]
-    parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    wide = max(1, width // 64)
+    # Smaller blocks for few rows, so that there are tasks for all cores.
+    in_block, asking = max(1, min(BLOCK_ROWS, max(1024, count // 16)) // wide), max(1, BLOCK_QUERIES // wide)
+    order = _in_line(centres)
+    area, parts = _areas(order, sizes, in_block)
     askers = placed.where("asks").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
     # So many rows of a query's own id may stand in the cells that bound its score.
     own = placed.where("asks").groupBy("id").count().agg(F.max("count")).first()[0] or 1
-    group = _group_cells(centres, {row["cell"]: row["n"] for row in askers})
-    facts = spark.sparkContext.broadcast((sizes, radii, parts, group))
+    group = _query_groups(order, {row["cell"]: row["n"] for row in askers}, asking)
+    facts = spark.sparkContext.broadcast((sizes, radii, area, parts, group))
 
     def ask(batches):
-        n, radius, part, groups = facts.value
+        n, radius, areas, part, groups = facts.value
         pivot = shared.value
         live = np.flatnonzero(n)
         for batch in batches:
@@ -144,44 +152,51 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id
             bound[~enough.any(1)] = -np.inf
             row, col = np.nonzero(high >= bound)
             cells = live[col]
+            together = np.lexsort((areas[cells], row))
+            row, cells = row[together], cells[together]
+            edges = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(areas[cells], prepend=-1))
+            row, first = row[edges], cells[edges]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pa.array(row)),
                     batch.column("v").take(pa.array(row)),
                     pa.array(groups[batch.column("cell").to_numpy()][row], pa.int32()),
-                    pa.array(cells, pa.int32()),
-                    pa.array(part[cells], pa.int32()),
+                    pa.array(areas[first], pa.int32()),
+                    pa.array(part[first], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([*edges, len(cells)], pa.int32()), pa.array(cells, pa.int32())),
                 ],
-                ["id", "v", "of", "cell", "parts"],
+                ["id", "v", "of", "area", "parts", "cells"],
             )
 
     repeated = placed.where("asks").select("id", "v", "cell").distinct()
     asked = write_out(
-        repeated.mapInArrow(ask, "id long, v array<double>, of int, cell int, parts int").withColumn(
+        repeated.mapInArrow(ask, "id long, v array<double>, of int, area int, parts int, cells array<int>").withColumn(
             "block", F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30))
         ),
         "asked",
     )
-    halves = F.ceil(F.count_distinct("id") / BLOCK_QUERIES)
-    needs = asked.groupBy("of", "cell", "parts").agg(halves.cast("int").alias("halves"))
-    asks = asked.join(needs, ["of", "cell", "parts"]).select(
-        "of", "cell", F.pmod("block", "halves").cast("int").alias("half"),
+    halves = F.ceil(F.count_distinct("id") / asking)
+    blocks = write_out(asked.groupBy("of", "area", "parts").agg(halves.cast("int").alias("halves")), "blocks")
+    needs = asked.select("of", "area", F.explode("cells").alias("cell")).distinct().join(blocks, ["of", "area"])
+    asks = asked.join(blocks, ["of", "area", "parts"]).select(
+        "of", "area", F.pmod("block", "halves").cast("int").alias("half"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "v",
     )
     data = placed.join(needs, "cell").select(
-        "of", "cell", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("half"),
+        "of", "area", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("half"),
         F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id", "v",
     )
 
     def solve(batches):
-        for run in runs(batches, "of", "cell", "half", "part"):
+        for run in runs(batches, "of", "area", "half", "part"):
             run = run.combine_chunks()
             side, ids = run.column("side").to_numpy(), run.column("id").to_numpy()
             edge = int(np.searchsorted(side, 1))
             m = matrix(run.column("v").chunk(0), width)
             rows, block = ids[edge:], m[edge:]
-            for lo in range(0, edge, BLOCK_QUERIES):
-                hi = min(edge, lo + BLOCK_QUERIES)
+            step = max(1, SCORES // max(1, len(rows)))
+            for lo in range(0, edge, step):
+                hi = min(edge, lo + step)
                 scores = products(m[lo:hi], block)
                 found = best(scores, rows, ids[lo:hi], k)
                 asker = np.repeat(ids[lo:hi], [len(x) for x in found])
@@ -191,7 +206,7 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id
                     [pa.array(asker), pa.array(rows[at]), pa.array(scores[line, at])], ["query_id", "id", "score"]
                 )
 
-    keys = ["of", "cell", "half", "part"]
+    keys = ["of", "area", "half", "part"]
     united = asks.unionByName(data).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
     near = united.mapInArrow(solve, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -200,12 +215,29 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id
     )
 
 
-def _group_cells(centres: np.ndarray, askers: dict[int, int]) -> np.ndarray:
-    """A query group for each cell: cells in the order of their first principal direction, cut by query count."""
+def _in_line(centres: np.ndarray) -> np.ndarray:
+    """The cells in the order of their first principal direction."""
     middle = centres - centres.mean(0)
     direction = np.linalg.svd(middle, full_matrices=False)[2][0] if centres.shape[1] else np.zeros(0)
-    order = np.argsort(middle @ direction, kind="stable")
+    return np.argsort(middle @ direction, kind="stable")
+
+
+def _query_groups(order: np.ndarray, askers: dict[int, int], asking: int) -> np.ndarray:
+    """A query group for each cell, cut by query count."""
     asked = np.array([askers.get(int(c), 0) for c in order], np.int64)
-    group = np.empty(len(centres), np.int32)
-    group[order] = (np.cumsum(asked) - asked) // BLOCK_QUERIES
+    group = np.empty(len(order), np.int32)
+    group[order] = (np.cumsum(asked) - asked) // asking
     return group
+
+
+def _areas(order: np.ndarray, sizes: np.ndarray, in_block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The area of each cell, and into how many blocks it is cut: cells next to each other share one of at most
+    ``in_block`` rows, a larger cell is one of its own in several blocks."""
+    area, parts = np.empty(len(sizes), np.int32), np.maximum(1, -(-sizes // in_block)).astype(np.int32)
+    at, room = -1, 0
+    for c in order:
+        if sizes[c] > room or parts[c] > 1:
+            at, room = at + 1, in_block
+        area[c] = at
+        room = 0 if parts[c] > 1 else room - sizes[c]
+    return area, parts

@@ -59,6 +59,19 @@ def test_search_against_all_pairs(spark, monkeypatch, block):
     assert sorted(map(tuple, found)) == brute_top(whole, lambda i: i % 20 == 0, 5)
 
 
+def test_areas_hold_no_more_than_a_block():
+    draw = np.random.default_rng(4)
+    sizes = draw.integers(0, 60, 200)
+    sizes[[3, 50]] = [1000, 101]
+    area, parts = knn_join._areas(draw.permutation(200), sizes, 100)
+    assert parts[3] == 10 and parts[50] == 2 and (np.delete(parts, [3, 50]) == 1).all()
+    assert (area == area[3]).sum() == (area == area[50]).sum() == 1
+    held = np.bincount(area, sizes)
+    assert np.delete(held, [area[3], area[50]]).max() <= 100
+    # Two neighbours don't fit into one, but for those beside a cell of its own.
+    assert len(held) <= 2 * np.ceil((sizes.sum() - 1101) / 100) + 5
+
+
 def test_search_of_few_and_none(spark):
     assert knn_join.knn_join(vectors(spark, [(0, None)]), F.lit(True)).count() == 0
     assert knn_join.knn_join(vectors(spark, [(0, [1.0])]), F.lit(True)).count() == 0
