@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.operators.ranking import PART, SLICE, finite, first_row, grid, spread, with_part, with_row
+from seamark.operators.ranking import PART, ROWS, SLICE, TARGET, finite, first_row, grid, spread, with_part, with_row
+from seamark.session import write_out
 
 CELLS = 4096
 
@@ -170,3 +171,50 @@ def medians_and_modes_of(counts: DataFrame, columns: Sequence[str], key: str) ->
     names = [f"{kind}_{c}" for kind in ("median", "mode") for c in columns]
     wide = medians.unionByName(modes)
     return wide.groupBy(key).agg(*[F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in names])
+
+
+def medians_and_modes_by_key(
+    counts: DataFrame, columns: Sequence[str], key: str, bounds: tuple[float, float], target: int = TARGET
+) -> DataFrame:
+    """``medians_and_modes`` from stored rows (key, column, value, n), of which several may count the same value.
+
+    Keys are read and counted first. Those of at most ``target`` rows each meet in one task, all of them in
+    one shuffle by the key, and are put in order as they are; only the others, at most a ``target``-th of
+    the rows in number, are cut into slices. Values are neither null nor NaN, and ``n`` is above 0.
+    """
+    counted = counts.groupBy(key).agg(F.count(F.lit(1)).alias(ROWS)).where(F.col(ROWS) > target)
+    busy = write_out(counted.select(F.col(key).alias(PART)), "busy-keys")
+    if busy.isEmpty():
+        return _in_order(counts, columns, key)
+    met = F.col(key).eqNullSafe(F.col(PART))
+    large = counts.join(busy, met, "left_semi").groupBy(key, "column", "value").agg(F.sum("n").alias("n"))
+    sliced = medians_and_modes_of(with_slices(large, bounds), columns, key)
+    return _in_order(counts.join(busy, met, "left_anti"), columns, key).unionByName(sliced)
+
+
+def _in_order(counts: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """Everything of a key is found in the task that one shuffle by the key brings it to."""
+    keys = [key, "column"]
+    summed = counts.repartition(key).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    inside = Window.partitionBy(*keys).orderBy("value")
+    upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = summed.withColumns({"_upto": upto, "_total": F.sum("n").over(Window.partitionBy(*keys))})
+    last = F.col("_total") - 1
+
+    def at(rank: Column) -> Column:
+        return F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("n")), F.col("value"))
+
+    low, high = at(F.floor(last / 2)), at(F.ceil(last / 2))
+    rows = placed.select(*keys, low.alias("_low"), high.alias("_high"), F.struct((-F.col("n")).alias("n"), "value").alias("_mode"))
+
+    def of(c: str, name: str) -> Column:
+        return F.when(F.col("column") == c, F.col(name))
+
+    found = [
+        *[F.max(of(c, name)).alias(f"{name}_{c}") for c in columns for name in ("_low", "_high")],
+        *[F.min(of(c, "_mode"))["value"].alias(f"mode_{c}") for c in columns],
+    ]
+    ends = [(c, F.col(f"_low_{c}"), F.col(f"_high_{c}")) for c in columns]
+    # Of equal neighbours, infinite ones included, no difference is taken.
+    middle = [F.when(low == high, low).otherwise(low + (high - low) * 0.5).alias(f"median_{c}") for c, low, high in ends]
+    return rows.groupBy(key).agg(*found).select(key, *middle, *[f"mode_{c}" for c in columns])

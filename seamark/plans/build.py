@@ -55,27 +55,43 @@ def vessels(messages: DataFrame) -> DataFrame:
     return conform(first_row(rows, by=["mmsi"], order=["timestamp", *SHIP_FIELDS]), VESSEL)
 
 
+def vessels_of(distinct: DataFrame) -> DataFrame:
+    """``vessels`` from distinct messages, whose least ship fields of a ship's first time are those of its first message."""
+    first = F.min(F.struct("timestamp", "ship")).alias("first")
+    return conform(distinct.groupBy("mmsi").agg(first).select("mmsi", "first.ship.*"), VESSEL)
+
+
+def payloads(messages: DataFrame) -> DataFrame:
+    """(mmsi, timestamp, position, details, voyage, ship) of each message; what its conditions rule out is null."""
+
+    def payload(fields: list[str], condition: Column | None = None) -> Column:
+        made = F.struct(*fields)
+        return made if condition is None else F.when(condition, made)
+
+    return messages.where(F.col("mmsi").isNotNull()).select(
+        "mmsi",
+        "timestamp",
+        payload(POSITION_FIELDS).alias("position"),
+        payload(OFFSETS, F.coalesce(*OFFSETS).isNotNull()).alias("details"),
+        payload(VOYAGE_FIELDS, F.col("draught").isNotNull()).alias("voyage"),
+        payload(SHIP_FIELDS).alias("ship"),
+    )
+
+
+def least_payloads(rows: DataFrame) -> DataFrame:
+    """One row per ship and time with the least payload of each kind, combined on the map side."""
+    kinds = [c for c in rows.columns if c not in FACT_ORDER]
+    return rows.groupBy(*FACT_ORDER).agg(*[F.min(c).alias(c) for c in kinds])
+
+
 def distinct_messages(messages: DataFrame) -> DataFrame:
-    """(mmsi, timestamp, position, details, voyage): one row per ship and time.
+    """(mmsi, timestamp, position, details, voyage, ship): one row per ship and time.
 
     The three fact tables each keep one message per (mmsi, timestamp) under their
     own condition. Taking the least payload of each kind in a single aggregate
-    lets one shuffle, combined on the map side, serve all three.
+    lets one shuffle, combined on the map side, serve all three, and the ships too where it is stored.
     """
-
-    def least(fields: list[str], condition: Column | None = None) -> Column:
-        payload = F.struct(*fields)
-        return F.min(payload if condition is None else F.when(condition, payload))
-
-    return (
-        messages.where(F.col("mmsi").isNotNull())
-        .groupBy("mmsi", "timestamp")
-        .agg(
-            least(POSITION_FIELDS).alias("position"),
-            least(OFFSETS, F.coalesce(*OFFSETS).isNotNull()).alias("details"),
-            least(VOYAGE_FIELDS, F.col("draught").isNotNull()).alias("voyage"),
-        )
-    )
+    return least_payloads(payloads(messages))
 
 
 def _row_id() -> Column:
@@ -122,10 +138,14 @@ class Tables:
         self.port = ports
         self.ranged = ranged
 
+    @cached_property
+    def ships(self) -> DataFrame:
+        """The ships without their geometry; of stored messages, from these."""
+        return vessels_of(self._distinct) if self.ranged else vessels(self._messages)
+
     @cached_property
     def vessel(self) -> DataFrame:
-        ships = vessels(self._messages)
-        return with_geometry(ships, geometry_stats(self.vessel_details)) if self._geometry else ships
+        return with_geometry(self.ships, geometry_stats(self.vessel_details)) if self._geometry else self.ships
 
     @cached_property
     def vessel_details(self) -> DataFrame:
@@ -157,7 +177,8 @@ def build_tables(
 
     With ``store`` the deduplicated messages are written to the cluster's shared
     folder once, in ranges of ship and time, and all fact tables are plain
-    projections of those files; without it every table stays a lazy plan over ``raw``.
+    projections of those files, as the ships are an aggregate of them; without it every
+    table stays a lazy plan over ``raw``.
     """
     messages = in_period(typed(raw, strict), start, end)
     if days is not None:

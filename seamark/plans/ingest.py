@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from seamark.functions.casts import conform
 from seamark.functions.times import iso_week_text, iso_year_week
-from seamark.operators.quantiles import medians_and_modes_of, with_slices
+from seamark.operators.quantiles import medians_and_modes_by_key
 from seamark.plans import build, weekly
 from seamark.schema import OFFSETS, VESSEL
-from seamark.session import write_out
+from seamark.session import in_ranges, write_out
 from seamark.sources.messages import read_daily_text, typed
 
 #: Folders that the ships are dealt into.
@@ -49,7 +49,7 @@ class DayStore:
             return []
         raw = typed(read(self.spark, new), strict).where("mmsi IS NOT NULL AND timestamp IS NOT NULL")
         raw = write_out(raw.withColumn("date", F.to_date("timestamp")), "new-messages")
-        fresh = build.distinct_messages(raw).withColumn("date", F.to_date("timestamp"))
+        fresh = build.payloads(raw).drop("ship")
         ships = raw.groupBy("mmsi").agg(F.min(F.struct(*FIRST)).alias("first"))
         self._merge_days(fresh, [r["date"] for r in raw.select("date").distinct().collect()])
         self._merge_ships(ships.withColumn("part", F.pmod(F.hash("mmsi"), F.lit(SHIP_FOLDERS))))
@@ -68,16 +68,24 @@ class DayStore:
         return self.spark.read.parquet(f"{self.folder}/{name}").schema
 
     def _write(self, df: DataFrame, name: str, mode: str = "overwrite", by: str | None = None) -> None:
+        """Write all of ``df``, or with ``by`` the folders that it has rows for, which it may itself be read from.
+
+        Spark puts such folders in place of the old ones when all rows are written.
+        """
         writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{name}")
 
     def _merge_days(self, fresh: DataFrame, days: list) -> None:
-        """Days that are touched are merged with what is there and written anew, with their counts; no other folder is read."""
-        there = self._open("messages", fresh.schema).where(F.col("date").isin(days))
-        least = [F.min(c).alias(c) for c in ("position", "details", "voyage")]
-        merged = fresh.unionByName(there).groupBy("mmsi", "timestamp", "date").agg(*least).select(*fresh.columns)
-        merged = write_out(merged, "merged-days", ["date", "mmsi", "timestamp"])
-        self._write(merged, "messages", by="date")
+        """Days that are touched are merged with what is there and written anew, with their counts; no other folder is read.
+
+        New and old messages meet in one aggregate, whose rows are written once; the counts are taken from the days' folders.
+        """
+        dated = [*fresh.columns, F.to_date("timestamp").alias("date")]
+        schema = fresh.select(*dated).schema
+        there = self._open("messages", schema).where(F.col("date").isin(days))
+        merged = build.least_payloads(fresh.unionByName(there.drop("date"))).select(*dated)
+        self._write(in_ranges(merged, ["date", "mmsi", "timestamp"]), "messages", by="date")
+        merged = self._open("messages", schema).where(F.col("date").isin(days))
         entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"details.{c}").cast("double").alias("value")) for c in OFFSETS])
         values = merged.where("details IS NOT NULL").select("date", "mmsi", F.inline(entries)).where("value IS NOT NULL")
         counts = values.groupBy("mmsi", "column", "value", "date").agg(F.count(F.lit(1)).alias("n"))
@@ -85,7 +93,8 @@ class DayStore:
         for name, df in (("offsets", counts), ("activity", activity)):
             self._open(name)
             # A day without offsets any more can't be: merging never takes a message away.
-            self._write(df.repartitionByRange("date", "mmsi").select("mmsi", *[c for c in df.columns if c not in ("mmsi", "date")], "date"), name, by="date")
+            # Days share tasks or are split over several, by their size.
+            self._write(df.hint("rebalance", "date").select("mmsi", *[c for c in df.columns if c not in ("mmsi", "date")], "date"), name, by="date")
 
     def _merge_ships(self, ships: DataFrame) -> None:
         parts = [r["part"] for r in ships.select("part").distinct().collect()]  # SHIP_FOLDERS at most
@@ -112,11 +121,13 @@ class StoredTables(build.Tables):
         super().__init__(messages, messages, ports, geometry, ranged=True)
         self._store = store
 
+    @property
+    def ships(self) -> DataFrame:
+        return conform(self._store._open("ships").select("mmsi", "first.*"), VESSEL)
+
     @property
     def vessel(self) -> DataFrame:
-        ships = conform(self._store._open("ships").select("mmsi", "first.*"), VESSEL)
         if not self._geometry:
-            return ships
-        counts = self._store._open("offsets").groupBy("mmsi", "column", "value").agg(F.sum("n").alias("n"))
-        stats = medians_and_modes_of(with_slices(counts, build.OFFSET_RANGE), OFFSETS, "mmsi")
-        return build.with_geometry(ships, stats.withColumns({f"mode_{c}": F.col(f"mode_{c}").cast("int") for c in OFFSETS}))
+            return self.ships
+        stats = medians_and_modes_by_key(self._store._open("offsets"), OFFSETS, "mmsi", build.OFFSET_RANGE)
+        return build.with_geometry(self.ships, stats.withColumns({f"mode_{c}": F.col(f"mode_{c}").cast("int") for c in OFFSETS}))

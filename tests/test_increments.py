@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from seamark.operators import profile, sketches
-from seamark.plans import build, weekly
+from seamark import session
+from seamark.operators import profile, quantiles, sketches
+from seamark.plans import build, ingest, weekly
 from seamark.plans.ingest import DayStore
 from seamark.schema import RAW_MESSAGE
 
@@ -122,3 +123,31 @@ def test_top_values_that_are_proven_move_no_other_values(spark):
     spread_out = spark.range(20_000).select(F.col("id").alias("v"))
     plan = sketches.top_values_bounded(spread_out, "v", 4, 1000)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan
+
+
+@pytest.mark.parametrize("target", [10, 1000])
+def test_medians_and_modes_by_key_are_those_of_all_rows(spark, target):
+    """Keys above the target, key 0 here, and keys below it; every value is counted on two days."""
+    made = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40 + 30 * i)).cast("int").alias(c) for i, c in enumerate("ab")]
+    rows = spark.range(400).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 17).alias("k"), *made).where("k <> 5 OR a < 0 OR b > 20")
+    entries = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in "ab"]))
+    counts = rows.select("k", entries, (F.rand(1) > 0.5).alias("day")).groupBy("k", "column", "value", "day").agg(F.count("*").alias("n")).drop("day")
+    expected = sorted(map(tuple, quantiles.medians_and_modes(rows, ["a", "b"], "k", (0, 64)).collect()))
+    assert sorted(map(tuple, quantiles.medians_and_modes_by_key(counts, ["a", "b"], "k", (0, 64), target).collect())) == expected
+
+
+def test_stored_counts_of_ships_meet_in_one_shuffle(spark, tmp_path):
+    store = DayStore(spark, str(tmp_path))
+    store.ingest(["a"], lambda spark, names: raw(spark, FILES["a"]))
+    stats = quantiles.medians_and_modes_by_key(store._open("offsets"), build.OFFSETS, "mmsi", build.OFFSET_RANGE)
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_an_ingest_writes_merged_days_once(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(ingest, "write_out", lambda df, name, *a: written.append(name) or session.write_out(df, name, *a))
+    store = DayStore(spark, str(tmp_path))
+    store.ingest(["a"], lambda spark, names: raw(spark, FILES["a"]))
+    store.ingest(["late a"], lambda spark, names: raw(spark, FILES["late a"]))
+    assert written == ["new-messages", "merged-ships"] * 2
+    assert store._open("messages").count() == 3
