@@ -27,7 +27,7 @@ def kept_up(t: Source) -> DayStore:
     raw = raw_messages(t)
     day = F.concat_ws("-", F.substring("timestamp", 7, 4), F.substring("timestamp", 4, 2), F.substring("timestamp", 1, 2))
     late = (F.substring("timestamp", 12, 2).cast("int") >= 18).cast("int")
-    raw.withColumns({"day": day, "late": late}).repartition("day").write.partitionBy("day", "late").parquet(f"{path}/files")
+    raw.withColumns({"day": day, "late": late}).hint("rebalance", "day", "late").write.partitionBy("day", "late").parquet(f"{path}/files")
     store = DayStore(spark, f"{path}/store")
 
     def read(spark, files):
