@@ -20,6 +20,15 @@ def dense_ids(df: DataFrame, key: str, name: str = "node_id") -> DataFrame:
     return positions(df.select(key).where(F.col(key).isNotNull()).distinct(), key, name)
 
 
+def renumber(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the dense ids of ``dense_ids`` in place of a key that each row has a value of its own for.
+
+    Rows are numbered where they are sorted, so none is joined with its id.
+    """
+    rest = [c for c in df.columns if c != key]
+    return positions(df, key, "_id", columns=rest).select(*[F.col("_id").alias(c) if c == key else F.col(c) for c in df.columns])
+
+
 def rekey(df: DataFrame, column: str, ids: DataFrame, key: str, name: str = "node_id") -> DataFrame:
     """Replace a primary or foreign key by its dense id; a key without one becomes null."""
     found = ids.select(F.col(key).alias(column), F.col(name).alias("_id"))

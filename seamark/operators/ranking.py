@@ -279,15 +279,15 @@ def in_value_ranges(df: DataFrame, columns: Sequence[str], name: str, ranges: in
     return write_out(df.repartitionByRange(n, *columns).withColumn(name, F.spark_partition_id().cast("long")), "ranges")
 
 
-def positions(df: DataFrame, column: str, name: str, ranges: int | None = None) -> DataFrame:
-    """(column, name): each row's place from 0 in the order of a column without repeated values.
+def positions(df: DataFrame, column: str, name: str, ranges: int | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """(column, columns, name): each row's place from 0 in the order of a column without repeated values.
 
     Rows are written in sorted ranges with their place inside; the counts of the ranges, one row
     each, are added up and give the places where ranges begin. No window over rows.
     """
     n = ranges or range_count(df.sparkSession)
     place = F.monotonically_increasing_id()  # the number of the partition and, in the lower 33 bits, of the row in it
-    sorted_ = df.select(column).repartitionByRange(n, column).sortWithinPartitions(column).withColumn("_place", place)
+    sorted_ = df.select(column, *columns).repartitionByRange(n, column).sortWithinPartitions(column).withColumn("_place", place)
     rows = write_out(sorted_, "ranges").withColumn("_range", F.shiftright("_place", 33))
     counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias(ROWS))
     before = F.sum(ROWS).over(Window.orderBy("_range")) - F.col(ROWS)
@@ -295,7 +295,7 @@ def positions(df: DataFrame, column: str, name: str, ranges: int | None = None)
     # One row per range: ``n`` rows, whatever the table's size.
     inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     found = rows.join(F.broadcast(starts), F.col("_range") == F.col("_of"))
-    return found.select(column, (F.col("_before") + inside).alias(name))
+    return found.select(column, *columns, (F.col("_before") + inside).alias(name))
 
 
 def time_slices(

@@ -12,7 +12,7 @@ from seamark.functions.casts import fill_text, timestamp
 from seamark.functions.labels import grouped_ship_type
 from seamark.functions.times import to_second
 from seamark.operators import profile
-from seamark.operators.graph import dense_ids, rekey, up_to
+from seamark.operators.graph import dense_ids, rekey, renumber, up_to
 from seamark.operators.ranking import first_row
 from seamark.plans.build import Tables
 from seamark.schema import DATABASE_KEYS, Keys
@@ -27,10 +27,11 @@ class KeyedTable:
 
 @dataclass(frozen=True)
 class Database:
-    """Keyed tables; ``resolved`` says that foreign keys without a parent are null."""
+    """Keyed tables; ``resolved`` says that foreign keys without a parent are null, ``unique`` that primary keys of timed tables are neither null nor repeated."""
 
     tables: dict[str, KeyedTable]
     resolved: bool = False
+    unique: bool = False
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name].df
@@ -70,7 +71,15 @@ class Database:
         Rekeying and graphs read each table several times, so they start from here.
         """
         kept = self.with_frames({name: write_out(t.df, name) for name, t in self.tables.items()})
-        return replace(kept, resolved=self.resolved)
+        return replace(kept, resolved=self.resolved, unique=self.unique)
+
+    def part(self, names: Sequence[str]) -> Database:
+        """The named tables whole, with those that their foreign keys lead to; no other table is read by what follows."""
+        wanted, more = set(), set(names)
+        while more:
+            wanted |= more
+            more = {p for n in wanted for p in self.tables[n].keys.foreign.values()} - wanted
+        return replace(self, tables={n: t for n, t in self.tables.items() if n in wanted})
 
     def rekeyed(self, timed: bool = True, store: bool = False) -> Database:
         """Keys as dense ids 0..n-1, in the order of the original keys.
@@ -79,12 +88,14 @@ class Database:
         says whether the row ids of timed tables, which nothing refers to, do too.
         With ``store`` the ids of static tables are written to the shared folder first:
         their size is then known, and small ones are broadcast to the fact tables.
+        Where primary keys are ``unique``, rows of timed tables are numbered as they are sorted.
         """
         parents = {p for t in self.tables.values() for p in t.keys.foreign.values()}
+        numbered = {n for n, t in self.tables.items() if timed and self.unique and n not in parents and t.keys.time is not None}
         ids = {
             name: dense_ids(t.df, t.keys.primary)
             for name, t in self.tables.items()
-            if timed or name in parents or t.keys.time is None
+            if name not in numbered and (timed or name in parents or t.keys.time is None)
         }
         if store:
             small = [name for name in ids if self.tables[name].keys.time is None]
@@ -92,10 +103,11 @@ class Database:
         frames = {}
         for name, t in self.tables.items():
             df = rekey(t.df, t.keys.primary, ids[name], t.keys.primary) if name in ids else t.df
+            df = renumber(df, t.keys.primary) if name in numbered else df
             for column, parent in t.keys.foreign.items():
                 df = rekey(df, column, ids[parent], self.tables[parent].keys.primary)
             frames[name] = df
-        return replace(self.with_frames(frames), resolved=True)
+        return replace(self.with_frames(frames), resolved=True, unique=self.unique)
 
     def text_filled(self, text_columns: dict[str, list[str]]) -> Database:
         return self.with_frames({n: fill_text(t.df, text_columns.get(n, [])) for n, t in self.tables.items()})
@@ -110,7 +122,7 @@ def ship_database(tables: Tables, unique: bool = False) -> Database:
     ``unique`` says that the tables already have one row per key, as freshly
     built ones with times in whole seconds do, and saves a shuffle of each.
     """
-    ships = tables.vessel.select(
+    ships = tables.ships.select(
         "mmsi", "imo", "callsign", "shipname", grouped_ship_type(F.col("shiptype")).alias("shiptype")
     )
     frames = {
@@ -129,7 +141,7 @@ def ship_database(tables: Tables, unique: bool = False) -> Database:
             rest = [c for c in df.columns if c != keys.primary]
             df = first_row(df, by=[keys.primary], order=rest)
         keyed[name] = KeyedTable(df, keys)
-    return Database(keyed)
+    return Database(keyed, unique=unique)
 
 
 class Registry:

@@ -319,3 +319,27 @@ def test_edges_are_read_once_per_table(spark, built):
     assert text.count("FileScan") == 3 and "Join" not in text
     untimed = neighbourhood.graph_edges(dataset.ship_database(built).stored().rekeyed(timed=False, store=True))
     assert ("f2p_mmsi", "1_20250407000000") in {(r.edge_type, r.src) for r in untimed.collect()}
+
+
+def test_rows_of_unique_keys_are_numbered_where_they_are_sorted(built):
+    db = dataset.ship_database(built, unique=True).part(["voyages"])
+    assert set(db.tables) == {"voyages", "vessels", "ports"}
+    numbered = db.rekeyed()["voyages"]
+    joined = dataset.ship_database(built).rekeyed()["voyages"]
+    assert sorted(map(tuple, numbered.drop("timestamp").collect()), key=str) == sorted(map(tuple, joined.drop("timestamp").collect()), key=str)
+
+    def joins(df):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in text.splitlines() if "Join LeftOuter" in line and "voyage_id" in line]
+
+    assert joins(joined) and not joins(numbered)
+
+
+def test_a_database_reads_stored_messages_and_no_geometry(raw, harbours, built):
+    stored = build.build_tables(raw, harbours, "2025-04-04 00:00:00", "2025-04-21 00:00:00", store=True)
+    db = dataset.ship_database(stored, unique=True)
+    for name in ("vessels", "vessels_details", "positions", "voyages"):
+        assert all("distinct-messages" in f for f in db[name].inputFiles()) and db[name].inputFiles(), name
+    lazy = dataset.ship_database(built)["vessels"]
+    assert sorted(map(tuple, db["vessels"].collect()), key=str) == sorted(map(tuple, lazy.collect()), key=str)
+    assert "Join" not in lazy._jdf.queryExecution().executedPlan().toString()
