@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,16 +13,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.common import frugal, ready, runs, spread, within
+from seamark.llm.common import frugal, ready, runs, spread
 from seamark.llm.components import components
 from seamark.llm.shingles import shingle_sets
+from seamark.operators.reduction import sieve, sift
 from seamark.session import write_out
 
 #: Cells of the table of shingle frequencies, which has the same size for every corpus.
 CELLS, SLICES = 1 << 20, 256
-#: Common rare shingles that a linked pair must have, where its sets allow so many.
-SHARED = 4
-#: Up to so many documents, the pairs of a shingle's documents are listed; of more, each is tied to the first.
+#: Common rare shingles that a linked pair must have, where its sets allow so many: so many, and one more for each ``EVERY`` of the smaller set.
+SHARED, EVERY = 4, 32
+#: Up to so many documents, the pairs of a shingle's documents are listed; of more, documents are at most tied to the first.
 LISTED = 48
 #: Of one block: shingles, and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 1 << 12
@@ -34,6 +36,14 @@ def needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
+def least_shared(size: np.ndarray) -> np.ndarray:
+    """Common rare shingles that a pair must have whose smaller set has this size, where it must share so many at all.
+
+    In proportion to the size, as long sets that have little in common share a few rare shingles by chance, in a large corpus more often.
+    """
+    return SHARED + size // EVERY
+
+
 def cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
@@ -69,8 +79,8 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def rare_shingles(shingles: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
-    """The part of a set that must hold ``SHARED`` shingles of any set linked with it (all it shares, if fewer)."""
-    keep = len(shingles) - int(needed(np.int64(len(shingles)), percent)) + SHARED
+    """The part of a set that must hold ``least_shared`` shingles of any set linked with it (all it shares, if fewer)."""
+    keep = len(shingles) - int(needed(np.int64(len(shingles)), percent)) + least_shared(len(shingles))
     if keep >= len(shingles):
         return shingles
     return shingles[np.lexsort((shingles, ranks[cell(shingles)]))[:keep]]
@@ -97,51 +107,93 @@ def summaries(docs: DataFrame, width: int, percent: int, ranks: Broadcast) -> Da
 
 
 def list_pairs(nodes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, weight) for the documents of one shingle, which are sorted by size.
+    """(a, b, least) for the pairs of near sizes of the documents of one shingle, which are sorted by size; ``least`` is how many rare shingles linked ones share."""
+    i, j = np.triu_indices(len(nodes), 1)
+    near = needed(sizes[j], percent) <= sizes[i]
+    i, j = i[near], j[near]
+    return nodes[i], nodes[j], np.minimum(least_shared(sizes[i]), needed(sizes[j], percent)).astype(np.int32)
 
-    A short list gives its pairs of near sizes, a long one ties each document to
-    the first one of its stretch of near sizes. Such a tie counts as ``SHARED``.
-    """
-    if len(nodes) <= LISTED:
-        i, j = np.triu_indices(len(nodes), 1)
-        near = needed(sizes[j], percent) <= sizes[i]
-        return nodes[i[near]], nodes[j[near]], np.ones(int(near.sum()), np.int32)
+
+def list_ties(nodes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each document of one shingle, which are sorted by size, tied to the first one of its stretch of near sizes."""
     far = np.flatnonzero(needed(sizes[1:], percent) > sizes[:-1]) + 1
     start = np.zeros(len(nodes), np.int64)
     start[far] = far
     start = np.maximum.accumulate(start)
     tied = start != np.arange(len(nodes))
-    return nodes[start[tied]], nodes[tied], np.full(int(tied.sum()), SHARED, np.int32)
+    return nodes[start[tied]], nodes[tied]
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(shingle, nodes, sizes) of each shingle with several documents, from rows of (shingle, node, size) sorted by them."""
+    keys = nodes = sizes = np.empty(0, np.int64)
+
+    def ended(k, n, s):
+        again = (k[1:] == k[:-1]) & (n[1:] == n[:-1])  # rows repeated whole
+        if again.any():
+            k, n, s = (x[np.concatenate([[True], ~again])] for x in (k, n, s))
+        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
+        return [(k[lo], n[lo:hi], s[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi - lo > 1]
+
+    for batch in batches:
+        k, n, s = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((keys, nodes, sizes)))
+        if not len(k):
+            continue
+        cut = int(np.searchsorted(k, k[-1]))  # the last list may go on in the next batch
+        yield ended(k[:cut], n[:cut], s[:cut])
+        keys, nodes, sizes = k[cut:], n[cut:], s[cut:]
+    yield ended(keys, nodes, sizes)
 
 
 def candidates(rare: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared): pairs of nodes with the number of rare shingles they share, from rows of (shingle, node, size)."""
+    """(a, b): edges that connect all linked nodes, from rows of (shingle, node, size) of their rare shingles.
+
+    Pairs of short lists are added up. Long lists give none; their rows are counted by node, and a pair may share as many
+    shingles more as the one with fewer such rows has. Only where these alone could be enough for a link is a node tied
+    to others in its long lists.
+    """
+    listed = LISTED
 
     def pairs(batches):
-        keys = nodes = sizes = np.empty(0, np.int64)
-
-        def ended(k, n, s):
-            again = (k[1:] == k[:-1]) & (n[1:] == n[:-1])  # rows repeated whole
-            if again.any():
-                k, n, s = (x[np.concatenate([[True], ~again])] for x in (k, n, s))
-            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
-            out = [list_pairs(n[lo:hi], s[lo:hi], percent) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi - lo > 1]
-            if out:
-                a, b, w = map(np.concatenate, zip(*out, strict=True))
+        for found in lists(batches):
+            short = [list_pairs(n, s, percent) for _, n, s in found if len(n) <= listed]
+            if short:
+                a, b, least = map(np.concatenate, zip(*short, strict=True))
                 lo, hi = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(w)], ["a", "b", "shared"])
-
-        for batch in batches:
-            k, n, s = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((keys, nodes, sizes)))
-            if not len(k):
-                continue
-            cut = int(np.searchsorted(k, k[-1]))  # the last list may go on in the next batch
-            yield from ended(k[:cut], n[:cut], s[:cut])
-            keys, nodes, sizes = k[cut:], n[cut:], s[cut:]
-        yield from ended(keys, nodes, sizes)
-
-    lists = rare.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    return lists.mapInArrow(frugal(pairs), "a long, b long, shared int")
+                gap = pa.nulls(len(lo), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(least), gap, gap], ["a", "b", "least", "shingle", "size"])
+            long = [(np.full(len(n), k), n, s) for k, n, s in found if len(n) > listed]
+            if long:
+                k, n, s = map(np.concatenate, zip(*long, strict=True))
+                gap = pa.nulls(len(k), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(n), gap, gap.cast(pa.int32()), pa.array(k), pa.array(s)], ["a", "b", "least", "shingle", "size"])
+
+    def ties(batches):
+        for found in lists(batches):
+            tied = [list_ties(n, s, percent) for _, n, s in found]
+            if tied:
+                a, b = map(np.concatenate, zip(*tied, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def by_list(rows):
+        return rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
+
+    found = by_list(rare).mapInArrow(frugal(pairs), "a long, b long, least int, shingle long, size long")
+    # Pairs of a list of equal shingles meet again in other tasks, so what is written is not yet added up.
+    found = write_out(found, "listed")
+    long = found.where("b IS NULL").select("shingle", F.col("a").alias("node"), "size")
+    hot = write_out(long.groupBy("node").agg(F.count(F.lit(1)).alias("hot"), F.first("size").alias("size")), "hot")
+    shared = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least"))
+    for side in ("a", "b"):
+        shared = shared.join(hot.select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+    more = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+    enough = shared.where(F.col("shared") + more >= F.col("least")).select("a", "b")
+    # The smallest set that one may be linked with asks for the fewest shingles.
+    smallest = F.ceil(F.col("size") * percent / 100)
+    fewest = F.least(F.lit(SHARED) + F.floor(smallest / EVERY), smallest)
+    alone = hot.where(F.col("hot") >= fewest).select("node")
+    tied = by_list(long.join(alone, "node").select("shingle", "node", "size")).mapInArrow(frugal(ties), "a long, b long")
+    return enough.union(tied)
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -239,11 +291,8 @@ def _blocked(docs: DataFrame, width: int, percent: int) -> Sets:
     classes = write_out(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     sets = usable.join(classes, "same").where("doc_id = node")
     rare = sets.select(F.explode("rare").alias("shingle"), F.col("class").alias("node"), "size")
-    pairs = candidates(rare.select("shingle", "node", "size"), percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    # A set of few shingles may be linked by fewer than SHARED common ones: then all it must share are in its rare part.
-    sizes = sets.groupBy("class").agg(F.min("size").alias("size"))
-    least = F.least(F.lit(SHARED), F.ceil(F.col("size") * percent / 100))
-    enough = pairs.join(sizes.select(F.col("class").alias("a"), "size"), "a").where(F.col("shared") >= least).select("a", "b")
+    # Where a set must share fewer than ``least_shared`` with a linked one, all of these are in its rare part.
+    enough = candidates(rare.select("shingle", "node", "size"), percent)
     blocks = write_out(components(enough).withColumnRenamed("node", "class"), "blocks")
     return Sets(docs, all_docs, usable, classes, sets, blocks)
 
@@ -253,15 +302,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
     1. The frequency of all shingles, in a table of fixed size, gives an order in
        which rare ones come first.
-    2. Each document keeps the first shingles of that order; of those, linked
-       documents share at least ``SHARED`` (all, where sets are too small for so many).
+    2. Each document keeps the first shingles of that order; of those, linked documents share
+       at least ``least_shared`` of the smaller one's size (all, where sets are too small for so many).
        Documents with equal sets go on as one.
     3. For each of these shingles its documents pair up; shared shingles are added
-       up and pairs below the bound dropped. Long lists tie documents in a chain instead
-       of pairing all.
+       up and pairs below the bound dropped. Long lists only tie, in a chain, those
+       documents that could be linked by shingles of long lists alone.
     4. Components of the pairs are the blocks within which all links lie. A block's
-       sets are multiplied with one another; a large one is cut by a hash into parts
-       of bounded size, and all pairs of parts are multiplied.
+       sets are multiplied with one another; a large one is cut by size and by a hash into
+       parts of bounded size, and all pairs of parts whose sizes allow a link are multiplied.
     5. Components of the links. ``n_links`` adds up, for a row, the rows of all sets
        linked with its own and the other rows of its own set.
 
@@ -298,6 +347,35 @@ def jaccard_pairs(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[D
     return block_links(known, width, percent, pairs=True), known.usable.select("doc_id", F.col("same").alias("set"))
 
 
+def placed(known: Sets, percent: int) -> DataFrame:
+    """(node, same, size, copies, component, part, others): the members of blocks, the part each is in, and the parts whose sets it may be linked with.
+
+    A block of up to ``BLOCK_SHINGLES`` and ``BLOCK_DOCS`` is one part. A larger one is cut into levels of sizes, so wide that
+    only sets of the same or the next level can be linked, and these by a hash into parts of bounded size.
+    """
+    step = max(math.log(100 / percent), 0.01) * (1 + 1e-6)  # a little wider, as logarithms are rounded
+    level = F.floor(F.log(F.col("size").cast("double")) / step).cast("long")
+    members = known.sets.select("class", "node", "same", "size", "copies").distinct().join(known.blocks, "class")
+    members = write_out(members.select("node", "same", "size", "copies", "component", level.alias("level")), "members")
+    totals = members.groupBy("component", "level").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("docs"))
+    large = totals.groupBy("component").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+    large = large.where((F.col("total") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)).select("component")
+    parts = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK_DOCS))
+    cut = write_out(totals.join(large, "component").select("component", "level", parts.cast("long").alias("parts")), "levels")
+    beside = cut.select("component", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.struct("level", "parts").alias("near"))
+    cut = write_out(cut.join(beside.groupBy("component", "level").agg(F.collect_list("near").alias("near")), ["component", "level"]), "levels")
+
+    def named(level, part):
+        return F.shiftleft(level, 32) + part
+
+    others = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda k: named(x["level"], k))))
+    own = named(F.col("level"), F.pmod(F.xxhash64("same"), F.col("parts")))
+    whole = F.lit(0).cast("long")
+    return members.join(cut, ["component", "level"], "left").select(
+        "node", "same", "size", "copies", "component", F.coalesce(own, whole).alias("part"), F.coalesce(others, F.array(whole)).alias("others")
+    )
+
+
 def block_links(known: Sets, width: int, percent: int, pairs: bool = False) -> DataFrame:
     """The links within blocks.
 
@@ -305,19 +383,9 @@ def block_links(known: Sets, width: int, percent: int, pairs: bool = False) -> D
     a set and the rows linked with it by one product, to be added up; with ``pairs`` all
     (set_a, set_b, overlap, size_a, size_b).
     """
-    members = known.sets.select("class", "node", "same", "size", "copies").distinct().join(known.blocks, "class")
-    totals = members.groupBy("component").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("docs"))
-    parts = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
-    part = F.pmod(F.xxhash64("same"), F.col("parts")).cast("int")
-    placed = write_out(
-        members.join(totals.select("component", parts.alias("parts")), "component").select(
-            "node", "same", "copies", "component", "parts", part.alias("part")
-        ),
-        "members",
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    texts = within(known.docs, "doc_id", placed, "node").join(placed, F.col("doc_id") == F.col("node"))
-    texts = texts.select("node", "same", "copies", "component", "part", others, "text")
+    members = placed(known, percent)
+    texts = sift(known.docs, sieve(members, ["node"]), ["doc_id"]).join(members, F.col("doc_id") == F.col("node"))
+    texts = texts.select("node", "same", "copies", "component", "part", F.explode("others").alias("other"), "text")
     rows = texts.select(
         "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "same", "copies", "text"
     )

@@ -201,6 +201,36 @@ def test_jaccard_pairs(spark, odd, monkeypatch, block):
     assert jaccard_join.jaccard_pairs(docs.limit(0), 3, 90)[0].count() == 0
 
 
+def test_jaccard_blocks_of_long_documents(spark):
+    """Long documents that share a passage of some twentieth of their words are in no block with one another, near copies among them are."""
+    passages = [[f"p{i}x{k}" for k in range(70)] for i in range(24)]
+    texts = [(i, " ".join([*passages[i], *[f"w{i}x{k}" for k in range(1300)], *passages[(i + 1) % 24]])) for i in range(24)]
+    texts.append((50, texts[3][1] + " and more"))
+    found = jaccard_join._blocked(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90)
+    nodes = found.blocks.join(found.classes, "class").select("node").collect()
+    assert sorted(r["node"] for r in nodes) == [3, 50]
+    links = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90).where("n_links > 0").collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in links) == [(3, 3, 1), (50, 3, 1)]
+
+
+@pytest.mark.parametrize("percent", [90, 50])
+def test_jaccard_of_a_block_of_many_sizes(spark, monkeypatch, percent):
+    """A chain of ever longer texts is one component; each text meets only those of near sizes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
+    texts = [(n, " ".join(f"w{k}" for k in range(n + 2))) for n in range(30, 300, 3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = jaccard_join.jaccard_components(docs, 3, percent).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=str)
+    assert got == groups_of(texts, 3, percent)
+    rows = jaccard_join.placed(jaccard_join._blocked(docs, 3, percent), percent).collect()
+    assert len(rows) == len(texts) and all(r["part"] in r["others"] and len(set(r["others"])) == len(r["others"]) for r in rows)
+    for a, b in itertools.combinations(rows, 2):
+        if 100 * min(a["size"], b["size"]) >= percent * max(a["size"], b["size"]):
+            assert b["part"] in a["others"] and a["part"] in b["others"]
+    if percent == 90:  # of 22 levels each text meets three
+        assert sum(len(r["others"]) for r in rows) < len(rows) * len({r["part"] for r in rows}) / 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (105, 101), (7, 7), (200, 200)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
